@@ -58,13 +58,37 @@ def key_filter(keys: DataFrame, column: str, buckets: int) -> DataFrame:
     return keys.select(bucket.alias("_bucket"), bit.alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
 
 
-def gated(df: DataFrame, key: Column, keys: DataFrame, column: str, n_keys: int, limit: int = FILTER_LIMIT_BYTES) -> DataFrame:
-    """Rows of df whose key may be among keys (false positives pass). Beyond the limit every row passes."""
+def _probed(df: DataFrame, key: Column, keys: DataFrame, column: str, n_keys: int) -> DataFrame:
+    """df with _maybe: whether the key may be among keys."""
     buckets = filter_buckets(n_keys)
-    if buckets * (BITMAP_BITS // 8) > limit:
-        return df
     bucket, bit = slot(key, buckets)
     probe = df.withColumn("_bucket", bucket).withColumn("_bit", bit)
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = probe.join(F.broadcast(key_filter(keys, column, buckets)), "_bucket").where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0)
-    return hit.select(*df.columns)
+    maybe = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0, F.lit(False))
+    return probe.join(F.broadcast(key_filter(keys, column, buckets)), "_bucket", "left").withColumn("_maybe", maybe)
+
+
+def _fits(n_keys: int, limit: int) -> bool:
+    return filter_buckets(n_keys) * (BITMAP_BITS // 8) <= limit
+
+
+def gated(df: DataFrame, key: Column, keys: DataFrame, column: str, n_keys: int, limit: int = FILTER_LIMIT_BYTES) -> DataFrame:
+    """Rows of df whose key may be among keys (false positives pass). Beyond the limit every row passes."""
+    if not _fits(n_keys, limit):
+        return df
+    return _probed(df, key, keys, column, n_keys).where("_maybe").select(*df.columns)
+
+
+def parted(df: DataFrame, key: Column, keys: DataFrame, column: str, n_keys: int, limit: int = FILTER_LIMIT_BYTES) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key may be among keys, and the rows whose key is not. Beyond the limit all are in the first."""
+    if not _fits(n_keys, limit):
+        return df, df.where(F.lit(False))
+    probed = _probed(df, key, keys, column, n_keys)
+    return probed.where("_maybe").select(*df.columns), probed.where("not _maybe").select(*df.columns)
+
+
+def without(df: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Rows of df whose doc_id is not among dropped (doc_id). Few rows move: only those that the filter can't clear."""
+    dropped = stored(dropped.select(F.col("doc_id").alias("_gone")).distinct(), "dropped")
+    near, far = parted(df, F.col("doc_id"), dropped, "_gone", dropped.count())
+    return near.join(dropped, near["doc_id"] == dropped["_gone"], "left_anti").unionByName(far)
