@@ -6,14 +6,56 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linework.llm import bottomk, lsm_dedup
+from linework.llm import bottomk, brown_lm, chat_format, gif, knn_quality, lsm_dedup, packing, suffix_dedup, wfst_pieces
 from linework.llm.common import read_table
 
+#: Where the public tokenizers' files are; None asks the installed package that ships them.
+TOKENIZERS: str | None = None
+SPACE_TOKENIZER, PIECE_MODEL = "word_bpe_49k.json", "piece_bpe_32k.model"
+
+
+def tokenizer_path(name: str) -> str:
+    if TOKENIZERS:
+        return f"{TOKENIZERS}/{name}"
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.text_media(read_table(spark, sf_dir, "documents"))
+
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsm_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op3_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_quality.scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op4_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path(SPACE_TOKENIZER))
+
+
+def op5_wfst_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(tokenizer_path(PIECE_MODEL), "rb") as f:
+        return wfst_pieces.piece_digests(read_table(spark, sf_dir, "documents"), f.read())
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op7_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.class_bigram_scores(read_table(spark, sf_dir, "documents"))
+
+
+def op8_chat_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = spark.createDataFrame([(-7, t, role, r"\### Assistant: </turn> ok") for t, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    return chat_format.read_back(chat_format.turns(read_table(spark, sf_dir, "conversations")).unionByName(planted))
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk.near_duplicates(read_table(spark, sf_dir, "documents"))
 
