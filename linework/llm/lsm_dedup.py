@@ -59,15 +59,14 @@ def exact_dedup(docs: DataFrame, filter_limit: int | None = None) -> DataFrame:
     index = DigestIndex(spark)
     runs = index.flush(docs)
     hits = stored(index.compacted().where("group_size > 1"), "hit-level")
-    n_hits = hits.count()
     joined = runs.join(hits, "digest", "left").select(
         "doc_id", "digest", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size")
     )
-    texts = documents(docs).select("doc_id", normalised(F.col("text")).alias("body")).withColumn("digest", F.unhex(F.sha2("body", 256)))
-    near = gated(texts, F.col("digest"), hits, "digest", n_hits, **({} if filter_limit is None else {"limit": filter_limit}))
-    stays = near.join(hits, "digest").where("doc_id = keep_id").groupBy("digest").agg(F.min("body").alias("kept_body"))
-    wrong = near.join(stays, "digest").where("body <> kept_body").select("doc_id", "digest", "body")
-    wrong = stored(wrong, "unequal")
+    asked = stored(runs.join(hits, "digest").select("doc_id", "digest", "keep_id").distinct(), "hits")
+    near = gated(documents(docs), F.col("doc_id"), asked, "doc_id", asked.count(), **({} if filter_limit is None else {"limit": filter_limit}))
+    bodies = stored(near.join(asked, "doc_id").select("doc_id", "digest", "keep_id", normalised(F.col("text")).alias("body")), "hit-texts")
+    stays = bodies.where("doc_id = keep_id").dropDuplicates(["digest"]).select("digest", F.col("body").alias("kept_body"))
+    wrong = stored(bodies.join(stays, "digest").where("body <> kept_body").select("doc_id", "digest", "body"), "unequal")
     if not wrong.isEmpty():
         joined = _regrouped(joined, wrong)
     return joined.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
