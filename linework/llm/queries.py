@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linework.llm import bottomk, brown_lm, chat_format, gif, knn_quality, lsm_dedup, packing, suffix_dedup, wfst_pieces
+from linework.llm import bottomk, brown_lm, chat_format, gif, knn_quality, lsm_dedup, packing, pii_weak, suffix_dedup, wfst_pieces
 from linework.llm.common import read_table
 
 #: Where the public tokenizers' files are; None asks the installed package that ships them.
@@ -56,6 +56,10 @@ def op8_chat_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.turns(read_table(spark, sf_dir, "conversations")).unionByName(planted))
 
 
+def op9_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_weak.detect(read_table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk.near_duplicates(read_table(spark, sf_dir, "documents"))
 
