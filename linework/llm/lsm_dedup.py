@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linework.llm.common import documents, gated, shared_dir, stored
+from linework.llm.common import documents, gated, parted, shared_dir, stored
 
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -87,6 +87,15 @@ def _regrouped(joined: DataFrame, wrong: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their own columns."""
-    keep = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(keep, docs["doc_id"] == F.col("_kept_id"), "left_semi")
+    """The documents that stay, with their own columns; of rows that repeat a doc_id and text, one.
+
+    Only rows of groups of equal texts are moved.
+    """
+    body = normalised(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    grouped = stored(exact_dedup(docs).where("group_size > 1").select(F.col("doc_id").alias("_id"), "kept", F.col("text_sha256").alias("_sha")).distinct(), "grouped")
+    near, far = parted(docs, F.col("doc_id").cast("long"), grouped, "_id", grouped.count())
+    near = near.withColumn("_own", F.sha2(body, 256))
+    met = near.join(grouped, near["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left")
+    alone = met.where("kept is null").select(*docs.columns)
+    stays = met.where("kept").dropDuplicates(["_id", "_sha"]).select(*docs.columns)
+    return far.unionByName(alone).unionByName(stays)

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linework.llm.common import documents, stored
+from linework.llm.common import documents, parted, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: The strict forms, as possessive patterns that match what the plain ones do in one pass over a text.
@@ -272,7 +272,8 @@ def redact(docs: DataFrame) -> DataFrame:
     lists = _per_document(spans(docs)).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "items")
     lists = stored(lists, "personal")
     text = F.coalesce(F.col("text"), F.lit(""))
-    met = docs.join(lists, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_k")), "left")
+    near, far = parted(docs, F.col("doc_id").cast("long"), lists, "_d", lists.count())
+    met = near.join(lists, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_k")), "left")
     # Spans in order; one that begins inside the one before only lengthens what that one hides.
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     walked = F.aggregate(
@@ -282,4 +283,4 @@ def redact(docs: DataFrame) -> DataFrame:
         ),
     )
     hidden = F.concat(walked["out"], F.substring(text, walked["at"] + 1, F.length(text)))
-    return met.withColumn("text", F.when(F.col("items").isNull(), F.col("text")).otherwise(hidden)).select(*docs.columns)
+    return met.withColumn("text", F.when(F.col("items").isNull(), F.col("text")).otherwise(hidden)).select(*docs.columns).unionByName(far)
