@@ -5,11 +5,16 @@ Words are maximal runs of bytes other than blank, tab, LF, VT, FF and CR; A-Z co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 
+T = TypeVar("T")
+
 #: Bytes of text that one NumPy pass takes, unless one document alone is longer.
 CHUNK_BYTES = 1 << 20
 
@@ -23,6 +28,14 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
 
+def kept_by_worker(name: str, make: Callable[[], T]) -> T:
+    """What make() gave first in this Python process: workers serve many tasks, and tables learnt in one help the next."""
+    shelf = sys.modules.setdefault("_linework_worker", types.ModuleType("_linework_worker")).__dict__
+    if name not in shelf:
+        shelf[name] = make()
+    return shelf[name]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser."""
     x = x + _U(0x9E3779B97F4A7C15)

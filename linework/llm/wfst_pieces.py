@@ -19,10 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from linework.llm.common import documents
+from linework.llm.kernels import kept_by_worker
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHED_WORDS = 200_000
+CACHED_WORDS = 500_000
+#: In the trie: no piece but the beginning of one, and a piece not yet tried.
+PREFIX, UNTRIED = -1, -2
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -75,13 +78,8 @@ class Transducer:
         self.byte_id = {int(p[0][1:-1], 16): i for i, p in enumerate(self.pieces) if p[2] == BYTE}
         self.id_of = {p[0]: i for i, p in enumerate(self.pieces) if p[2] in (NORMAL, USER)}
         self.score = [p[1] for p in self.pieces]
-        self.canonical: dict[int, bool] = {}
-        self.pair_kept: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, np.ndarray] = {}
-
-    @cached_property
-    def longest(self) -> int:
-        return max(map(len, self.id_of))
+        self.pair_kept: dict[tuple[str, str], bool] = {}
+        self.words: dict[str, bytes] = {}
 
     @cached_property
     def ends_inside(self) -> bool:
@@ -103,11 +101,6 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _is_canonical(self, piece: str, k: int) -> bool:
-        if (found := self.canonical.get(k)) is None:
-            found = self.canonical[k] = self.merged(piece) == [piece]
-        return found
-
     def _stays(self, left: str, right: str) -> bool:
         key = (left, right)
         if (found := self.pair_kept.get(key)) is None:
@@ -123,45 +116,66 @@ class Transducer:
             text = " " + text
         return text.replace(" ", SPACE) if self.escape else text
 
+    @cached_property
+    def trie(self) -> dict[str, int]:
+        """Id of each piece, UNTRIED until it is known to merge to itself, and PREFIX for what only begins some piece."""
+        out = {p[:n]: PREFIX for p in self.id_of for n in range(1, len(p))}
+        return out | dict.fromkeys(self.id_of, UNTRIED)
+
     def shortest_path(self, word: str) -> list[int]:
         """Ids along the least-weight path of a normalised text through pieces, byte arcs and the pair acceptor.
 
-        States after i characters are the pieces that can end there (or None after a byte arc), with the least weight of
-        a path to them; an arc goes on by a piece if the acceptor admits it after the state's piece.
+        States after i characters are (weight, piece that ends there, state before, ids); an arc goes on by a piece if
+        the acceptor admits it after the state's piece. Of states with one piece the lightest stays, the first on ties.
         """
-        n = len(word)
-        best: list[dict[str | None, tuple[int, int, str | None, list[int]]]] = [{} for _ in range(n + 1)]
-        best[0][""] = (0, 0, None, [])
+        n, trie, id_of, kept = len(word), self.trie, self.id_of, self.pair_kept
+        states: list[list[tuple]] = [[] for _ in range(n + 1)]
+        states[0].append((0, "", None, ()))
         for i in range(n):
-            if not best[i]:
+            here = states[i]
+            if not here:
                 continue
-            arcs = []
-            for j in range(i + 1, min(n, i + self.longest) + 1):
+            for j in range(i + 1, n + 1):
                 piece = word[i:j]
-                k = self.id_of.get(piece)
-                if k is not None and self._is_canonical(piece, k):
-                    arcs.append((j, piece, 0, [k]))
-            if word[i] not in self.id_of:
+                k = trie.get(piece)
+                if k is None:
+                    break
+                if k == UNTRIED:
+                    k = trie[piece] = id_of[piece] if self.merged(piece) == [piece] else PREFIX
+                if k == PREFIX:
+                    continue
+                for s in here:
+                    left = s[1]
+                    if left and left in id_of:
+                        ok = kept.get((left, piece))
+                        if ok is None:
+                            ok = self._stays(left, piece)
+                        if not ok:
+                            continue
+                    self._put(states[j], (s[0], piece, s, (k,)))
+            if word[i] not in id_of:
                 raw = word[i].encode("utf-8", "surrogatepass")
-                ids = [self.byte_id[b] for b in raw] if self.byte_id else [self.unknown]
-                arcs.append((i + 1, word[i], 1 if self.byte_id else 2, ids))
-            for left, (weight, _, _, _) in best[i].items():
-                for j, piece, cost, ids in arcs:
-                    if cost == 0 and left and left in self.id_of and not self._stays(left, piece):
-                        continue
-                    have = best[j].get(piece)
-                    if have is None or weight + cost < have[0]:
-                        best[j][piece] = (weight + cost, i, left, ids)
-        out: list[list[int]] = []
-        at, state = n, min(best[n], key=lambda x: best[n][x][0]) if best[n] else None
-        if n and state is None:
+                ids = tuple(self.byte_id[b] for b in raw) if self.byte_id else (self.unknown,)
+                for s in here:
+                    self._put(states[i + 1], (s[0] + (1 if self.byte_id else 2), word[i], s, ids))
+        if not states[n]:
             raise ValueError("no path")
-        while at:
-            _, before, left, ids = best[at][state]
-            out.append(ids)
-            at, state = before, left
+        state = min(states[n], key=lambda s: s[0])
+        out: list[tuple[int, ...]] = []
+        while state[2] is not None:
+            out.append(state[3])
+            state = state[2]
         return [x for ids in reversed(out) for x in ids]
 
+    @staticmethod
+    def _put(states: list[tuple], new: tuple) -> None:
+        for k, s in enumerate(states):
+            if s[1] == new[1]:
+                if new[0] < s[0]:
+                    states[k] = new
+                return
+        states.append(new)
+
     def encode(self, text: str) -> np.ndarray:
         parts = []
         text = self.normalise(text)
@@ -186,11 +200,11 @@ class Transducer:
             if ids is None:
                 if len(cache) > CACHED_WORDS:
                     cache.clear()
-                ids = np.array(self.shortest_path(w), np.int32)
+                ids = np.array(self.shortest_path(w), np.int32).tobytes()
                 if len(w) < 64:
                     cache[w] = ids
             parts.append(ids)
-        return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        return np.frombuffer(b"".join(parts), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         """The inverse path: pieces and bytes back to text; bytes that are no UTF-8 become U+FFFD."""
@@ -214,9 +228,14 @@ class Transducer:
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
+def machine_of(model: bytes) -> Transducer:
+    """A worker's own machine for a model, with the words and pairs it has met."""
+    return kept_by_worker(f"pieces:{zlib.crc32(model)}:{len(model)}", lambda: Transducer(model))
+
+
 def _encoded(model: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(model)
+        machine = machine_of(model)
         for batch in batches:
             names, ids = batch.column("doc_id"), []
             for i, text in enumerate(batch.column("text")):
@@ -244,7 +263,7 @@ def decode_documents(ids: DataFrame, model: bytes) -> DataFrame:
     """(doc_id, text) of (doc_id, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(model)
+        machine = machine_of(model)
         for batch in batches:
             texts = [machine.decode(np.array(x.as_py() or [], np.int64)) for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -262,7 +281,7 @@ def piece_digests(docs: DataFrame, model: bytes) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(model)
+        machine = machine_of(model)
         is_byte = np.array([p[2] == BYTE for p in machine.pieces])
         for batch in batches:
             rows = []
