@@ -16,56 +16,140 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linework.llm.common import documents, stored
-from linework.llm.kernels import chunks, span_hashes, words
+from linework.llm.kernels import chunks, kept_by_worker, span_hashes, words
 
 SEQUENCE = 2048
 #: Pieces that one task packs.
 GROUP_ROWS = 32_768
-#: Words that a worker keeps the ids of.
-CACHED_WORDS = 300_000
+#: Parts of words that a worker keeps the ids of.
+CACHED_WORDS = 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+_KIND = np.zeros(256, np.uint8)  # 1: ASCII letter, 2: ASCII digit, 3: ASCII sign but the apostrophe
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[48:58] = 2
+_KIND[[x for x in range(33, 127) if not chr(x).isalnum() and x != 39]] = 3
+
+
+def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document of parts of words that the vocabulary never joins.
+
+    Words are parted where an ASCII letter, digit or sign meets one of another kind. An apostrophe takes letters after
+    it, and what is beyond ASCII may compose or run on with its neighbours, so nothing is parted beside them.
+    """
+    starts, ends, doc = words(data, offsets)
+    kind = _KIND[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+    cut[starts] = cut[ends] = False
+    inner = np.flatnonzero(cut)
+    if not len(inner):
+        return starts, ends, doc
+    owner = np.searchsorted(starts, inner, side="right") - 1
+    all_starts, all_ends, all_doc = np.concatenate([starts, inner]), np.concatenate([ends, inner]), np.concatenate([doc, doc[owner]])
+    order = np.argsort(all_starts, kind="stable")
+    return all_starts[order], np.sort(all_ends), all_doc[order]
+
+
+class HashTable:
+    """Places of 64-bit keys, looked up by whole arrays: open addressing with a fixed room."""
+
+    def __init__(self, room: int):
+        self.mask = (1 << (4 * room - 1).bit_length()) - 1
+        self.keys, self.values = np.zeros(self.mask + 1, np.uint64), np.full(self.mask + 1, -1, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Value of each key, or -1."""
+        at = (keys & np.uint64(self.mask)).astype(np.int64)
+        out = self.values[at].astype(np.int64)
+        open_ = np.flatnonzero((out >= 0) & (self.keys[at] != keys))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & self.mask
+            out[open_] = self.values[at[open_]]
+            open_ = open_[(out[open_] >= 0) & (self.keys[at[open_]] != keys[open_])]
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Distinct keys that the table lacks."""
+        at = (keys & np.uint64(self.mask)).astype(np.int64)
+        while len(keys):
+            free = self.values[at] < 0
+            _, first = np.unique(at, return_index=True)
+            put = np.zeros(len(at), bool)
+            put[first] = True
+            put &= free
+            self.keys[at[put]], self.values[at[put]] = keys[put], values[put]
+            keys, values, at = keys[~put], values[~put], (at[~put] + 1) & self.mask
+
+
 class WordEncoder:
-    """Token ids of whole texts, word by word: this vocabulary never joins what white space parts."""
+    """Token ids of whole texts, part of word by part of word, each known one from a table."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size()
+        self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        #: Texts with these are not parted, as they are matched across kinds and by case.
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
-        self.where: dict[int, int] = {}
+        self.table = HashTable(CACHED_WORDS)
         self.starts, self.lengths, self.flat, self.used, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0, 0
 
-    def _add(self, keys: list[int], texts: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        new = np.fromiter((x for ids in found for x in ids), np.uint32, int(sizes.sum()))
+    def _add(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
         while self.count + len(keys) > len(self.starts):
             self.starts, self.lengths = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-        while self.used + len(new) > len(self.flat):
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         at = slice(self.count, self.count + len(keys))
         self.starts[at], self.lengths[at] = self.used + np.cumsum(sizes) - sizes, sizes
-        self.flat[self.used : self.used + len(new)] = new
-        self.where.update(zip(keys, range(self.count, self.count + len(keys)), strict=True))
-        self.count, self.used = self.count + len(keys), self.used + len(new)
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.table.add(keys, np.arange(self.count, self.count + len(keys), dtype=np.int32))
+        self.count, self.used = self.count + len(keys), self.used + len(ids)
+
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        """Ids of new parts. Parts of letters alone are one unit to the tokenizer, so many are encoded as one text."""
+        plain = [i for i, x in enumerate(texts) if x.isalpha() and "İ" not in x]
+        if plain:
+            ids = np.array(self.tokenizer.encode(" ".join([texts[i] for i in plain]), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(plain):
+                self._add(keys[plain], np.diff(ends, prepend=0), ids)
+            else:  # a word that normalising parts: one by one
+                plain = []
+        left = set(plain)
+        rest = [i for i in range(len(texts)) if i not in left]
+        if rest:
+            found = [e.ids for e in self.tokenizer.encode_batch([texts[i] for i in rest], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self._add(keys[rest], sizes, np.array([x for ids in found for x in ids], np.uint32))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the chunk's documents, and where each document's begin."""
-        starts, ends, doc = words(data, offsets)
-        if len(self.where) > CACHED_WORDS:
-            self.clear()
-        keys, first, inverse = np.unique(span_hashes(data, starts, ends, lower=False), return_index=True, return_inverse=True)
-        listed = keys.tolist()
-        missing = [i for i, x in enumerate(listed) if x not in self.where]
-        if missing:
-            raw = data.tobytes()
-            self._add([listed[i] for i in missing], [raw[starts[first[i]] : ends[first[i]]].decode("utf-8", "replace") for i in missing])
-        get = self.where.__getitem__
-        entry = np.fromiter(map(get, listed), np.int64, len(listed))[inverse]
+        raw = data.tobytes()
+        whole = any(x in raw for x in self.special)
+        starts, ends, doc = words(data, offsets) if whole else units(data, offsets)
+        hashes = span_hashes(data, starts, ends, lower=not whole)
+        if whole:
+            hashes ^= np.uint64(0x5DEECE66D)
+        entry = self.table.find(hashes)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            keys, first = np.unique(hashes[new], return_index=True)
+            if self.count + len(keys) > CACHED_WORDS:  # all of this chunk's parts are learnt anew
+                self.clear()
+                keys, first = np.unique(hashes, return_index=True)
+                new = np.arange(len(hashes))
+            if len(keys) > CACHED_WORDS:
+                self.table = HashTable(len(keys))
+            at = new[first]
+            text = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            self._learn(keys, text)
+            entry[new] = self.table.find(hashes[new])
         sizes = self.lengths[entry]
         until = np.cumsum(sizes)
         total = int(until[-1]) if len(until) else 0
@@ -76,7 +160,7 @@ class WordEncoder:
 
 def _cut(path: str, length: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = kept_by_worker(f"words:{path}", lambda: WordEncoder(path))
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
             for first, data, offsets in chunks(batch.column("text")):
