@@ -23,6 +23,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, also inside lambdas that take it many times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column | str) -> Column:
     """text without white space at either end, of all of Unicode."""
     return F.regexp_replace(col(text), rf"^[{WHITE}]+|[{WHITE}]+\z", "")
@@ -40,26 +45,42 @@ def clean_noise(text: Column | str) -> Column:
     return strip(F.regexp_replace(out, " {2,}", " "))
 
 
+#: Bands that an edit distance is sought in before all of it is computed.
+BANDS = (16, 64, 256, 1024)
+
+
+def edit_distance(a: Column | str, b: Column | str) -> Column:
+    """Edits of code points that turn a into b. Work grows with length times distance: narrow bands are tried first."""
+    a, b = col(a), col(b)
+    tries = [F.levenshtein(a, b, k) for k in BANDS]
+
+    def first(k: int) -> Column:
+        if k == len(tries):
+            return F.levenshtein(a, b)
+        return let(tries[k], lambda d: F.when(d >= 0, d).otherwise(first(k + 1)))
+
+    return first(0)
+
+
 def quick_cer(a: Column | str, b: Column | str) -> Column:
     """Edits over the length of b; 1 where b is empty."""
     a, b = col(a), col(b)
-    return F.when(F.length(b) == 0, 1.0).otherwise(F.levenshtein(a, b) / F.length(b))
+    return F.when(F.length(b) == 0, 1.0).otherwise(edit_distance(a, b) / F.length(b))
 
 
 def word_distance(a: Column, b: Column) -> Column:
     """Edit distance of two arrays of words: each distinct word becomes one character."""
-    vocabulary = F.array_distinct(F.concat(a, b))
 
-    def spelled(words: Column) -> Column:
+    def letter(w: Column, vocabulary: Column) -> Column:
         # Code points from U+4E00 on, past the surrogates where a vocabulary is that large.
-        def letter(w: Column) -> Column:
-            k = F.array_position(vocabulary, w).cast("int") - 1
-            code = F.when(k < 0x8A00, k + 0x4E00).otherwise(k - 0x8A00 + 0x10000)
-            return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32BE")
+        k = F.array_position(vocabulary, w).cast("int") - 1
+        code = F.when(k < 0x8A00, k + 0x4E00).otherwise(k - 0x8A00 + 0x10000)
+        return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "utf-32")
 
-        return F.array_join(F.transform(words, letter), "")
+    def spelled(words: Column, vocabulary: Column) -> Column:
+        return F.array_join(F.transform(words, lambda w: letter(w, vocabulary)), "")
 
-    return F.levenshtein(spelled(a), spelled(b))
+    return let(F.array_distinct(F.concat(a, b)), lambda v: edit_distance(spelled(a, v), spelled(b, v)))
 
 
 def correctable(core: Column, whitelist: Column | None = None) -> Column:

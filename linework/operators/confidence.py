@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linework.config import CONFIG
-from linework.functions.text import WORD_START, clean_noise, keyword_hit, quick_cer, split_words, strip
+from linework.functions.text import WORD_START, clean_noise, keyword_hit, let, quick_cer, split_words, strip
 
 R, P = CONFIG.recognition, CONFIG.postprocessing
 
@@ -82,9 +82,11 @@ def ink_words(columns: Column, share: float = 0.05) -> Column:
         around = F.slice(columns, F.greatest(i - 2, F.lit(0)) + 1, F.least(i + 3, n) - F.greatest(i - 2, F.lit(0)))
         return F.aggregate(around, F.lit(0.0), lambda a, x: a + x) / 5
 
-    smooth = F.transform(at, mean)
-    on = F.transform(smooth, lambda v: v > F.array_max(smooth) * share)
-    return F.size(F.filter(at, lambda i: F.get(on, i) & ~F.coalesce(F.get(on, i - 1), F.lit(False))))
+    def runs(smooth: Column, top: Column) -> Column:
+        start = F.struct(F.lit(False).alias("on"), F.lit(0).alias("n"))
+        return F.aggregate(smooth, start, lambda acc, v: F.struct((v > top).alias("on"), (acc["n"] + F.when((v > top) & ~acc["on"], 1).otherwise(0)).alias("n")))["n"]
+
+    return let(F.transform(at, mean), lambda smooth: let(F.array_max(smooth) * share, lambda top: runs(smooth, top)))
 
 
 def hallucination_risk(text: Column, probabilities: Column, runs: Column) -> Column:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linework.functions.text import BOS, EOS
+from linework.functions.text import BOS, EOS, let
 from linework.operators.losses import softmax, top_probability
 
 Step = Callable[[object, list[int]], np.ndarray]
@@ -26,8 +26,7 @@ def top_k(logits: Column | str, k: int) -> Column:
     """array<struct(id, p)> of the k likeliest entries, the smaller id on ties."""
     logits = F.col(logits) if isinstance(logits, str) else logits
     order = F.array_sort(F.transform(logits, lambda x, i: F.struct((-x).alias("s"), i.alias("id"))))
-    p = softmax(logits)
-    return F.transform(F.slice(order, 1, k), lambda x: F.struct(x["id"].alias("id"), F.get(p, x["id"]).alias("p")))
+    return let(softmax(logits), lambda p: F.transform(F.slice(order, 1, k), lambda x: F.struct(x["id"].alias("id"), F.get(p, x["id"]).alias("p"))))
 
 
 def step_tokens(steps: DataFrame, logits: str, *line: str) -> DataFrame:

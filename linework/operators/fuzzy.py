@@ -70,7 +70,9 @@ def closest_terms(words: DataFrame, dictionary: DataFrame, most: int = P.max_edi
     rest = asked.join(dictionary.select(F.col("term").alias("word")), "word", "left_anti")
     left = rest.select("word", F.explode(deletions(F.col("word"), most)).alias("key"))
     right = dictionary.select("term", "count", F.explode(deletions(F.col("term"), most)).alias("key"))
-    met = left.join(right, "key").where(F.abs(F.length("word") - F.length("term")) <= most).select("word", "term", "count").distinct()
+    # A swap is two plain edits, so farther pairs can't be near; few are left for the exact distance.
+    near = (F.abs(F.length("word") - F.length("term")) <= most) & (F.levenshtein("word", "term", 2 * most) >= 0)
+    met = left.join(right, "key").where(near).select("word", "term", "count").distinct()
     near = met.withColumn("distance", _distance(most)("word", "term")).where(F.col("distance") <= most)
     best = near.groupBy("word").agg(F.min(F.struct("distance", (-F.col("count")).alias("c"), "term")).alias("b"))
     return own.unionByName(best.select("word", "b.term", "b.distance"))

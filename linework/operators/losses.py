@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linework.config import CONFIG
+from linework.functions.text import let
 
 T = CONFIG.training
 
@@ -14,23 +15,24 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def softmax(logits: Column | str) -> Column:
+def _shifted(logits: Column | str) -> Column:
+    """exp of each score less the highest."""
     logits = F.col(logits) if isinstance(logits, str) else logits
-    e = F.transform(logits, lambda x: F.exp(x.cast("double") - F.array_max(logits)))
-    return F.transform(e, lambda x: x / total(e))
+    return let(F.array_max(logits).cast("double"), lambda top: F.transform(logits, lambda x: F.exp(x.cast("double") - top)))
+
+
+def softmax(logits: Column | str) -> Column:
+    return let(_shifted(logits), lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def top_probability(logits: Column | str) -> Column:
     """Probability of the likeliest entry."""
-    logits = F.col(logits) if isinstance(logits, str) else logits
-    return 1 / total(F.transform(logits, lambda x: F.exp(x.cast("double") - F.array_max(logits))))
+    return 1 / total(_shifted(logits))
 
 
 def cross_entropy(logits: Column | str, label: Column | str) -> Column:
     logits, label = (F.col(x) if isinstance(x, str) else x for x in (logits, label))
-    top = F.array_max(logits)
-    norm = F.log(total(F.transform(logits, lambda x: F.exp(x.cast("double") - top)))) + top
-    return norm - F.get(logits, label)
+    return F.log(total(_shifted(logits))) + F.array_max(logits) - F.get(logits, label)
 
 
 def focal_loss(rows: DataFrame, logits: str, label: str, gamma: float = T.focal_gamma, ignore: int = T.ignore_index) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linework.functions.text import split_words, word_distance, word_overlap
+from linework.functions.text import edit_distance, split_words, word_distance, word_overlap
 
 
 def paired(predictions: DataFrame, references: DataFrame, *keys: str) -> DataFrame:
@@ -15,7 +15,7 @@ def paired(predictions: DataFrame, references: DataFrame, *keys: str) -> DataFra
 
 def with_errors(pairs: DataFrame, words: bool = True) -> DataFrame:
     """pairs (prediction, reference) with edit counts and reference lengths of characters and words."""
-    out = pairs.withColumns({"char_edits": F.levenshtein("prediction", "reference"), "chars": F.length("reference")})
+    out = pairs.withColumns({"char_edits": edit_distance("prediction", "reference"), "chars": F.length("reference")})
     if words:
         p, r = split_words("prediction"), split_words("reference")
         out = out.withColumns({"word_edits": word_distance(p, r), "words": F.size(r)})

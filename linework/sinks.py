@@ -90,9 +90,9 @@ def print_results(lines: DataFrame, rows: int = 200) -> None:
     lines.orderBy("doc_id", "line_index").select("line_index", "corrected_text", F.round("confidence", 2).alias("confidence"), "is_low_confidence").show(rows, truncate=False)
 
 
-def batch_summary(lines: DataFrame, seconds: DataFrame | None = None, doc: str = "doc_id") -> DataFrame:
+def batch_summary(lines: DataFrame, seconds: DataFrame | None = None, doc: str = "doc_id", digits: int = 4) -> DataFrame:
     """(doc, lines, mean_confidence, inference_sec) of every document."""
-    rows = lines.groupBy(doc).agg(F.count("*").alias("lines"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))
+    rows = lines.groupBy(doc).agg(F.count("*").alias("lines"), F.round(F.avg("confidence"), digits).alias("mean_confidence"))
     if seconds is None:
         return rows
     return seconds.join(rows, doc, "left").select(doc, F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("mean_confidence", F.lit(0.0)).alias("mean_confidence"), F.round("seconds", 2).alias("inference_sec"))
