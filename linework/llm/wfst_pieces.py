@@ -9,6 +9,7 @@ merges to itself. So the acceptor leaves one path, of weight 0, through the piec
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -78,13 +79,30 @@ class Transducer:
         self.byte_id = {int(p[0][1:-1], 16): i for i, p in enumerate(self.pieces) if p[2] == BYTE}
         self.id_of = {p[0]: i for i, p in enumerate(self.pieces) if p[2] in (NORMAL, USER)}
         self.score = [p[1] for p in self.pieces]
-        self.pair_kept: dict[tuple[str, str], bool] = {}
+        self.pair_kept: dict[str, dict[str, bool]] = {}
+        self.pairs = 0
         self.words: dict[str, bytes] = {}
 
     @cached_property
-    def ends_inside(self) -> bool:
-        """Whether some piece has a blank after another character, so that words are not apart."""
-        return any(SPACE in p.lstrip(SPACE) for p in self.id_of)
+    def unit(self) -> re.Pattern[str]:
+        """Matches the parts of a normalised text that no piece reaches beyond, so that each can be encoded by itself.
+
+        Characters fall into kinds; a part goes on from one kind to another only where the two meet in that order inside
+        some piece, and has the blanks before it. If pieces have blanks after other characters, the text is one part.
+        """
+        kinds = {"letter": "a-zA-Z", "digit": "0-9", "sign": "!-/:-@\\[-`{-~", "other": f"\x00-\x20\x7f-{chr(ord(SPACE) - 1)}{chr(ord(SPACE) + 1)}-\U0010ffff"}
+        kind = {k: re.compile(f"[{c}]") for k, c in kinds.items()}
+
+        def of(ch: str) -> str:
+            return "blank" if ch == SPACE else next(k for k, p in kind.items() if p.match(ch))
+
+        met = {(of(x), of(y)) for piece in self.id_of for x, y in zip(piece, piece[1:], strict=False)}
+        if any(y == "blank" and x != "blank" for x, y in met):
+            return re.compile(r"(?s).+")
+        run = {k: f"[{c}]{'+' if (k, k) in met else ''}" for k, c in kinds.items()}
+        before = {y: "".join(kinds[x] for x in kinds if x != y and (x, y) in met) for y in kinds}
+        further = "|".join(f"(?<=[{before[y]}]){run[y]}" for y in kinds if before[y])
+        return re.compile(f"{SPACE}*(?:{'|'.join(run.values())})" + (f"(?:{further})*" if further else "") + f"|{SPACE}+")
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text: the best-scoring neighbours join first, leftmost on ties."""
@@ -101,12 +119,18 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _stays(self, left: str, right: str) -> bool:
-        key = (left, right)
-        if (found := self.pair_kept.get(key)) is None:
-            if len(self.pair_kept) > 500_000:
+    def _after(self, left: str) -> dict[str, bool]:
+        """Which pieces the acceptor admits after a piece, as far as known."""
+        if (known := self.pair_kept.get(left)) is None:
+            if self.pairs > 1_000_000:
                 self.pair_kept.clear()
-            found = self.pair_kept[key] = self.merged(left + right) == [left, right]
+                self.pairs = 0
+            known = self.pair_kept[left] = {}
+        return known
+
+    def _stays(self, left: str, right: str, known: dict[str, bool]) -> bool:
+        self.pairs += 1
+        known[right] = found = self.merged(left + right) == [left, right]
         return found
 
     def normalise(self, text: str) -> str:
@@ -122,50 +146,106 @@ class Transducer:
         out = {p[:n]: PREFIX for p in self.id_of for n in range(1, len(p))}
         return out | dict.fromkeys(self.id_of, UNTRIED)
 
+    def _arcs(self, word: str, i: int) -> list[tuple[str, int]]:
+        """Pieces that start at a place of word and merge to themselves, shortest first."""
+        trie, out = self.trie, []
+        for j in range(i + 1, len(word) + 1):
+            piece = word[i:j]
+            k = trie.get(piece)
+            if k is None:
+                break
+            if k == UNTRIED:
+                k = trie[piece] = self.id_of[piece] if self.merged(piece) == [piece] else PREFIX
+            if k >= 0:
+                out.append((piece, k))
+        return out
+
+    def _free_path(self, word: str) -> list[int] | None:
+        """Ids of a path of weight 0, the least there is, found depth first; None if there is none."""
+        n, dead = len(word), set()
+        at, left, ids = 0, None, []
+        trail: list[tuple] = []
+        arcs = self._arcs(word, 0)
+        while True:
+            known = self._after(left) if left is not None else None
+            while arcs:
+                piece, k = arcs.pop()
+                if known is not None:
+                    ok = known.get(piece)
+                    if ok is None:
+                        ok = self._stays(left, piece, known)
+                    if not ok:
+                        continue
+                there = at + len(piece)
+                if there == n:
+                    return [*ids, k]
+                if (there, piece) in dead:
+                    continue
+                trail.append((at, left, arcs))
+                ids.append(k)
+                at, left, arcs = there, piece, self._arcs(word, there)
+                break
+            else:
+                if not trail:
+                    return None
+                dead.add((at, left))
+                at, left, arcs = trail.pop()
+                ids.pop()
+                continue
+
     def shortest_path(self, word: str) -> list[int]:
         """Ids along the least-weight path of a normalised text through pieces, byte arcs and the pair acceptor.
 
-        States after i characters are (weight, piece that ends there, state before, ids); an arc goes on by a piece if
-        the acceptor admits it after the state's piece. Of states with one piece the lightest stays, the first on ties.
+        A path without byte arcs weighs nothing and is taken at once. Else states after i characters are (weight, piece
+        that ends there, state before, ids); an arc goes on by a piece if the acceptor admits it after the state's piece.
+        Of states with one piece the lightest stays, the first on ties.
         """
-        n, trie, id_of, kept = len(word), self.trie, self.id_of, self.pair_kept
+        if word and (free := self._free_path(word)) is not None:
+            return free
+        n, trie, id_of = len(word), self.trie, self.id_of
         states: list[list[tuple]] = [[] for _ in range(n + 1)]
-        states[0].append((0, "", None, ()))
+        states[0].append((0, "", None, None))
         for i in range(n):
-            here = states[i]
-            if not here:
-                continue
-            for j in range(i + 1, n + 1):
-                piece = word[i:j]
-                k = trie.get(piece)
-                if k is None:
-                    break
-                if k == UNTRIED:
-                    k = trie[piece] = id_of[piece] if self.merged(piece) == [piece] else PREFIX
-                if k == PREFIX:
-                    continue
-                for s in here:
-                    left = s[1]
-                    if left and left in id_of:
-                        ok = kept.get((left, piece))
+            for s in states[i]:
+                weight, left = s[0], s[1]
+                known = self._after(left) if left in id_of else None
+                for j in range(i + 1, n + 1):
+                    piece = word[i:j]
+                    k = trie.get(piece)
+                    if k is None:
+                        break
+                    if k < 0:
+                        if k == PREFIX:
+                            continue
+                        k = trie[piece] = id_of[piece] if self.merged(piece) == [piece] else PREFIX
+                        if k == PREFIX:
+                            continue
+                    if known is not None:
+                        ok = known.get(piece)
                         if ok is None:
-                            ok = self._stays(left, piece)
+                            ok = self._stays(left, piece, known)
                         if not ok:
                             continue
-                    self._put(states[j], (s[0], piece, s, (k,)))
-            if word[i] not in id_of:
-                raw = word[i].encode("utf-8", "surrogatepass")
-                ids = tuple(self.byte_id[b] for b in raw) if self.byte_id else (self.unknown,)
-                for s in here:
-                    self._put(states[i + 1], (s[0] + (1 if self.byte_id else 2), word[i], s, ids))
+                    there = states[j]
+                    if there:
+                        self._put(there, (weight, piece, s, k))
+                    else:
+                        there.append((weight, piece, s, k))
+                if word[i] not in id_of:
+                    raw = word[i].encode("utf-8", "surrogatepass")
+                    ids = tuple(self.byte_id[b] for b in raw) if self.byte_id else (self.unknown,)
+                    self._put(states[i + 1], (weight + (1 if self.byte_id else 2), word[i], s, ids))
         if not states[n]:
             raise ValueError("no path")
         state = min(states[n], key=lambda s: s[0])
-        out: list[tuple[int, ...]] = []
+        out: list[int] = []
         while state[2] is not None:
-            out.append(state[3])
+            if isinstance(state[3], int):
+                out.append(state[3])
+            else:
+                out += state[3][::-1]
             state = state[2]
-        return [x for ids in reversed(out) for x in ids]
+        return out[::-1]
 
     @staticmethod
     def _put(states: list[tuple], new: tuple) -> None:
@@ -177,54 +257,38 @@ class Transducer:
         states.append(new)
 
     def encode(self, text: str) -> np.ndarray:
-        parts = []
-        text = self.normalise(text)
-        if self.ends_inside:
-            words = [text] if text else []
-        else:  # a cut before each blank that follows another character
-            words, run = [], ""
-            for k, w in enumerate(text.split(SPACE)):
-                if k == 0:
-                    if w:
-                        words.append(w)
-                    continue
-                run += SPACE
-                if w:
-                    words.append(run + w)
-                    run = ""
-            if run:
-                words.append(run)
         cache = self.words
-        for w in words:
-            ids = cache.get(w)
+        parts = self.unit.findall(self.normalise(text))
+        found = list(map(cache.get, parts))
+        for k, ids in enumerate(found):
             if ids is None:
-                if len(cache) > CACHED_WORDS:
-                    cache.clear()
-                ids = np.array(self.shortest_path(w), np.int32).tobytes()
-                if len(w) < 64:
-                    cache[w] = ids
-            parts.append(ids)
-        return np.frombuffer(b"".join(parts), np.int32)
+                w = parts[k]
+                ids = cache.get(w)
+                if ids is None:
+                    if len(cache) > CACHED_WORDS:
+                        cache.clear()
+                    ids = np.array(self.shortest_path(w), np.int32).tobytes()
+                    if len(w) < 64:
+                        cache[w] = ids
+                found[k] = ids
+        return np.frombuffer(b"".join(found), np.int32)
+
+    @cached_property
+    def shown(self) -> list[bytes]:
+        """What each id puts out."""
+
+        def of(piece: str, kind: int) -> bytes:
+            if kind == BYTE:
+                return bytes([int(piece[1:-1], 16)])
+            if kind == UNKNOWN:
+                return " ⁇ ".encode()
+            return (piece.replace(SPACE, " ") if self.escape else piece).encode() if kind in (NORMAL, USER) else b""
+
+        return [of(piece, kind) for piece, _, kind in self.pieces]
 
     def decode(self, ids: np.ndarray) -> str:
         """The inverse path: pieces and bytes back to text; bytes that are no UTF-8 become U+FFFD."""
-        out: list[str] = []
-        raw = bytearray()
-        for k in ids.tolist():
-            piece, _, kind = self.pieces[k]
-            if kind == BYTE:
-                raw.append(int(piece[1:-1], 16))
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            if kind in (NORMAL, USER):
-                out.append(piece)
-            elif kind == UNKNOWN:
-                out.append(" ⁇ ")
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ") if self.escape else "".join(out)
+        text = b"".join(map(self.shown.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
