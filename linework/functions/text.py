@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from linework.config import CONFIG
+from linework.functions.distance import text_edits, word_edits
 
 #: White space, quote marks and signs that patterns name.
 WHITE = r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -45,21 +46,9 @@ def clean_noise(text: Column | str) -> Column:
     return strip(F.regexp_replace(out, " {2,}", " "))
 
 
-#: Bands that an edit distance is sought in before all of it is computed.
-BANDS = (16, 64, 256, 1024)
-
-
 def edit_distance(a: Column | str, b: Column | str) -> Column:
-    """Edits of code points that turn a into b. Work grows with length times distance: narrow bands are tried first."""
-    a, b = col(a), col(b)
-    tries = [F.levenshtein(a, b, k) for k in BANDS]
-
-    def first(k: int) -> Column:
-        if k == len(tries):
-            return F.levenshtein(a, b)
-        return let(tries[k], lambda d: F.when(d >= 0, d).otherwise(first(k + 1)))
-
-    return first(0)
+    """Edits of code points that turn a into b."""
+    return text_edits(col(a), col(b))
 
 
 def quick_cer(a: Column | str, b: Column | str) -> Column:
@@ -69,18 +58,8 @@ def quick_cer(a: Column | str, b: Column | str) -> Column:
 
 
 def word_distance(a: Column, b: Column) -> Column:
-    """Edit distance of two arrays of words: each distinct word becomes one character."""
-
-    def letter(w: Column, vocabulary: Column) -> Column:
-        # Code points from U+4E00 on, past the surrogates where a vocabulary is that large.
-        k = F.array_position(vocabulary, w).cast("int") - 1
-        code = F.when(k < 0x8A00, k + 0x4E00).otherwise(k - 0x8A00 + 0x10000)
-        return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "utf-32")
-
-    def spelled(words: Column, vocabulary: Column) -> Column:
-        return F.array_join(F.transform(words, lambda w: letter(w, vocabulary)), "")
-
-    return let(F.array_distinct(F.concat(a, b)), lambda v: edit_distance(spelled(a, v), spelled(b, v)))
+    """Edits of whole words that turn one array into the other."""
+    return word_edits(a, b)
 
 
 def correctable(core: Column, whitelist: Column | None = None) -> Column:

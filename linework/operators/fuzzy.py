@@ -53,9 +53,9 @@ def deletions(word: Column, most: int = P.max_edit_distance, prefix: int = P.pre
 
 def _distance(most: int):
     @F.pandas_udf("int")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b in batches:
-            yield pd.Series([alignment_distance(x, y, most) for x, y in zip(a, b, strict=True)], dtype="int32")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b, plain, swapped in batches:
+            yield pd.Series([alignment_distance(x, y, most) if s else d for x, y, d, s in zip(a, b, plain, swapped, strict=True)], dtype="int32")
 
     return run
 
@@ -65,17 +65,22 @@ def closest_terms(words: DataFrame, dictionary: DataFrame, most: int = P.max_edi
 
     Words of the dictionary are their own term. Words with no term in reach have no row.
     """
+    letters = lambda c: F.array_join(F.sort_array(F.split(c, "")), "")
     asked = words.select("word").where("word is not null and word <> ''").distinct()
-    own = asked.join(dictionary.select(F.col("term").alias("word")), "word", "left_semi").select("word", F.col("word").alias("term"), F.lit(0).alias("distance"))
-    rest = asked.join(dictionary.select(F.col("term").alias("word")), "word", "left_anti")
-    left = rest.select("word", F.explode(deletions(F.col("word"), most)).alias("key"))
-    right = dictionary.select("term", "count", F.explode(deletions(F.col("term"), most)).alias("key"))
-    # A swap is two plain edits, so farther pairs can't be near; few are left for the exact distance.
-    near = (F.abs(F.length("word") - F.length("term")) <= most) & (F.levenshtein("word", "term", 2 * most) >= 0)
-    met = left.join(right, "key").where(near).select("word", "term", "count").distinct()
-    near = met.withColumn("distance", _distance(most)("word", "term")).where(F.col("distance") <= most)
+    left = asked.select("word", letters("word").alias("letters"), F.explode(deletions(F.col("word"), most)).alias("key"))
+    right = dictionary.select("term", "count", letters("term").alias("own"), F.explode(deletions(F.col("term"), most)).alias("key"))
+    # Few bytes but much work: a set number of partitions keeps adaptive execution from merging them into one.
+    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = left.repartition(n, "key").join(right.repartition(n, "key"), "key").where(F.abs(F.length("word") - F.length("term")) <= most).withColumn("d", F.levenshtein("word", "term", 2 * most)).where("d >= 0")
+    # A swap is two plain edits and keeps the letters, any other edit changes two of them at most: with an even number of
+    # plain edits all can be swaps, with an odd one all but one. Only such pairs can be nearer than plain edits say, and
+    # only for those is the exact distance computed.
+    others = F.when(F.col("d") > most, 2 * most - F.col("d")).otherwise(F.greatest(F.col("d") - 2, F.lit(0)))
+    swapped = (F.col("d") > 1) & (F.levenshtein("letters", "own") <= 2 * others)
+    met = met.withColumn("swapped", swapped).where((F.col("d") <= most) | F.col("swapped")).select("word", "term", "count", "d", "swapped").distinct()
+    near = met.withColumn("distance", _distance(most)("word", "term", "d", "swapped")).where(F.col("distance") <= most)
     best = near.groupBy("word").agg(F.min(F.struct("distance", (-F.col("count")).alias("c"), "term")).alias("b"))
-    return own.unionByName(best.select("word", "b.term", "b.distance"))
+    return best.select("word", "b.term", "b.distance")
 
 
 def corrected(lines: DataFrame, dictionary: DataFrame, whitelist: list[str] | None = None, *keys: str) -> DataFrame:

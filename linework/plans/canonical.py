@@ -17,9 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: dealt out anew only where it has fewer splits than there are cores, as small tables have."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, line_index, raw_text, tag, difficulty_tag, confidence, needs_review."""
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    docs, labels = spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "labels").select("doc_id", "quality")
     tag = F.when(F.col("quality") == 1, "clean").when(F.col("quality") == 0, "hard").otherwise("other")
     rows = docs.join(labels, "doc_id", "left").select("doc_id", tag.alias("tag"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_index", "raw_text"))
     number = F.col("doc_id") * 31 + F.col("line_index") * 17
@@ -114,4 +120,4 @@ def raster_pages(spark: SparkSession, sf_dir: str, width: int = 64) -> DataFrame
     raw = F.coalesce("text", F.lit("")).cast("binary")
     rows = F.greatest(F.lit(32), F.ceil(F.octet_length(raw) / width)).cast("int")
     pixels = F.rpad(raw, rows * width, F.unhex(F.lit("FF")))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("page_id"), F.lit(0).alias("page_no"), rows.alias("height"), F.lit(width).alias("width"), F.lit(1).alias("channels"), pixels.alias("pixels"))
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("page_id"), F.lit(0).alias("page_no"), rows.alias("height"), F.lit(width).alias("width"), F.lit(1).alias("channels"), pixels.alias("pixels"))

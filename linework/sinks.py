@@ -1,6 +1,5 @@
 """What results are written as: text, confidence tables, page layouts, reports, metadata."""
 
-from __future__ import annotations
 
 import logging
 import sys
@@ -20,8 +19,8 @@ def full_texts(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 
 def save_text(lines: DataFrame, path: str, doc: str = "doc_id") -> None:
-    """One text file row per document, under a folder for each."""
-    full_texts(lines, doc).select("value", doc).write.mode("overwrite").option("lineSep", "").partitionBy(doc).text(path)
+    """A text file per document, under a folder for each. The writer ends the file with a line break; full_texts() has none."""
+    full_texts(lines, doc).select("value", doc).write.mode("overwrite").partitionBy(doc).text(path)
 
 
 def confidence_rows(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
