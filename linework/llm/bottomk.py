@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from linework.llm.common import documents, gated, stored
 from linework.llm.components import components
-from linework.llm.kernels import chunks, mixed, shingle_sets
+from linework.llm.kernels import chunks, mixed, shingle_sets, tidied
 
 #: Values that a set retains: LONG_SKETCH if it has over SHORT_SET items, else SHORT_SKETCH.
 SHORT_SET, SHORT_SKETCH, LONG_SKETCH = 200, 170, 64
@@ -85,7 +85,7 @@ def _full_sets(width: int):
 
 def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
     """Per document: set size n, two 64-bit fingerprints of the set, and its smallest values, ascending."""
-    return documents(docs).mapInArrow(_sketched(width), "doc_id long, n long, print_a long, print_b long, sketch array<long>")
+    return documents(docs).mapInArrow(tidied(_sketched(width)), "doc_id long, n long, print_a long, print_b long, sketch array<long>")
 
 
 def _lists(reps: DataFrame, percent: int) -> DataFrame:
@@ -143,7 +143,7 @@ def _sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, items): the full shingle sets of the documents named."""
     asked = stored(ids.distinct(), "asked")
     texts = gated(documents(docs), F.col("doc_id"), asked, "doc_id", asked.count()).join(asked, "doc_id", "left_semi")
-    return stored(texts.mapInArrow(_full_sets(width), "doc_id long, items array<long>").dropDuplicates(["doc_id"]), "sets")
+    return stored(texts.mapInArrow(tidied(_full_sets(width)), "doc_id long, items array<long>").dropDuplicates(["doc_id"]), "sets")
 
 
 def _crossing_long(placed: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linework.llm.common import documents
+from linework.llm.kernels import tidied
 
 WIDTH = 64
 #: Rows of a frame that encode() makes: 16 KB.
@@ -329,7 +330,7 @@ def frames(media: DataFrame) -> DataFrame:
     names = [x.split()[0] for x in FRAMES.split(", ")]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 3]
     schema = pa.schema(list(zip(names, kinds, strict=True)))
-    return media.select("doc_id", "media").mapInArrow(run, FRAMES)
+    return media.select("doc_id", "media").mapInArrow(tidied(run), FRAMES)
 
 
 def encoded(docs: DataFrame) -> DataFrame:
@@ -340,7 +341,7 @@ def encoded(docs: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), pa.array([encode(payload(batch.column("text")[i].as_py() or ""))], pa.binary())], ["doc_id", "media"])
 
-    return documents(docs).mapInArrow(run, "doc_id long, media binary")
+    return documents(docs).mapInArrow(tidied(run), "doc_id long, media binary")
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames int, duration_ms long"
@@ -375,4 +376,4 @@ def text_media(docs: DataFrame) -> DataFrame:
 
     Null text counts as empty; rows that repeat a doc_id are stored each; an empty table gives no rows.
     """
-    return documents(docs).mapInArrow(_digests, DIGEST)
+    return documents(docs).mapInArrow(tidied(_digests), DIGEST)

@@ -5,6 +5,9 @@ Words are maximal runs of bytes other than blank, tab, LF, VT, FF and CR; A-Z co
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -16,7 +19,7 @@ import pyarrow as pa
 T = TypeVar("T")
 
 #: Bytes of text that one NumPy pass takes, unless one document alone is longer.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _U = np.uint64
 _BLANK = np.zeros(256, bool)
@@ -36,6 +39,23 @@ def kept_by_worker(name: str, make: Callable[[], T]) -> T:
     return shelf[name]
 
 
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker gives freed memory back: idle workers stay, and share a machine with what runs next."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser."""
     x = x + _U(0x9E3779B97F4A7C15)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linework.llm.common import documents
-from linework.llm.kernels import chunks, word_hashes
+from linework.llm.kernels import chunks, tidied, word_hashes
 
 CLASSES = 16
 REPEATS = 24
@@ -108,16 +108,23 @@ def fit(counts: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS, se
     return voter
 
 
+def _part(data: np.ndarray, offsets: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of the BLOCK documents from i on."""
+    o = offsets[i : i + BLOCK + 1]
+    return data[o[0] : o[-1]], o - o[0]
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, data, offsets in chunks(batch.column("text")):
             n = len(offsets) - 1
             at, found, begin = [], [], [0]
-            for row in term_counts(data, offsets):
-                hit = np.flatnonzero(row)
-                at.append(hit.astype(np.int32))
-                found.append(row[hit].astype(np.int32))
-                begin.append(begin[-1] + len(hit))
+            for i in range(0, n, BLOCK):
+                for row in term_counts(*_part(data, offsets, i)):
+                    hit = np.flatnonzero(row)
+                    at.append(hit.astype(np.int32))
+                    found.append(row[hit].astype(np.int32))
+                    begin.append(begin[-1] + len(hit))
             starts = pa.array(np.array(begin, np.int32))
             lists = [pa.ListArray.from_arrays(starts, pa.array(np.concatenate(x))) for x in (at, found)]
             yield pa.RecordBatch.from_arrays([batch.column("label").slice(first, n), batch.column("order").slice(first, n), *lists], ["label", "order", "terms", "counts"])
@@ -129,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, rows: int = SAMPLE
     marked = marked.where(F.crc32(F.col("doc_id").cast("string")) % folds != 0).dropDuplicates(["doc_id"])
     sample = marked.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(rows)
     texts = documents(docs).join(F.broadcast(sample), "doc_id").select("label", "order", "text")
-    found = texts.mapInArrow(_counted, "label int, order long, terms array<int>, counts array<int>").toArrow().sort_by([("order", "ascending")])
+    found = texts.mapInArrow(tidied(_counted), "label int, order long, terms array<int>, counts array<int>").toArrow().sort_by([("order", "ascending")])
     counts = np.zeros((min(found.num_rows, rows), TERMS), np.float32)
     for i in range(len(counts)):
         counts[i, found["terms"][i].values.to_numpy()] = found["counts"][i].values.to_numpy()
@@ -141,7 +148,7 @@ def _scored(voter: Voter):
         for batch in batches:
             for first, data, offsets in chunks(batch.column("text")):
                 n = len(offsets) - 1
-                scores = [voter.score(term_counts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])) for i in range(0, n, BLOCK) for j in [min(n, i + BLOCK)]]
+                scores = [voter.score(term_counts(*_part(data, offsets, i))) for i in range(0, n, BLOCK)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, n), pa.array(np.concatenate(scores))], ["doc_id", "score"])
 
     return run
@@ -154,6 +161,6 @@ def scores(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float
     columns are ignored; without documents there are no rows, and without labels every score is 0.5.
     """
     voter = train(docs, labels, folds)
-    found = documents(docs).mapInArrow(_scored(voter), "doc_id long, score double")
+    found = documents(docs).mapInArrow(tidied(_scored(voter)), "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False))
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

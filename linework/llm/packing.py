@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linework.llm.common import documents, stored
-from linework.llm.kernels import chunks, kept_by_worker, span_hashes, words
+from linework.llm.kernels import chunks, kept_by_worker, span_hashes, tidied, words
 
 SEQUENCE = 2048
 #: Pieces that one task packs.
@@ -180,7 +180,7 @@ def _cut(path: str, length: int, with_ids: bool):
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
     """Each document's ids and a closing 0, cut only where longer than length. Null and empty texts are the 0 alone."""
-    return documents(docs).mapInArrow(_cut(tokenizer, length, with_ids), PIECES + (", ids array<long>" if with_ids else ""))
+    return documents(docs).mapInArrow(tidied(_cut(tokenizer, length, with_ids)), PIECES + (", ids array<long>" if with_ids else ""))
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linework.llm.common import documents, gated, parted, stored
-from linework.llm.kernels import chunks, mixed, span_hashes
+from linework.llm.kernels import chunks, mixed, span_hashes, tidied
 
 LENGTH = 200
 GRAM = 40
@@ -242,7 +242,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, sorted_stretches: int = SORTED_STRETCHES) -> DataFrame:
     """(doc_id, text_key, s, e): byte spans whose every byte lies in a string of LENGTH bytes that starts elsewhere too."""
     rows = keyed(docs)
-    found = stored(rows.mapInArrow(_anchors, ANCHORS), "anchors")
+    found = stored(rows.mapInArrow(tidied(_anchors), ANCHORS), "anchors")
     often = stored(found.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "anchors-met")
     met = stored(gated(found, F.col("anchor"), often, "anchor", often.count()).join(often, "anchor", "left_semi"), "met")
     kinds = met.groupBy("anchor", "stretch").agg(F.count("*").alias("times"))
@@ -258,10 +258,10 @@ def repeated_spans(docs: DataFrame, sorted_stretches: int = SORTED_STRETCHES) ->
     asked = stored(asked, "asked")
     near = gated(rows, F.col("doc_id"), asked, "doc_id", asked.count()).dropDuplicates(["doc_id", "text_key"])
     near = near.withColumnRenamed("doc_id", "d").withColumnRenamed("text_key", "k").join(asked, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("text_key")))
-    bodies = stored(near.select("doc_id", "text_key", "text", "asked").mapInArrow(_stretches, STRETCHES), "bodies")
+    bodies = stored(near.select("doc_id", "text_key", "text", "asked").mapInArrow(tidied(_stretches), STRETCHES), "bodies")
     ordered = bodies.where("not hot").repartition("anchor").sortWithinPartitions("anchor").select("doc_id", "text_key", "anchor", "single", "lo", "body")
-    parts = whole.unionByName(ordered.mapInArrow(_sorted_spans, SPANS))
-    strings = bodies.where("hot").select("doc_id", "text_key", "single", "lo", "body").mapInArrow(_strings, "doc_id long, text_key long, single boolean, s int, h long, g long")
+    parts = whole.unionByName(ordered.mapInArrow(tidied(_sorted_spans), SPANS))
+    strings = bodies.where("hot").select("doc_id", "text_key", "single", "lo", "body").mapInArrow(tidied(_strings), "doc_id long, text_key long, single boolean, s int, h long, g long")
     twice = strings.groupBy("h", "g").agg(F.count("*").alias("times")).where("times > 1")
     return parts.unionByName(strings.where("single").join(twice, ["h", "g"]).select("doc_id", "text_key", "s", (F.col("s") + LENGTH).alias("e")))
 
@@ -278,4 +278,4 @@ def remove_repeats(docs: DataFrame, sorted_stretches: int = SORTED_STRETCHES) ->
     hit = near.join(spans, near["doc_id"].eqNullSafe(spans["d"]) & (near["text_key"] == spans["k"]), "left").select("doc_id", "text", "spans")
     zero = F.lit(0).cast("long")
     clear = far.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.col("text").cast("binary").alias("kept"))
-    return hit.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").unionByName(clear)
+    return hit.mapInArrow(tidied(_removed), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").unionByName(clear)
