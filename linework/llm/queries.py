@@ -70,6 +70,25 @@ SQL = {
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept,
                sha256(body) AS text_sha256
         FROM t WINDOW g AS (PARTITION BY body)""",
+    "op8_chat_prefixes": r"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        s AS (SELECT *, 14 + 2 * length(role || text) - length(regexp_replace(role || text, '[\\<#:]', '', 'g')) AS n FROM t),
+        u AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS upto FROM s)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               coalesce(sum(upto) FILTER (role = 'assistant'), 0)::BIGINT AS formatted_chars, count(*) FILTER (role = 'assistant') AS n_examples
+        FROM u GROUP BY conv_id""",
+    "op10_minhash_dedup": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        sets AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS items FROM w),
+        sized AS (SELECT doc_id, len(items) AS n, items, CASE WHEN len(items) > 0 THEN min(doc_id) OVER (PARTITION BY md5(array_to_string(list_sort(items), chr(10)))) ELSE doc_id END AS class_id FROM sets),
+        sh AS (SELECT doc_id, n, unnest(items) AS item FROM sized),
+        links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM sh a JOIN sh b ON a.item = b.item AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        ways AS (SELECT a AS x, b AS y FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT doc_id AS node, doc_id AS seen FROM sized UNION SELECT reach.node, ways.y FROM reach JOIN ways ON reach.seen = ways.x)
+        SELECT s.doc_id, s.n AS n_shingles, class_id, min(seen) AS component_id, s.doc_id = min(seen) AS kept FROM sized s JOIN reach ON node = s.doc_id GROUP BY s.doc_id, s.n, class_id""",
 }
 
 
