@@ -292,3 +292,24 @@ def test_scorers(spark):
     first = spark.createDataFrame([(1, "x", 0.5), (2, "y", 0.9)], "k int, raw_text string, confidence double")
     second = spark.createDataFrame([(1, "better", 0.8), (2, "other", 0.95)], first.schema)
     assert {r["k"]: r["raw_text"] for r in scoring.routed(first, second, 0.6, "k").collect()} == {1: "better", 2: "y"}
+
+
+def test_pages_to_documents(spark, tmp_path):
+    from linework.plans import pages as flow
+
+    rng = np.random.default_rng(3)
+    page = np.full((900, 1000), 235, np.uint8)
+    for line in range(4):
+        for word in range(6):
+            x, y = 80 + 140 * word, 120 + 170 * line
+            block = rng.random((36, 90)) < 0.55
+            page[y : y + 36, x : x + 90][block] = 25
+    (tmp_path / "a.pgm").write_bytes(b"P5\n1000 900\n255\n" + page.tobytes())
+    (tmp_path / "blank.pgm").write_bytes(b"P5\n1000 900\n255\n" + np.full((900, 1000), 240, np.uint8).tobytes())
+    (tmp_path / "bad.pgm").write_bytes(b"no")
+    for hierarchical in (False, True):
+        docs, lines = flow.run_folder(spark, str(tmp_path), flow.InkScorer(), hierarchical=hierarchical)
+        found = {r["doc_id"].rsplit("/", 1)[-1]: r for r in docs.collect()}
+        assert set(found) == {"a.pgm", "blank.pgm", "bad.pgm"}
+        assert found["a.pgm"]["lines"] == 4 and found["bad.pgm"]["lines"] == 0 and found["blank.pgm"]["full_text"] == ""
+        assert lines.where("word_confidences is null").count() == 0
