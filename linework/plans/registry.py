@@ -410,8 +410,8 @@ def scaled_boxes(spark, sf):
 
 
 @query(
-    f"""WITH {C.BOXES}, pts AS (SELECT page_id, seq AS point_id, (y1 + y2) / 2 + seq % 40 AS cy FROM boxes),
-    r AS (SELECT p.page_id, point_id, b.seq, abs(cy - (y1 + y2) / 2) AS distance, row_number() OVER (PARTITION BY p.page_id, point_id ORDER BY abs(cy - (y1 + y2) / 2), b.seq) AS k FROM pts p JOIN boxes b ON p.page_id = b.page_id)
+    f"""WITH {C.BOXES}, pts AS (SELECT row_number() OVER () AS rid, page_id, seq AS point_id, (y1 + y2) / 2 + seq % 40 AS cy FROM boxes),
+    r AS (SELECT p.page_id, point_id, b.seq, abs(cy - (y1 + y2) / 2) AS distance, row_number() OVER (PARTITION BY rid ORDER BY abs(cy - (y1 + y2) / 2), b.seq) AS k FROM pts p JOIN boxes b ON p.page_id = b.page_id)
     SELECT page_id, point_id, seq, distance FROM r WHERE k = 1"""
 )
 def nearest_line(spark, sf):
