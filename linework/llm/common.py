@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -31,6 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
         root = checkpoint.get() if checkpoint.isDefined() else None
     if not root:
         root = tempfile.mkdtemp(prefix="linework-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
