@@ -245,18 +245,20 @@ def repeated_spans(docs: DataFrame, sorted_stretches: int = SORTED_STRETCHES) ->
     found = stored(rows.mapInArrow(tidied(_anchors), ANCHORS), "anchors")
     often = stored(found.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "anchors-met")
     met = stored(gated(found, F.col("anchor"), often, "anchor", often.count()).join(often, "anchor", "left_semi"), "met")
-    kinds = met.groupBy("anchor", "stretch").agg(F.count("*").alias("times"))
-    kinds = stored(kinds, "stretches")
+    one = [F.first(c).alias(c) for c in ("doc_id", "text_key", "lo", "hi")]  # of one row, as all take the first
+    kinds = stored(met.groupBy("anchor", "stretch").agg(F.count("*").alias("times"), *one), "stretches")
     per_anchor = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
 
-    whole = met.join(kinds.where("times > 1"), ["anchor", "stretch"]).select("doc_id", "text_key", F.col("lo").alias("s"), (F.col("hi") + (LENGTH - 1)).alias("e"))
+    whole = met.join(kinds.where("times > 1").select("anchor", "stretch"), ["anchor", "stretch"], "left_semi")
+    whole = whole.select("doc_id", "text_key", F.col("lo").alias("s"), (F.col("hi") + (LENGTH - 1)).alias("e"))
     asked = (
-        met.join(kinds.join(per_anchor, "anchor"), ["anchor", "stretch"]).dropDuplicates(["anchor", "stretch"])
+        kinds.join(per_anchor, "anchor")
         .select("doc_id", "text_key", F.struct("anchor", "stretch", (F.col("times") == 1).alias("single"), (F.col("kinds") > sorted_stretches).alias("hot"), "lo", "hi").alias("x"))
         .groupBy("doc_id", "text_key").agg(F.collect_list("x").alias("asked"))
     )
     asked = stored(asked, "asked")
-    near = gated(rows, F.col("doc_id"), asked, "doc_id", asked.count()).dropDuplicates(["doc_id", "text_key"])
+    # Rows that repeat a doc_id and text repeat each other's stretches, which are then none that occur once.
+    near = gated(rows, F.col("doc_id"), asked, "doc_id", asked.count())
     near = near.withColumnRenamed("doc_id", "d").withColumnRenamed("text_key", "k").join(asked, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("text_key")))
     bodies = stored(near.select("doc_id", "text_key", "text", "asked").mapInArrow(tidied(_stretches), STRETCHES), "bodies")
     ordered = bodies.where("not hot").repartition("anchor").sortWithinPartitions("anchor").select("doc_id", "text_key", "anchor", "single", "lo", "body")
