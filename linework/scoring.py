@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linework.config import CONFIG
+
 
 class Scorer(Protocol):
     """A model: the schema it gives, and its predictions. load() runs once per worker; a missing checkpoint must raise."""
@@ -35,6 +37,13 @@ def scored(rows: DataFrame, scorer: Scorer) -> DataFrame:
     return rows.mapInPandas(run, scorer.schema)
 
 
+def scored_regions(regions: DataFrame, scorer: Scorer, least: int = CONFIG.detection.region_min_side) -> DataFrame:
+    """Regions (page_id, seq, box, pixels, height, width) through a scorer of the boxes in them; small ones pass as they are."""
+    large = (F.col("height") >= least) & (F.col("width") >= least)
+    box = ("page_id", "seq", "x1", "y1", "x2", "y2")
+    return scored(regions.where(large), scorer).select(*box).unionByName(regions.where(~large).select(*box))
+
+
 def with_fallback(primary: DataFrame, fallback: Callable[[DataFrame], DataFrame], inputs: DataFrame, key: str) -> DataFrame:
     """The primary's rows, and the fallback's for inputs of which the primary has none."""
     missing = inputs.join(primary.select(key).distinct(), key, "left_anti")

@@ -238,6 +238,12 @@ def test_pixel_operators():
     crop = pixels.polygon_crop(np.zeros((20, 20), np.uint8), np.array([[2, 2], [17, 2], [17, 17], [2, 17]]), (0, 0, 20, 20))
     assert crop[10, 10] == 0 and crop[0, 0] == 255
     assert pixels.model_input(page).shape == (128, 1024)
+    grid = np.full((200, 260), 235, np.uint8)
+    grid[::12] = grid[:, ::12] = 190
+    for k in range(5):
+        grid[90:112, 30 + 40 * k : 42 + 40 * k] = 30
+    binary, method, _, stages, _ = pixels.prepared_without_grid(grid)
+    assert method in pixels.METHODS and "grid" in stages and set(np.unique(binary)) <= {0, 255}
 
 
 def test_page_flow(spark, tmp_path):
@@ -289,6 +295,18 @@ def test_scorers(spark):
     assert {r["page_id"]: r["n"] for r in scoring.scored(pages, Fake()).collect()} == {"ab": 4, "c": 2}
     both = scoring.with_fallback(scoring.scored(pages.where("page_id = 'c'"), Fake()), lambda rest: rest.select("page_id", F.lit(0).cast("long").alias("n")), pages, "page_id")
     assert {r["page_id"]: r["n"] for r in both.collect()} == {"ab": 0, "c": 2}
+    class Halves:
+        schema = "page_id string, seq int, x1 int, y1 int, x2 int, y2 int"
+
+        def load(self):
+            return None
+
+        def predict(self, model, rows):
+            rows["x2"] = (rows["x1"] + rows["x2"]) // 2
+            return rows[["page_id", "seq", "x1", "y1", "x2", "y2"]]
+
+    regions = spark.createDataFrame([("p", 0, 0, 0, 100, 50, 50, 100), ("p", 1, 0, 0, 100, 20, 20, 100)], "page_id string, seq int, x1 int, y1 int, x2 int, y2 int, height int, width int")
+    assert {r["seq"]: r["x2"] for r in scoring.scored_regions(regions, Halves()).collect()} == {0: 50, 1: 100}
     first = spark.createDataFrame([(1, "x", 0.5), (2, "y", 0.9)], "k int, raw_text string, confidence double")
     second = spark.createDataFrame([(1, "better", 0.8), (2, "other", 0.95)], first.schema)
     assert {r["k"]: r["raw_text"] for r in scoring.routed(first, second, 0.6, "k").collect()} == {1: "better", 2: "y"}
