@@ -27,6 +27,8 @@ GRAM = 40
 SORTED_STRETCHES = 2048
 #: Bytes that one suffix sort takes, beyond a single anchor's.
 SORT_BYTES = 1 << 19
+#: Bytes of text that a batch of results holds.
+OUT_BYTES = 4 << 20
 #: Part of a very long text that is hashed at once.
 PART_BYTES = 4 << 20
 _PLACE = 24  # bits of a position in a sliding minimum's key
@@ -122,14 +124,24 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the asked stretches of each text."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.binary()]
     for batch in batches:
         out: list[tuple] = []
-        for name, key, text, asked in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), batch.column("text"), batch.column("asked").to_pylist(), strict=True):
+        size = 0
+        for name, key, text, asked in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), batch.column("text"), batch.column("asked"), strict=True):
             raw = text.as_py().encode()
-            out += [(name, key, x["anchor"], x["stretch"], x["single"], x["hot"], x["lo"], raw[x["lo"] : x["hi"] + LENGTH - 1]) for x in asked]
-        for i in range(0, len(out), 10_000):
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[i : i + 10_000], strict=True), kinds, strict=True)], _STRETCH_NAMES)
+            for x in asked.as_py():
+                out.append((name, key, x["anchor"], x["stretch"], x["single"], x["hot"], x["lo"], raw[x["lo"] : x["hi"] + LENGTH - 1]))
+                size += len(out[-1][-1])
+                if size > OUT_BYTES:
+                    yield _rows(out, kinds, _STRETCH_NAMES)
+                    out, size = [], 0
+        if out:
+            yield _rows(out, kinds, _STRETCH_NAMES)
+
+
+def _rows(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 STRETCHES = "doc_id long, text_key long, anchor long, stretch long, single boolean, hot boolean, lo int, body binary"
@@ -210,8 +222,9 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     for batch in batches:
-        out = []
+        out, size = [], 0
         for name, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("spans"), strict=True):
             raw = text.as_py().encode()
             kept, at, runs = [], 0, 0
@@ -230,8 +243,12 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(raw[at:])
             rest = b"".join(kept)
             out.append((name, len(raw), len(raw) - len(rest), runs, hashlib.sha256(rest).hexdigest(), rest))
+            size += len(rest)
+            if size > OUT_BYTES:
+                yield _rows(out, kinds, names)
+                out, size = [], 0
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield _rows(out, kinds, names)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
