@@ -345,6 +345,59 @@ def test_exchange_parts_two_languages_and_probabilities_sum_to_one(spark):
         assert abs((n + 1).sum() + 1 - 10.0 ** model.log_room[k]) < 1e-6
 
 
+def test_exchange_step_moves_each_word_where_exchange_would():
+    rng = np.random.default_rng(5)
+    n, classes = 14, 4
+    for _ in range(20):
+        pairs = rng.poisson(rng.choice([0.3, 2, 9], (n, n))).astype(float)
+        at = rng.integers(0, classes - 1, n)
+        at[-1] = classes - 1
+
+        def fit(at, pairs=pairs):
+            one = np.eye(classes)[at]
+            table = one.T @ pairs @ one
+            return brown_lm._xlogx(table).sum() - brown_lm._xlogx(table.sum(0)).sum() - brown_lm._xlogx(table.sum(1)).sum(), table
+
+        _, table = fit(at)
+        own = np.diagonal(pairs)[:-1]
+        right, left = ((p - np.diag(np.diagonal(p)))[:-1] @ np.eye(classes)[at] for p in (pairs, pairs.T))
+        new = brown_lm.exchange_step(table, at[:-1], right, left, own)
+        for u in range(n - 1):
+            fits = [fit(np.where(np.arange(n) == u, c, at))[0] for c in range(classes - 1)]
+            assert fits[new[u]] > max(fits) - 1e-6
+
+
+def test_brown_classes_of_less_frequent_words_go_by_context_not_ending(spark, monkeypatch):
+    monkeypatch.setattr(brown_lm, "UNIT_SHARE", 0.02)
+    monkeypatch.setattr(brown_lm, "KNOWN_SHARE", 0.002)  # so that some classes travel with the model, others come by the join
+    rng = random.Random(4)
+    sides = [([f"{k}{i}" for i in range(10)], [f"{k}{i}same" for i in range(60)]) for k in "ab"]
+    texts = []
+    for i in range(300):
+        often, seldom = sides[i % 2]
+        texts.append(" ".join(rng.choice(often) if rng.random() < 0.7 else seldom[min(59, int(rng.expovariate(0.08)))] for _ in range(40)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lexicon, counts, others = brown_lm.clustered(docs, 4)
+    text_of = {int(brown_lm._chunk_words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0]): w for w in {w for t in texts for w in t.split()}}
+    rows = [(text_of[r["word"]], r["class"], r["n"]) for r in others.collect()]
+    assert {w: n for w, _, n in rows} == {w: n for w, n in ((text_of[r["word"]], r["n"]) for r in counts.collect()) if w.endswith("same")}
+    classes = {k: {c for w, c, n in rows if w.startswith(k) and n >= 10} for k in "ab"}
+    assert classes["a"] and classes["b"] and not classes["a"] & classes["b"]  # one ending, two languages
+
+    class_of = {w: c for w, c, _ in rows} | {text_of[int(k)]: int(c) for k, c in zip(lexicon.known, lexicon.known_class, strict=True)}
+    found = brown_lm.sequences(docs.withColumn("held_out", F.lit(False)), lexicon, others)
+    assert 0 < sum(int(k) in {r["word"] for r in others.collect()} for k in lexicon.known) < len(rows)
+    for r in found.collect():
+        assert list(r["classes"]) == [*(class_of[w] for w in texts[r["doc_id"]].split()), 3]
+    model = brown_lm.fitted(lexicon, found, 4)
+    total = np.zeros((4, 4))
+    for r in found.collect():
+        c = [3, *r["classes"]]
+        np.add.at(total, (c[:-1], c[1:]), 1)
+    kinds = np.bincount(list(class_of.values()), minlength=4) + np.array([0, 0, 0, 1])
+    assert np.allclose(10.0**model.log_room, total.sum(0) + kinds + 1)
+
+
 # Chat
 
 
