@@ -52,7 +52,8 @@ def exact_dedup(docs: DataFrame, filter_limit: int | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after each run of blanks becomes one space; null counts as empty. Rows that share a
-    doc_id and text count as members of their group each. Should bytes differ under one digest, the rows that differ
+    doc_id and text count as members of their group each; rows that share a doc_id only are told apart by their texts, null
+    doc_ids too. Should bytes differ under one digest, the rows that differ
     from the text that stays are grouped by their bytes instead. An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -64,8 +65,12 @@ def exact_dedup(docs: DataFrame, filter_limit: int | None = None) -> DataFrame:
     )
     asked = stored(runs.join(hits, "digest").select("doc_id", "digest", "keep_id").distinct(), "hits")
     near = gated(documents(docs), F.col("doc_id"), asked, "doc_id", asked.count(), **({} if filter_limit is None else {"limit": filter_limit}))
-    bodies = stored(near.join(asked, "doc_id").select("doc_id", "digest", "keep_id", normalised(F.col("text")).alias("body")), "hit-texts")
-    stays = bodies.where("doc_id = keep_id").dropDuplicates(["digest"]).select("digest", F.col("body").alias("kept_body"))
+    near = near.select(F.col("doc_id").alias("_id"), normalised(F.col("text")).alias("body")).withColumn("_own", F.unhex(F.sha2("body", 256)))
+    # A doc_id may repeat with another text: a body answers only for its own digest. Null-safe, as a null check on the digest
+    # would be pushed below the filter and hash every text.
+    met = near.join(asked, F.col("_id").eqNullSafe(F.col("doc_id")) & F.col("_own").eqNullSafe(F.col("digest")))
+    bodies = stored(met.select("doc_id", "digest", "keep_id", "body"), "hit-texts")
+    stays = bodies.where("doc_id <=> keep_id").dropDuplicates(["digest"]).select("digest", F.col("body").alias("kept_body"))
     wrong = stored(bodies.join(stays, "digest").where("body <> kept_body").select("doc_id", "digest", "body"), "unequal")
     if not wrong.isEmpty():
         joined = _regrouped(joined, wrong)
@@ -75,12 +80,12 @@ def exact_dedup(docs: DataFrame, filter_limit: int | None = None) -> DataFrame:
 def _regrouped(joined: DataFrame, wrong: DataFrame) -> DataFrame:
     """Results after rows that only share a digest have left its group."""
     groups = wrong.groupBy("digest", "body").agg(F.min("doc_id").alias("own_keep"), F.count("*").alias("own_size"))
-    moved = wrong.join(groups, ["digest", "body"]).select("digest", "doc_id", "own_keep", "own_size").distinct()
+    moved = wrong.join(groups, ["digest", "body"]).select(F.col("digest").alias("_digest"), F.col("doc_id").alias("_id"), "own_keep", "own_size").distinct()
     left = wrong.groupBy("digest").agg(F.count("*").alias("gone"))
     return (
-        joined.join(moved, ["digest", "doc_id"], "left").join(left, "digest", "left")
+        joined.join(moved, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").join(left, "digest", "left")
         .select(
-            "doc_id", "digest", F.coalesce("own_keep", "keep_id").alias("keep_id"),
+            "doc_id", "digest", F.when(F.col("own_size").isNotNull(), F.col("own_keep")).otherwise(F.col("keep_id")).alias("keep_id"),
             F.coalesce("own_size", F.col("group_size") - F.coalesce("gone", F.lit(0))).alias("group_size"),
         )
     )

@@ -133,6 +133,27 @@ def test_exact_dedup_repeated_rows_and_index(spark):
     assert index.compacted().where("group_size = 4").first()["keep_id"] == 2
 
 
+def test_exact_dedup_doc_id_of_two_texts_and_null_ids(spark):
+    docs = spark.createDataFrame([(3, "A"), (5, "A"), (5, "B"), (6, "C"), (7, "B"), (None, "A"), (None, "D"), (None, "D")], "doc_id long, text string")
+    sha = {hashlib.sha256(t.encode()).hexdigest(): t for t in "ABCD"}
+    for limit in (None, 0):
+        rows = lsm_dedup.exact_dedup(docs, filter_limit=limit).collect()
+        found = sorted(((sha[r["text_sha256"]], r["doc_id"] or 0, r["keep_id"], r["group_size"], r["kept"]) for r in rows), key=lambda r: r[:2])
+        assert found == [
+            ("A", 0, 3, 3, None), ("A", 3, 3, 3, True), ("A", 5, 3, 3, False), ("B", 5, 5, 2, True), ("B", 7, 5, 2, False),
+            ("C", 6, 6, 1, True), ("D", 0, None, 2, None), ("D", 0, None, 2, None),
+        ]
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in lsm_dedup.kept_documents(docs.where("doc_id is not null")).collect())
+    assert kept == [(3, "A"), (5, "B"), (6, "C")]
+
+
+def test_regrouped_moves_rows_of_null_doc_id(spark):
+    joined = spark.createDataFrame([(1, b"d", 1, 3), (None, b"d", 1, 3), (None, b"d", 1, 3)], "doc_id long, digest binary, keep_id long, group_size long")
+    wrong = spark.createDataFrame([(None, b"d", "other"), (None, b"d", "other")], "doc_id long, digest binary, body string")
+    rows = [(r["doc_id"], r["keep_id"], r["group_size"]) for r in lsm_dedup._regrouped(joined, wrong).collect()]
+    assert sorted(rows, key=str) == [(1, 1, 1), (None, None, 2), (None, None, 2)]
+
+
 def test_rows_that_only_share_a_digest_are_grouped_by_bytes(spark):
     joined = spark.createDataFrame([(1, b"d", 1, 4), (2, b"d", 1, 4), (3, b"d", 1, 4), (4, b"d", 1, 4)], "doc_id long, digest binary, keep_id long, group_size long")
     wrong = spark.createDataFrame([(3, b"d", "other"), (4, b"d", "other")], "doc_id long, digest binary, body string")
