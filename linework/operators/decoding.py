@@ -48,7 +48,7 @@ def greedy(state: object, step: Step, most: int, bos: int = BOS, eos: int = EOS)
 
 
 def beam(state: object, step: Step, most: int, width: int, bos: int = BOS, eos: int = EOS) -> list[int]:
-    """The ids of least summed negative log probability. Ended beams leave the pool; the earlier one wins ties."""
+    """The ids of least summed negative log probability, ended or not. Ended beams leave the pool; the earlier one wins ties, an ended one first."""
     live: list[tuple[float, list[int]]] = [(0.0, [bos])]
     ended: list[tuple[float, list[int]]] = []
     for _ in range(most):
@@ -63,7 +63,7 @@ def beam(state: object, step: Step, most: int, width: int, bos: int = BOS, eos:
             (ended if ids[-1] == eos else live).append((cost, ids))
         if not live:
             break
-    best = min(ended or live, key=lambda x: x[0])[1]
+    best = min(ended + live, key=lambda x: x[0])[1]
     return [x for x in best[1:] if x != eos]
 
 

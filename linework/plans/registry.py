@@ -241,7 +241,8 @@ def _state_step(state, ids):
 
 @query()
 def beam_decode(spark, sf):
-    return G.decode(C.steps(spark, sf).select("line_index", "tok_index", "logits"), "logits", _state_step, most=12, width=3).drop("logits")
+    # The reference's max_text_length of 128 counts the begin token; its beam width is 5.
+    return G.decode(C.steps(spark, sf).select("line_index", "tok_index", "logits"), "logits", _state_step, most=127, width=5).drop("logits")
 
 
 @query(

@@ -194,6 +194,23 @@ def test_decoding(spark):
     assert [t["id"] for t in top] == [1, 2] and abs(top[0]["p"] - top[1]["p"]) < 1e-12
 
 
+def test_beam_takes_the_least_of_ended_and_live():
+    def step(state, ids):
+        return [0, 0, 0.1, 0.9]
+
+    assert G.beam(None, step, 5, 2) == [3] * 5  # 0.9 ** 5 beats every ended one, at most 0.1
+
+
+def test_beam_decode_query_keeps_long_sequences(spark):
+    from linework.plans import registry
+
+    rows = registry.QUERIES["beam_decode"](spark, "/root/testdata/sf0.001").collect()
+    state = {(r["line_index"], r["tok_index"]): r["logits"] for r in registry.C.steps(spark, "/root/testdata/sf0.001").collect()}
+    assert max(len(r["ids"]) for r in rows) == 127
+    for r in rows[:10]:
+        assert list(r["ids"]) == G.beam(state[r["line_index"], r["tok_index"]], registry._state_step, 127, 5)
+
+
 def test_losses(spark):
     import math
 
