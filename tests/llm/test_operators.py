@@ -445,6 +445,33 @@ def test_chat_round_trip_and_examples(spark):
     assert chat_format.read_back(df.where("false")).count() == 0
 
 
+def test_chat_read_back_reads_the_examples(spark, monkeypatch):
+    rows = [(1, t, ("user", "assistant")[t % 2], f"#{t} " * (t + 1)) for t in range(9)] + [(2, 0, "user", "alone")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    parts = chat_format.segments(df).orderBy("conv_id", "turn").toArrow().combine_chunks().to_batches()
+    right = {r["conv_id"]: r for b in chat_format._read_back(chat_format._expanded(iter(parts))) for r in b.to_pylist()}
+    monkeypatch.setattr(chat_format, "BATCH_CHARS", 40)  # an example goes over batches
+    pieces = [r for b in chat_format._expanded(iter(parts)) for r in b.to_pylist()]
+    assert right == {r["conv_id"]: r for b in chat_format._read_back(chat_format._expanded(iter(parts))) for r in b.to_pylist()}
+    texts = {r["example"]: r for r in chat_format.examples(df).collect()}
+    assert right[1]["formatted_chars"] == sum(len(r["text"]) for r in texts.values()) and right[1]["n_turns"] == 9 and right[2]["n_turns"] == 1
+    assert texts[3]["text"] == "".join(chat_format.render(r, x) for c, t, r, x in rows if c == 1 and t <= 7)
+
+    def read(changed):
+        schema = chat_format.pa.schema([(c.split()[0], {"long": chat_format.pa.int64(), "string": chat_format.pa.string()}[c.split()[1]]) for c in chat_format.PIECES.split(", ")])
+        return next(chat_format._read_back(iter([chat_format.pa.RecordBatch.from_pylist(changed, schema)])))[:1].to_pylist()[0]
+
+    mine = [r for r in pieces if r["conv_id"] == 1]
+    last = [k for k, r in enumerate(mine) if r["example"] == 3]
+    assert read(mine) == right[1]
+    swapped = [*mine]
+    swapped[last[1]], swapped[last[2]] = ({**mine[last[b]], "piece": mine[last[a]]["piece"]} for a, b in ((1, 2), (2, 1)))
+    lost = [r for k, r in enumerate(mine) if k != last[1]]
+    masked = [{**r, "loss_start": r["loss_start"] - 1} if r["example"] == 2 else r for r in mine]
+    for wrong, column in ((swapped, "turns_sha256"), (lost, "formatted_chars"), (masked, "loss_sha256")):
+        assert read(wrong)[column] != right[1][column]
+
+
 # Personal data
 
 
