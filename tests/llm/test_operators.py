@@ -105,6 +105,16 @@ def test_gif_query(spark):
     assert [r["at_ms"] for r in timed] == [0, 40, 80] and sum(sum(r["red"]) for r in timed) >= 40_000
 
 
+def test_media_feature_sums_the_histograms_of_what_frames_show(spark):
+    docs = table(spark, ["a" * 16_384 + "Z" * 100, "short", "x" * 40_000])  # a shorter last frame leaves earlier rows on the screen
+    feature = {r["doc_id"]: [int(x) for x in r["feature"].split(":")] for r in gif.text_media(docs).collect()}
+    timed = gif.frames(gif.encoded(docs)).collect()
+    for i in range(3):
+        mine = [r for r in timed if r["doc_id"] == i]
+        assert feature[i] == [len(mine), *np.sum([[*r["red"], *r["green"], *r["blue"]] for r in mine], 0).tolist()]
+    assert sum(feature[0][1:17]) == 2 * 16_384
+
+
 # Exact deduplication
 
 
