@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linework.llm.common import documents, gated, stored
+from linework.llm.common import documents, gated, stored, text_key
 from linework.llm.components import components
 from linework.llm.kernels import chunks, mixed, shingle_sets, tidied
 
@@ -52,20 +52,20 @@ def min_shared(k: int, percent: int, risk: float = RISK) -> int:
 def _sketched(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, keys = batch.column("doc_id"), batch.column("text_key")
             for first, data, offsets in chunks(batch.column("text")):
                 n = len(offsets) - 1
-                doc, h = shingle_sets(data, offsets, width)
+                doc, h, g = shingle_sets(data, offsets, width)
                 counts = np.bincount(doc, minlength=n)
                 begin = np.concatenate([[0], np.cumsum(counts)])
                 prints = []
-                for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
-                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h ^ np.uint64(salt)), dtype=np.uint64)])
+                for lane, salt in ((h, 0x5851F42D4C957F2D), (g, 0x14057B7EF767814F)):
+                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(lane ^ np.uint64(salt)), dtype=np.uint64)])
                     prints.append((sums[begin[1:]] - sums[begin[:-1]]).view(np.int64))
                 k = np.where(counts > SHORT_SET, LONG_SKETCH, SHORT_SKETCH)
                 taken = np.arange(len(h)) - begin[doc] < k[doc]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.minimum(counts, k))]).astype(np.int32)), pa.array((h[taken] >> np.uint64(1)).astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(first, n), pa.array(counts.astype(np.int64)), pa.array(prints[0]), pa.array(prints[1]), lists], ["doc_id", "n", "print_a", "print_b", "sketch"])
+                yield pa.RecordBatch.from_arrays([ids.slice(first, n), keys.slice(first, n), pa.array(counts.astype(np.int64)), pa.array(prints[0]), pa.array(prints[1]), lists], ["doc_id", "text_key", "n", "print_a", "print_b", "sketch"])
 
     return run
 
@@ -73,19 +73,19 @@ def _sketched(width: int):
 def _full_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids = batch.column("node")
             for first, data, offsets in chunks(batch.column("text")):
                 n = len(offsets) - 1
-                doc, h = shingle_sets(data, offsets, width)
-                begin = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([ids.slice(first, n), pa.ListArray.from_arrays(pa.array(begin), pa.array(h.view(np.int64)))], ["doc_id", "items"])
+                doc, h, g = shingle_sets(data, offsets, width)
+                begin = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([ids.slice(first, n), *(pa.ListArray.from_arrays(begin, pa.array(x.view(np.int64))) for x in (h, g))], ["doc_id", "items", "checks"])
 
     return run
 
 
 def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
-    """Per document: set size n, two 64-bit fingerprints of the set, and its smallest values, ascending."""
-    return documents(docs).mapInArrow(tidied(_sketched(width)), "doc_id long, n long, print_a long, print_b long, sketch array<long>")
+    """Per document: text_key, set size n, two 64-bit fingerprints of the set, and its smallest values, ascending."""
+    return documents(docs).withColumn("text_key", text_key()).mapInArrow(tidied(_sketched(width)), "doc_id long, text_key long, n long, print_a long, print_b long, sketch array<long>")
 
 
 def _lists(reps: DataFrame, percent: int) -> DataFrame:
@@ -115,7 +115,7 @@ def _fit(percent: int) -> Column:
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links: the union sketch filters, the full sets decide."""
+    """The pairs (a, b) that are links: the union sketch filters, the full sets decide, by both hashes of each shingle."""
     both = (
         pairs.join(reps.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
         .join(reps.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
@@ -132,18 +132,23 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, pe
     likely = stored(both.where(F.when(whole, F.size("shared") * 100 >= F.size("all") * percent).otherwise((F.size("all") <= F.col("k")) | (seen >= least))).select("a", "b"), "likely")
     sets = _sets(likely.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, width)
     full = (
-        likely.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("ia")), "a")
-        .join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("ib")), "b")
+        likely.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("ia"), F.col("checks").alias("ca")), "a")
+        .join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("ib"), F.col("checks").alias("cb")), "b")
     )
-    common = F.size(F.array_intersect("ia", "ib"))
-    return stored(full.where(common * 100 >= (F.size("ia") + F.size("ib") - common) * percent).select("a", "b"), "verified")
+
+    def alike(x: str, y: str) -> Column:
+        common = F.size(F.array_intersect(x, y))
+        return common * 100 >= (F.size(x) + F.size(y) - common) * percent
+
+    return stored(full.where(alike("ia", "ib") & alike("ca", "cb")).select("a", "b"), "verified")
 
 
 def _sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, items): the full shingle sets of the documents named."""
+    """(doc_id, items, checks): the full shingle sets of the nodes named, as the two hashes of each shingle."""
     asked = stored(ids.distinct(), "asked")
-    texts = gated(documents(docs), F.col("doc_id"), asked, "doc_id", asked.count()).join(asked, "doc_id", "left_semi")
-    return stored(texts.mapInArrow(tidied(_full_sets(width)), "doc_id long, items array<long>").dropDuplicates(["doc_id"]), "sets")
+    texts = gated(docs, F.col("node"), asked, "doc_id", asked.count())
+    texts = texts.join(asked, texts["node"] == asked["doc_id"], "left_semi")
+    return stored(texts.mapInArrow(tidied(_full_sets(width)), "doc_id long, items array<long>, checks array<long>").dropDuplicates(["doc_id"]), "sets")
 
 
 def _crossing_long(placed: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -158,7 +163,7 @@ def _crossing_long(placed: DataFrame, docs: DataFrame, width: int, percent: int)
     members = placed.select("value", "doc_id", "n", "component")
     pivots = members.groupBy("value").agg(F.min("doc_id").alias("pivot"))
     met = stored(members.join(pivots, "value").select("pivot", "doc_id", "n", "component").distinct(), "long-members")
-    sets = _sets(met.select(F.explode(F.array("doc_id", "pivot")).alias("doc_id")), docs, width)
+    sets = _sets(met.select(F.explode(F.array("doc_id", "pivot")).alias("doc_id")), docs, width).drop("checks")
     side = met.join(sets, "doc_id").join(sets.select(F.col("doc_id").alias("pivot"), F.col("items").alias("hub")), "pivot")
     side = side.select("pivot", "doc_id", "n", "component", F.size("hub").alias("hub_n"), F.concat(F.array_except("items", "hub"), F.array_except("hub", "items")).alias("items"))
     side = stored(side, "differences")
@@ -187,18 +192,43 @@ def _crossing_long(placed: DataFrame, docs: DataFrame, width: int, percent: int)
     return x.join(y, join).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
 
 
+def _told_apart(all_sets: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """sets and texts with node, the number that stands for a text, and whether it is other than doc_id for some.
+
+    It is the doc_id, unless that is null or has several texts of different sets; then it is a hash of it and of the text.
+    """
+    by_id = all_sets.where("doc_id is not null").groupBy("doc_id").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("print_a", "print_b", "n") for f in (F.min, F.max)])
+    several = stored(by_id.where("min_print_a <> max_print_a or min_print_b <> max_print_b or min_n <> max_n").select(F.col("doc_id").alias("_several")), "several")
+    texts = documents(docs).withColumn("text_key", text_key())
+    count = several.count()
+    if not count and all_sets.where("doc_id is null").isEmpty():
+        return all_sets.withColumn("node", F.col("doc_id")), texts.withColumn("node", F.col("doc_id")), False
+    named = F.xxhash64(F.lit("node"), "doc_id", "text_key")
+
+    def of(rows: DataFrame) -> DataFrame:
+        known = rows.where("doc_id is not null")
+        known = known.join(several, known["doc_id"] == several["_several"], "left").withColumn("node", F.when(F.col("_several").isNotNull(), named).otherwise(F.col("doc_id"))).drop("_several")
+        return known.unionByName(rows.where("doc_id is null").withColumn("node", named))
+
+    return stored(of(all_sets), "sketches"), of(texts), True
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id, kept.
+    """One row per document: doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id, kept, text_key.
 
     Links join documents whose sets' intersection is at least percent per cent of their union; component_id is the
     smallest doc_id that links reach. Null, empty and blank texts have no shingles and are linked with nothing. Rows that
-    repeat a doc_id should repeat its text. Extra columns are ignored; an empty table gives no rows.
+    repeat a doc_id and text are one document. Texts that share a doc_id, or have none, are documents each: a component
+    of null doc_ids alone has a null component_id, and one text of a component is kept, of several with its smallest
+    doc_id that of the smallest text_key's node. text_key (common.text_key) tells such rows apart. Texts of any length
+    are taken whole. Extra columns are ignored; an empty table gives no rows.
     """
-    all_sets = stored(sketches(docs, width), "sketches")
+    all_sets, docs, mixed_ids = _told_apart(stored(sketches(docs, width), "sketches"), docs)
+    all_sets = all_sets.withColumnRenamed("doc_id", "own_id").withColumnRenamed("node", "doc_id")
     classes = all_sets.where("n > 0").groupBy("print_a", "print_b", "n").agg(F.min("doc_id").alias("class_id"))
-    member = all_sets.drop("sketch").join(classes, ["print_a", "print_b", "n"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id"))
+    member = all_sets.drop("sketch").join(classes, ["print_a", "print_b", "n"], "left").select("doc_id", "own_id", "text_key", "n", F.coalesce("class_id", "doc_id").alias("class_id"))
     member = stored(member, "members")
-    reps = stored(all_sets.where("n > 0").join(member.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "representatives")
+    reps = stored(all_sets.where("n > 0").drop("own_id", "text_key").join(member.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "representatives")
     lists = stored(_lists(reps, percent), "lists")
 
     tested = links = None
@@ -234,5 +264,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataF
         more = _verified(rest, reps, docs, width, percent)
         if not more.isEmpty():
             joined = components(links.unionByName(more))
-    result = member.join(joined, member["class_id"] == joined["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    return result.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    result = member.join(joined, member["class_id"] == joined["node"], "left").select("doc_id", "own_id", "text_key", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    if not mixed_ids:
+        return result.select("doc_id", "n_shingles", "class_id", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "text_key")
+    result = stored(result, "result")
+    rank = F.struct(F.col("own_id").isNull().alias("none"), "own_id", "doc_id")
+    first = {c: result.groupBy(c).agg(F.min(rank).alias("first")).select(F.col(c).alias(f"_{c}"), "first") for c in ("class_id", "component_id")}
+    out = result
+    for c, smallest in first.items():
+        out = out.join(smallest.withColumnRenamed("first", f"_first_{c}"), F.col(c) == F.col(f"_{c}"))
+    return out.select(F.col("own_id").alias("doc_id"), "n_shingles", F.col("_first_class_id.own_id").alias("class_id"), F.col("_first_component_id.own_id").alias("component_id"), (F.col("doc_id") == F.col("_first_component_id.doc_id")).alias("kept"), "text_key")

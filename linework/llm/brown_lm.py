@@ -44,11 +44,19 @@ STEP_ENTRIES = 1 << 14
 OPEN = 255
 
 
-def _chunk_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key, document and ending group of each word."""
+def _key(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(1)).astype(np.int64)
+
+
+def _chunk_words(data: np.ndarray, offsets: np.ndarray, shared: np.ndarray = np.zeros(0, np.int64)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key, document, ending group, start and end of each word. Words whose key is among the shared ones have a key of the second hash."""
     h, doc, starts, ends = word_hashes(data, offsets)
     ending = (span_hashes(data, np.maximum(starts, ends - 3), ends) % np.uint64(ENDINGS)).astype(np.int64)
-    return (h >> np.uint64(1)).astype(np.int64), doc, ending
+    key = _key(h)
+    if len(shared):
+        other = np.flatnonzero(np.isin(key, shared))
+        key[other] = _key(span_hashes(data, starts[other], ends[other], lane=1))
+    return key, doc, ending, starts, ends
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -57,27 +65,37 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return u, np.bincount(inverse, weights=all_counts, minlength=len(u)).astype(np.int64)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, counts, held = [], [], 0
-    ending_of: list[np.ndarray] = []
+def _counted(shared: np.ndarray):
+    """word, ending, n, and the least and greatest second hash of each key: they differ where words share a key."""
 
-    def flush() -> pa.RecordBatch:
-        k, first = np.unique(np.concatenate(keys), return_index=True)
-        e = np.concatenate(ending_of)[first]
-        u, n = _summed(keys, counts)
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(e), pa.array(n)], ["word", "ending", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, ...]] = []
+        held = 0
 
-    for batch in batches:
-        for _, data, offsets in chunks(batch.column("text")):
-            key, _, ending = _chunk_words(data, offsets)
-            u, first, n = np.unique(key, return_index=True, return_counts=True)
-            keys.append(u), counts.append(n), ending_of.append(ending[first])
-            held += len(u)
-            if held > 2 * HELD:
-                yield flush()
-                keys, counts, ending_of, held = [], [], [], 0
-    if keys:
-        yield flush()
+        def merged(columns: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+            key, ending, n, low, high = columns
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+            return key[order][first], ending[order][first], np.add.reduceat(n[order], first), np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in merged(tuple(map(np.concatenate, zip(*parts, strict=True))))], ["word", "ending", "n", "low", "high"])
+
+        for batch in batches:
+            for _, data, offsets in chunks(batch.column("text")):
+                key, _, ending, starts, ends = _chunk_words(data, offsets, shared)
+                if not len(key):
+                    continue
+                second = span_hashes(data, starts, ends, lane=1).view(np.int64)
+                parts.append(merged((key, ending, np.ones(len(key), np.int64), second, second)))
+                held += len(parts[-1][0])
+                if held > 2 * HELD:
+                    yield flush()
+                    parts, held = [], 0
+        if parts:
+            yield flush()
+
+    return run
 
 
 @dataclass
@@ -85,6 +103,11 @@ class Units:
     """Unit of each token: a frequent word, an ending group, or the end (the last)."""
 
     words: np.ndarray  # sorted keys of the frequent words
+    shared: np.ndarray  # keys that several words hash to
+
+    def read(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Key, document and ending group of each word of a chunk."""
+        return _chunk_words(data, offsets, self.shared)[:3]
 
     @property
     def size(self) -> int:
@@ -112,13 +135,12 @@ class Units:
         return before * self.size + sequence
 
 
-def _paired(words: np.ndarray):
+def _paired(units: Units):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(words)
         keys, counts, held = [], [], 0
         for batch in batches:
             for _, data, offsets in chunks(batch.column("text")):
-                sequence, _ = units.sequence(*_chunk_words(data, offsets), len(offsets) - 1)
+                sequence, _ = units.sequence(*units.read(data, offsets), len(offsets) - 1)
                 u, n = np.unique(units.pairs(sequence), return_counts=True)
                 keys.append(u), counts.append(n)
                 held += len(u)
@@ -229,11 +251,10 @@ def exchange_step(table: np.ndarray, old: np.ndarray, right: np.ndarray, left: n
     return np.where(gain[every, new] > gain[every, old] + 1e-9, new, old)
 
 
-def _contexts(words: np.ndarray, class_of: np.ndarray, classes: int):
+def _contexts(units: Units, class_of: np.ndarray, classes: int):
     """word, ending and contexts of the words that are no units: for each occurrence the class before and after, the word itself as `classes`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(words)
         keys, endings, beside, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -247,14 +268,14 @@ def _contexts(words: np.ndarray, class_of: np.ndarray, classes: int):
 
         for batch in batches:
             for _, data, offsets in chunks(batch.column("text")):
-                key, doc, ending = _chunk_words(data, offsets)
+                key, doc, ending = units.read(data, offsets)
                 sequence, _ = units.sequence(key, doc, ending, len(offsets) - 1)
                 c = class_of[sequence].astype(np.uint16)
                 at = np.arange(len(key)) + doc
                 before, after = c[at - 1], c[at + 1]  # before the first is the last, an end
                 again = np.flatnonzero((key[1:] == key[:-1]) & (doc[1:] == doc[:-1]))
                 before[again + 1] = after[again] = classes
-                other = np.flatnonzero(sequence[at] >= len(words))
+                other = np.flatnonzero(sequence[at] >= len(units.words))
                 keys.append(key[other]), endings.append(ending[other]), beside.append(before[other] << 8 | after[other])
                 held += len(other)
                 if held > 2 * HELD:
@@ -327,16 +348,23 @@ class Model(Lexicon):
 
 
 def clustered(texts: DataFrame, classes: int = CLASSES) -> tuple[Lexicon, DataFrame, DataFrame]:
-    """Classes of all words of (doc_id, text), the exact word counts (word, ending, n), and (word, ending, n, class) of the words that are no units."""
-    counts = texts.select("text").mapInArrow(tidied(_counted), "word long, ending long, n long").groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
-    counts = stored(counts, "word-counts")
+    """Classes of all words of (doc_id, text), the exact word counts (word, ending, n, low, high), and (word, ending, n, class) of the words that are no units."""
+    shared = np.zeros(0, np.int64)
+    while True:
+        counts = texts.select("text").mapInArrow(tidied(_counted(shared)), "word long, ending long, n long, low long, high long")
+        counts = stored(counts.groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")), "word-counts")
+        # Keys have 63 bits: a billion distinct words share none by any likelihood, 10 ** 11 some hundreds. Those words are keyed anew.
+        found = counts.where("low <> high").select("word").toPandas()["word"].to_numpy(np.int64)
+        if not len(found):
+            break
+        shared = np.concatenate([shared, found])
     ends = texts.count()
     n_words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, kinds = n_words + ends, distinct + (ends > 0)
     frequent = counts.where(F.col("n") >= UNIT_SHARE * tokens).select("word", "n").toPandas().sort_values("word")
-    units = Units(frequent["word"].to_numpy(np.int64))
+    units = Units(frequent["word"].to_numpy(np.int64), np.sort(shared))
 
-    found = texts.select("text").mapInArrow(tidied(_paired(units.words)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    found = texts.select("text").mapInArrow(tidied(_paired(units)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
     pairs = np.zeros(units.size**2, np.float64)
     pairs[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy(np.float64)
     pairs = pairs.reshape(units.size, units.size)
@@ -344,7 +372,7 @@ def clustered(texts: DataFrame, classes: int = CLASSES) -> tuple[Lexicon, DataFr
     one = np.zeros((units.size, classes))
     one[np.arange(units.size), class_of] = 1
 
-    beside = texts.select("text").mapInArrow(tidied(_contexts(units.words, class_of, classes)), "word long, ending long, contexts binary")
+    beside = texts.select("text").mapInArrow(tidied(_contexts(units, class_of, classes)), "word long, ending long, contexts binary")
     others = beside.repartition("word").sortWithinPartitions("word").mapInArrow(
         tidied(_assigned(one.T @ pairs @ one, class_of[len(units.words) : -1], MIN_COUNT)), "word long, ending long, n long, class int"
     )
@@ -375,7 +403,7 @@ def _sequenced(lexicon: Lexicon):
             held = batch.column("held_out")
             for first, data, offsets in chunks(batch.column("text")):
                 docs = len(offsets) - 1
-                key, doc, ending = _chunk_words(data, offsets)
+                key, doc, ending = units.read(data, offsets)
                 n = np.bincount(doc, minlength=docs)
                 logs = np.full(docs, np.log10(lexicon.ends + 1.0))
                 known = np.full(docs, int(lexicon.ends > 0))
@@ -450,7 +478,7 @@ def sequences(rows: DataFrame, lexicon: Lexicon, others: DataFrame) -> DataFrame
     schema = "doc_id long, held_out boolean, n_tokens long, known long, logs double, classes binary, place binary, by_ending binary, rare array<long>, times array<int>"
     parts = stored(rows.mapInArrow(tidied(_sequenced(lexicon)), schema).withColumn("row", F.monotonically_increasing_id()), "sequenced")
     asked = parts.select("row", F.posexplode(F.arrays_zip("rare", "times")).alias("i", "x")).select("row", "i", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    rest = asked.join(others.where(F.col("n") < KNOWN_SHARE * lexicon.tokens).select("word", "n", "class").hint("shuffle_hash"), "word").groupBy("row").agg(
+    rest = asked.join(others.where(F.col("n") < KNOWN_SHARE * lexicon.tokens).select("word", "n", "class"), "word").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_logs"), F.sum("times").alias("more_known"),
         F.collect_list(F.col("i").cast("long") * 256 + F.col("class")).alias("found"),
     )
@@ -490,7 +518,7 @@ def fitted(lexicon: Lexicon, training: DataFrame, classes: int = CLASSES) -> Mod
 
 
 def train(texts: DataFrame, classes: int = CLASSES) -> tuple[Model, DataFrame]:
-    """The model of all texts of (doc_id, text), and the table of exact word counts (word, ending, n)."""
+    """The model of all texts of (doc_id, text), and the table of exact word counts (word, ending, n, low, high)."""
     lexicon, counts, others = clustered(texts, classes)
     return fitted(lexicon, sequences(texts.withColumn("held_out", F.lit(False)), lexicon, others), classes), counts
 

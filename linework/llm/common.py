@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 #: Bits in one bitmap of bitmap_construct_agg.
 BITMAP_BITS = 8 * 4096
-#: A filter is broadcast only up to this size; beyond it the rows go straight to the join.
-FILTER_LIMIT_BYTES = 16 << 20
+#: A filter is broadcast only up to this size. With more keys each has fewer bits, so more rows pass; under one bit a key there
+#: is no filter, and the rows go straight to the join.
+FILTER_LIMIT_BYTES = 64 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,12 +27,14 @@ def documents(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a temporary one serves a local session; a cluster must name it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         checkpoint = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = checkpoint.get() if checkpoint.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="linework-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(root)
@@ -61,37 +64,51 @@ def key_filter(keys: DataFrame, column: str, buckets: int) -> DataFrame:
     return keys.select(bucket.alias("_bucket"), bit.alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
 
 
-def _probed(df: DataFrame, key: Column, keys: DataFrame, column: str, n_keys: int) -> DataFrame:
-    """df with _maybe: whether the key may be among keys."""
-    buckets = filter_buckets(n_keys)
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one, so that no name of theirs meets one of ours."""
+    return F.struct(*[df[f"`{c}`"] for c in df.columns])
+
+
+def _buckets(n_keys: int, limit: int) -> int:
+    """Bitmaps of a filter of n_keys within limit; 0 for no filter."""
+    most = limit // (BITMAP_BITS // 8)
+    return min(filter_buckets(n_keys), most) if n_keys <= most * BITMAP_BITS else 0
+
+
+def _probed(df: DataFrame, key: Column, keys: DataFrame, column: str, buckets: int) -> DataFrame:
+    """row, and maybe: whether its key may be among keys. A null key is one like any other."""
     bucket, bit = slot(key, buckets)
-    probe = df.withColumn("_bucket", bucket).withColumn("_bit", bit)
+    probe = df.select(whole_row(df).alias("row"), bucket.alias("_bucket"), bit.alias("_bit"))
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
     maybe = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0, F.lit(False))
-    return probe.join(F.broadcast(key_filter(keys, column, buckets)), "_bucket", "left").withColumn("_maybe", maybe)
-
-
-def _fits(n_keys: int, limit: int) -> bool:
-    return filter_buckets(n_keys) * (BITMAP_BITS // 8) <= limit
+    return probe.join(F.broadcast(key_filter(keys, column, buckets)), "_bucket", "left").select("row", maybe.alias("maybe"))
 
 
 def gated(df: DataFrame, key: Column, keys: DataFrame, column: str, n_keys: int, limit: int = FILTER_LIMIT_BYTES) -> DataFrame:
-    """Rows of df whose key may be among keys (false positives pass). Beyond the limit every row passes."""
-    if not _fits(n_keys, limit):
-        return df
-    return _probed(df, key, keys, column, n_keys).where("_maybe").select(*df.columns)
+    """Rows of df whose key may be among keys (false positives pass). With too many keys for the limit every row passes."""
+    buckets = _buckets(n_keys, limit)
+    return _probed(df, key, keys, column, buckets).where("maybe").select("row.*") if buckets else df
 
 
 def parted(df: DataFrame, key: Column, keys: DataFrame, column: str, n_keys: int, limit: int = FILTER_LIMIT_BYTES) -> tuple[DataFrame, DataFrame]:
-    """The rows whose key may be among keys, and the rows whose key is not. Beyond the limit all are in the first."""
-    if not _fits(n_keys, limit):
+    """The rows whose key may be among keys, and the rows whose key is not. With too many keys for the limit all are in the first."""
+    buckets = _buckets(n_keys, limit)
+    if not buckets:
         return df, df.where(F.lit(False))
-    probed = _probed(df, key, keys, column, n_keys)
-    return probed.where("_maybe").select(*df.columns), probed.where("not _maybe").select(*df.columns)
+    probed = _probed(df, key, keys, column, buckets)
+    return probed.where("maybe").select("row.*"), probed.where("not maybe").select("row.*")
+
+
+def text_key(text: Column | str = "text") -> Column:
+    """A hash that tells texts apart that share a doc_id; null counts as empty."""
+    return F.xxhash64(F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit("")))
 
 
 def without(df: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows of df whose doc_id is not among dropped (doc_id). Few rows move: only those that the filter can't clear."""
-    dropped = stored(dropped.select(F.col("doc_id").alias("_gone")).distinct(), "dropped")
-    near, far = parted(df, F.col("doc_id"), dropped, "_gone", dropped.count())
-    return near.join(dropped, near["doc_id"] == dropped["_gone"], "left_anti").unionByName(far)
+    """Rows of df but those of dropped's (doc_id, text_key): of rows that share a doc_id only the one with that text goes, a null
+    doc_id is one like any other. Few rows move: only those that the filter can't clear."""
+    dropped = stored(dropped.select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_key")).distinct(), "dropped")
+    near, far = parted(df, F.col("doc_id").cast("long"), dropped, "_gone", dropped.count())
+    keyed = near.select(whole_row(near).alias("row"), F.col("doc_id").cast("long").alias("_id"), text_key().alias("_key"))
+    left = keyed.join(dropped, F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_key") == F.col("_gone_key")), "left_anti")
+    return left.select("row.*").unionByName(far)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linework.llm.common import documents
+from linework.llm.common import documents, text_key
 from linework.llm.kernels import chunks, tidied, word_hashes
 
 CLASSES = 16
@@ -77,10 +77,13 @@ class Voter:
         k = min(neighbours, len(self.labels))
         for i in range(0, len(counts), BLOCK):
             cosine = self.project(counts[i : i + BLOCK]) @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64)
+            # All that are as near as the k-th vote, those at its very distance with what is left of the k votes in equal parts.
+            least = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
+            nearer, level = cosine > least, cosine == least
+            part = nearer + level * ((k - nearer.sum(1, keepdims=True)) / level.sum(1, keepdims=True))
+            weight = np.maximum(cosine, 0).astype(np.float64) * part
             total = weight.sum(1)
-            vote = (weight * self.labels[near]).sum(1)
+            vote = weight @ self.labels
             seen = total > 1e-9
             out[i : i + BLOCK][seen] = vote[seen] / total[seen]
         return np.clip(out, 0.0, 1.0)
@@ -131,16 +134,21 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, rows: int = SAMPLE_ROWS) -> Voter:
-    """A voter of at most `rows` labelled documents of the training folds. Rows without a label don't count."""
+    """A voter of at most `rows` labelled documents of the training folds. Rows without a label don't count.
+
+    Of rows that share a doc_id the one of the smallest text_key is the labelled one, and equal rows are one.
+    """
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
-    marked = marked.where(F.crc32(F.col("doc_id").cast("string")) % folds != 0).dropDuplicates(["doc_id"])
+    marked = marked.where(F.crc32(F.col("doc_id").cast("string")) % folds != 0).groupBy("doc_id").agg(F.min("label").alias("label"))
     sample = marked.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(rows)
-    texts = documents(docs).join(F.broadcast(sample), "doc_id").select("label", "order", "text")
+    texts = documents(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "order", "text")
+    # One row of each doc_id, so what reaches the driver is bounded however often rows repeat.
+    texts = texts.groupBy("doc_id", "label", "order").agg(F.min(F.struct(text_key().alias("key"), "text")).alias("t")).select("label", "order", "t.text")
     found = texts.mapInArrow(tidied(_counted), "label int, order long, terms array<int>, counts array<int>").toArrow().sort_by([("order", "ascending")])
-    counts = np.zeros((min(found.num_rows, rows), TERMS), np.float32)
+    counts = np.zeros((found.num_rows, TERMS), np.float32)
     for i in range(len(counts)):
         counts[i, found["terms"][i].values.to_numpy()] = found["counts"][i].values.to_numpy()
-    return fit(counts, found["label"].to_numpy()[: len(counts)].astype(np.float64))
+    return fit(counts, found["label"].to_numpy().astype(np.float64))
 
 
 def _scored(voter: Voter):
@@ -149,18 +157,20 @@ def _scored(voter: Voter):
             for first, data, offsets in chunks(batch.column("text")):
                 n = len(offsets) - 1
                 scores = [voter.score(term_counts(*_part(data, offsets, i))) for i in range(0, n, BLOCK)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, n), pa.array(np.concatenate(scores))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, n), batch.column("text_key").slice(first, n), pa.array(np.concatenate(scores))], ["doc_id", "text_key", "score"])
 
     return run
 
 
 def scores(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document.
+    """doc_id, held_out, score, predicted, text_key for every document.
 
-    Null text counts as empty, and an empty text scores the labels' mean. Rows that repeat a doc_id score each; extra
-    columns are ignored; without documents there are no rows, and without labels every score is 0.5.
+    Null text counts as empty, and an empty text scores the labels' mean. Rows that repeat a doc_id, or have none, score
+    each by their texts, which text_key (common.text_key) tells apart; equal texts score alike. Neighbours at the k-th one's
+    very distance share what is left of the k votes. Texts of any length are read whole; extra columns are ignored;
+    without documents there are no rows, and without labels every score is 0.5.
     """
     voter = train(docs, labels, folds)
-    found = documents(docs).mapInArrow(tidied(_scored(voter)), "doc_id long, score double")
+    found = documents(docs).withColumn("text_key", text_key()).mapInArrow(tidied(_scored(voter)), "doc_id long, text_key long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False))
-    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "text_key")

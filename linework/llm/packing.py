@@ -7,6 +7,7 @@ by hash, so groups pack in parallel and each wastes part of a few bins at most.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -16,13 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linework.llm.common import documents, stored
-from linework.llm.kernels import chunks, kept_by_worker, span_hashes, tidied, words
+from linework.llm.kernels import _LOWER, chunks, kept_by_worker, same_spans, span_hashes, tidied, words
 
 SEQUENCE = 2048
 #: Pieces that one task packs.
 GROUP_ROWS = 32_768
-#: Parts of words that a worker keeps the ids of.
-CACHED_WORDS = 500_000
+#: Parts of words that a worker keeps the ids of, and the bytes of one such part, at most.
+CACHED_WORDS, CACHED_BYTES = 400_000, 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -53,11 +54,15 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class HashTable:
-    """Places of 64-bit keys, looked up by whole arrays: open addressing with a fixed room."""
+    """Places of distinct 64-bit keys, looked up by whole arrays: open addressing, a third full at most."""
 
-    def __init__(self, room: int):
-        self.mask = (1 << (4 * room - 1).bit_length()) - 1
-        self.keys, self.values = np.zeros(self.mask + 1, np.uint64), np.full(self.mask + 1, -1, np.int32)
+    def __init__(self) -> None:
+        self.count = 0
+        self._make(1 << 14)
+
+    def _make(self, slots: int) -> None:
+        self.mask = slots - 1
+        self.keys, self.values = np.zeros(slots, np.uint64), np.full(slots, -1, np.int32)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Value of each key, or -1."""
@@ -72,6 +77,14 @@ class HashTable:
 
     def add(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Distinct keys that the table lacks."""
+        self.count += len(keys)
+        if 3 * self.count > self.mask:
+            old, used = (self.keys, self.values), self.values >= 0
+            self._make(1 << (6 * self.count).bit_length())
+            self._put(old[0][used], old[1][used])
+        self._put(keys, values)
+
+    def _put(self, keys: np.ndarray, values: np.ndarray) -> None:
         at = (keys & np.uint64(self.mask)).astype(np.int64)
         while len(keys):
             free = self.values[at] < 0
@@ -83,10 +96,35 @@ class HashTable:
             keys, values, at = keys[~put], values[~put], (at[~put] + 1) & self.mask
 
 
+class Pool:
+    """Consecutive arrays in one that grows."""
+
+    def __init__(self, dtype: type):
+        self.flat, self.used = np.zeros(4096, dtype), 0
+        self.start, self.size, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int32), 0
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        for name, used, more in (("flat", self.used, len(flat)), ("start", self.count, len(sizes)), ("size", self.count, len(sizes))):
+            have = getattr(self, name)
+            if used + more > len(have):
+                grown = np.zeros(max(2 * len(have), used + more), have.dtype)
+                grown[:used] = have[:used]
+                setattr(self, name, grown)
+        self.flat[self.used : self.used + len(flat)] = flat
+        at = slice(self.count, self.count + len(sizes))
+        self.start[at], self.size[at] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used, self.count = self.used + len(flat), self.count + len(sizes)
+
+
 class WordEncoder:
-    """Token ids of whole texts, part of word by part of word, each known one from a table."""
+    """Token ids of whole texts, part of word by part of word, each known one from a table.
+
+    The table is looked up by hashes and holds each part's bytes, which are compared: a part that only shares its hash with
+    a known one is encoded by itself, as are long parts.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -97,63 +135,73 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.table = HashTable(CACHED_WORDS)
-        self.starts, self.lengths, self.flat, self.used, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0, 0
-
-    def _add(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
-        while self.count + len(keys) > len(self.starts):
-            self.starts, self.lengths = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        at = slice(self.count, self.count + len(keys))
-        self.starts[at], self.lengths[at] = self.used + np.cumsum(sizes) - sizes, sizes
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.table.add(keys, np.arange(self.count, self.count + len(keys), dtype=np.int32))
-        self.count, self.used = self.count + len(keys), self.used + len(ids)
-
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        self.table, self.ids, self.bytes = HashTable(), Pool(np.uint32), Pool(np.uint8)
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return np.fromiter(map(len, found), np.int64, len(found)), np.array([x for ids in found for x in ids], np.uint32)
+
+    def _learn(self, keys: np.ndarray, parts: list[bytes]) -> None:
         """Ids of new parts. Parts of letters alone are one unit to the tokenizer, so many are encoded as one text."""
+        texts = [x.decode("utf-8", "replace") for x in parts]
         plain = [i for i, x in enumerate(texts) if x.isalpha() and "İ" not in x]
+        sized = []
         if plain:
             ids = np.array(self.tokenizer.encode(" ".join([texts[i] for i in plain]), add_special_tokens=False).ids, np.uint32)
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(plain):
-                self._add(keys[plain], np.diff(ends, prepend=0), ids)
+                sized.append((plain, np.diff(ends, prepend=0), ids))
             else:  # a word that normalising parts: one by one
                 plain = []
         left = set(plain)
         rest = [i for i in range(len(texts)) if i not in left]
         if rest:
-            found = [e.ids for e in self.tokenizer.encode_batch([texts[i] for i in rest], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self._add(keys[rest], sizes, np.array([x for ids in found for x in ids], np.uint32))
+            sized.append((rest, *self._encoded([texts[i] for i in rest])))
+        for some, sizes, ids in sized:
+            raw = [parts[i] for i in some]
+            self.table.add(keys[some], np.arange(self.ids.count, self.ids.count + len(some), dtype=np.int32))
+            self.ids.add(ids, sizes)
+            self.bytes.add(np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, len(raw)))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the chunk's documents, and where each document's begin."""
         raw = data.tobytes()
         whole = any(x in raw for x in self.special)
         starts, ends, doc = words(data, offsets) if whole else units(data, offsets)
-        hashes = span_hashes(data, starts, ends, lower=not whole)
+        if not whole:  # the vocabulary is of lower case
+            data = _LOWER[data]
+            raw = data.tobytes()
+        hashes = span_hashes(data, starts, ends, lower=False)
         if whole:
             hashes ^= np.uint64(0x5DEECE66D)
+        long = ends - starts > CACHED_BYTES
         entry = self.table.find(hashes)
-        new = np.flatnonzero(entry < 0)
+        new = np.flatnonzero((entry < 0) & ~long)
         if len(new):
             keys, first = np.unique(hashes[new], return_index=True)
-            if self.count + len(keys) > CACHED_WORDS:  # all of this chunk's parts are learnt anew
+            if self.ids.count and self.ids.count + len(keys) > CACHED_WORDS:  # all of this chunk's parts are learnt anew
                 self.clear()
-                keys, first = np.unique(hashes, return_index=True)
-                new = np.arange(len(hashes))
-            if len(keys) > CACHED_WORDS:
-                self.table = HashTable(len(keys))
+                new = np.flatnonzero(~long)
+                keys, first = np.unique(hashes[new], return_index=True)
             at = new[first]
-            text = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            self._learn(keys, text)
+            self._learn(keys, [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
             entry[new] = self.table.find(hashes[new])
-        sizes = self.lengths[entry]
+        entry[long] = -1
+        known = np.flatnonzero(entry >= 0)
+        of = entry[known]
+        same = self.bytes.size[of] == (ends - starts)[known]
+        same[same] = same_spans(data, starts[known[same]], self.bytes.flat[: self.bytes.used], self.bytes.start[of[same]], (ends - starts)[known[same]])
+        flat, begin, sizes = self.ids.flat, np.zeros(len(entry), np.int64), np.zeros(len(entry), np.int64)
+        begin[known], sizes[known] = self.ids.start[of], self.ids.size[of]
+        entry[known[~same]] = -1
+        alone = np.flatnonzero(entry < 0)
+        if len(alone):
+            n, ids = self._encoded([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[alone].tolist(), ends[alone].tolist(), strict=True)])
+            begin[alone], sizes[alone] = self.ids.used + np.cumsum(n) - n, n
+            flat = np.concatenate([flat[: self.ids.used], ids])
         until = np.cumsum(sizes)
         total = int(until[-1]) if len(until) else 0
-        ids = self.flat[np.repeat(self.starts[entry] - (until - sizes), sizes) + np.arange(total)]
+        ids = flat[np.repeat(begin - (until - sizes), sizes) + np.arange(total)]
         per_doc = np.bincount(doc, weights=sizes, minlength=len(offsets) - 1).astype(np.int64)
         return ids, np.concatenate([[0], np.cumsum(per_doc)])
 
@@ -162,25 +210,31 @@ def _cut(path: str, length: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept_by_worker(f"words:{path}", lambda: WordEncoder(path))
         for batch in batches:
-            names = batch.column("doc_id").to_pylist()
+            names = batch.column("doc_id")
             for first, data, offsets in chunks(batch.column("text")):
                 ids, begin = encoder.encode(data, offsets)
-                rows: list[tuple] = []
-                for d in range(len(offsets) - 1):
-                    own = np.append(ids[begin[d] : begin[d + 1]], np.uint32(0))
-                    for k, at in enumerate(range(0, len(own), length)):
-                        part = own[at : at + length]
-                        rows.append((names[first + d], k, at, len(part), zlib.crc32(part.astype("<u4").tobytes())) + ((part.astype(np.int64),) if with_ids else ()))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(cols)])
+                docs = len(offsets) - 1
+                closed = np.zeros(len(ids) + docs, np.uint32)  # a 0 after each document's ids
+                closed[np.arange(len(ids)) + np.repeat(np.arange(docs), np.diff(begin))] = ids
+                begin = begin + np.arange(docs + 1)
+                parts = -(-np.diff(begin) // length)
+                doc = np.repeat(np.arange(docs), parts)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
+                at = begin[doc] + piece * length
+                sizes = np.minimum(begin[doc + 1] - at, length)
+                raw = memoryview(closed.astype("<u4").tobytes())
+                sums = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), sizes.tolist(), strict=True)]
+                columns = [names.take(pa.array(first + doc)), pa.array(piece.astype(np.int32)), pa.array(piece * length), pa.array(sizes), pa.array(sums, pa.int64())]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(closed)).astype(np.int32)), pa.array(closed.astype(np.int64))))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
     return run
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
     """Each document's ids and a closing 0, cut only where longer than length. Null and empty texts are the 0 alone."""
-    return documents(docs).mapInArrow(tidied(_cut(tokenizer, length, with_ids)), PIECES + (", ids array<long>" if with_ids else ""))
+    return documents(docs).mapInArrow(tidied(_cut(tokenizer, length, with_ids), keeps=True), PIECES + (", ids array<long>" if with_ids else ""))
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -262,10 +316,13 @@ def _packed(capacity: int):
 
 
 def pack(cut: DataFrame, capacity: int = SEQUENCE, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """cut (of pieces()) with sequence_id and offset. Full pieces take a sequence each; the rest are packed by groups."""
+    """cut (of pieces(), stored) with sequence_id and offset. Full pieces take a sequence each; the rest are packed by groups.
+
+    Rows are dealt by their place in the stored table, so that rows that repeat, however often, spread over the groups.
+    """
     short = cut.where(F.col("length") < capacity)
     groups = max(1, -(-short.count() // group_rows))
-    dealt = short.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("long"))
+    dealt = short.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
     packed = dealt.groupBy("_group").applyInArrow(_packed(capacity), schema)
     full = cut.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
@@ -275,7 +332,9 @@ def pack(cut: DataFrame, capacity: int = SEQUENCE, group_rows: int = GROUP_ROWS)
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null text counts as empty; rows that repeat a doc_id are packed each. An empty table gives no rows. with_ids adds the
-    token ids of each piece, for writing the sequences out.
+    Null and empty texts are one piece of the closing 0; rows that repeat a doc_id, null ones too, are packed each. Of pieces
+    of equal length, which are alike for packing, the one of the smallest doc_id and piece goes first. A very long text is
+    cut into as many pieces as it needs, and a very long word is encoded by itself. Extra columns are ignored; an empty table
+    gives no rows. with_ids adds the token ids of each piece, for writing the sequences out.
     """
     return pack(stored(pieces(docs, tokenizer, capacity, with_ids), "pieces"), capacity)

@@ -31,7 +31,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return knn_quality.scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return knn_quality.scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).drop("text_key")
 
 
 def op4_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,13 +61,13 @@ def op9_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bottomk.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return bottomk.near_duplicates(read_table(spark, sf_dir, "documents")).drop("text_key")
 
 
 SQL = {
     "op2_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
-        SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept,
+        SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id IS NOT DISTINCT FROM min(doc_id) OVER g AS kept,
                sha256(body) AS text_sha256
         FROM t WINDOW g AS (PARTITION BY body)""",
     "op8_chat_prefixes": r"""

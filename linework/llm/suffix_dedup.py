@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linework.llm.common import documents, gated, parted, stored
-from linework.llm.kernels import chunks, mixed, span_hashes, tidied
+from linework.llm.kernels import chunks, mixed, span_hashes, tidied, window_hashes
 
 LENGTH = 200
 GRAM = 40
@@ -84,11 +84,11 @@ def _sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchored(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document, anchor hash, stretch hash, first start, end of starts) of each run of starts with one anchor."""
+    """(document, anchor hash, two stretch hashes, first start, end of starts) of each run of starts with one anchor."""
     if len(data) < LENGTH:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
-    at = np.arange(len(data) - GRAM + 1)
-    gram = span_hashes(data, at, at + GRAM, lower=False)
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
+    gram, levels = window_hashes(data, GRAM)
+    at = np.arange(len(gram))
     least = _sliding_min(gram >> np.uint64(_PLACE) << np.uint64(_PLACE) | at.astype(np.uint64), LENGTH - GRAM + 1)
     where = (least & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
     starts = np.arange(len(where))
@@ -96,18 +96,19 @@ def anchored(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     good = starts + LENGTH <= room
     starts, where, room = starts[good], where[good], room[good]
     if not len(starts):
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     new = np.ones(len(starts), bool)
     new[1:] = (where[1:] != where[:-1]) | (room[1:] != room[:-1])
     lo = starts[new]
     hi = np.append(starts[np.flatnonzero(new)[1:] - 1], starts[-1]) + 1
     pos = where[new]
     stretch = mixed(span_hashes(data, lo, hi + LENGTH - 1, lower=False) + (pos - lo).astype(np.uint64))
+    second = span_hashes(data, lo, hi + LENGTH - 1, lower=False, lane=1)
     doc = np.searchsorted(offsets, lo, side="right") - 1
-    return doc, gram[pos].view(np.int64), stretch.view(np.int64), lo - offsets[doc], hi - offsets[doc]
+    return doc, gram[pos].view(np.int64), stretch.view(np.int64), second.view(np.int64), lo - offsets[doc], hi - offsets[doc]
 
 
-ANCHORS = "doc_id long, text_key long, anchor long, stretch long, lo int, hi int"
+ANCHORS = "doc_id long, text_key long, anchor long, stretch long, second long, lo int, hi int"
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,10 +117,10 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, data, offsets in chunks(batch.column("text")):
             parts = [(0, len(data))] if len(offsets) > 2 or len(data) <= PART_BYTES else [(a, min(len(data), a + PART_BYTES + LENGTH - 1)) for a in range(0, len(data) - LENGTH + 1, PART_BYTES)]
             for a, b in parts:
-                doc, anchor, stretch, lo, hi = anchored(data[a:b], offsets if len(parts) == 1 else np.array([0, b - a]))
+                doc, anchor, stretch, second, lo, hi = anchored(data[a:b], offsets if len(parts) == 1 else np.array([0, b - a]))
                 if len(doc):
                     rows = pa.array(doc + first)
-                    yield pa.RecordBatch.from_arrays([names.take(rows), keys.take(rows), pa.array(anchor), pa.array(stretch), pa.array((lo + a).astype(np.int32)), pa.array((hi + a).astype(np.int32))], [x.split()[0] for x in ANCHORS.split(", ")])
+                    yield pa.RecordBatch.from_arrays([names.take(rows), keys.take(rows), pa.array(anchor), pa.array(stretch), pa.array(second), pa.array((lo + a).astype(np.int32)), pa.array((hi + a).astype(np.int32))], [x.split()[0] for x in ANCHORS.split(", ")])
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,13 +209,13 @@ def _sorted_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each string start of a stretch: two hashes of its LENGTH bytes."""
+    """A row for each string start of a stretch: two hashes of its LENGTH bytes, of independent functions."""
     for batch in batches:
         for i, body in enumerate(batch.column("body")):
             data = np.frombuffer(body.as_py(), np.uint8)
             at = np.arange(len(data) - LENGTH + 1)
-            h = span_hashes(data, at, at + LENGTH, lower=False)
-            g = span_hashes(data ^ np.uint8(0x5A), at, at + LENGTH, lower=False)
+            h, _ = window_hashes(data, LENGTH)
+            g = span_hashes(data, at, at + LENGTH, lower=False, lane=1)
             same = [batch.column(c).slice(i, 1).take(pa.array(np.zeros(len(at), np.int64))) for c in ("doc_id", "text_key", "single")]
             start = batch.column("lo")[i].as_py() + at
             yield pa.RecordBatch.from_arrays([*same, pa.array(start.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(g.view(np.int64))], ["doc_id", "text_key", "single", "s", "h", "g"])
@@ -263,10 +264,10 @@ def repeated_spans(docs: DataFrame, sorted_stretches: int = SORTED_STRETCHES) ->
     often = stored(found.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "anchors-met")
     met = stored(gated(found, F.col("anchor"), often, "anchor", often.count()).join(often, "anchor", "left_semi"), "met")
     one = [F.first(c).alias(c) for c in ("doc_id", "text_key", "lo", "hi")]  # of one row, as all take the first
-    kinds = stored(met.groupBy("anchor", "stretch").agg(F.count("*").alias("times"), *one), "stretches")
+    kinds = stored(met.groupBy("anchor", "stretch", "second").agg(F.count("*").alias("times"), *one), "stretches")
     per_anchor = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
 
-    whole = met.join(kinds.where("times > 1").select("anchor", "stretch"), ["anchor", "stretch"], "left_semi")
+    whole = met.join(kinds.where("times > 1").select("anchor", "stretch", "second"), ["anchor", "stretch", "second"], "left_semi")
     whole = whole.select("doc_id", "text_key", F.col("lo").alias("s"), (F.col("hi") + (LENGTH - 1)).alias("e"))
     asked = (
         kinds.join(per_anchor, "anchor")

@@ -320,7 +320,7 @@ def _id_batch(names: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
 
 def encode_documents(docs: DataFrame, model: bytes) -> DataFrame:
     """(doc_id, ids array<int>) of every whole text; null and empty texts have no ids."""
-    return documents(docs).mapInArrow(tidied(_encoded(model)), "doc_id long, ids array<int>")
+    return documents(docs).mapInArrow(tidied(_encoded(model), keeps=True), "doc_id long, ids array<int>")
 
 
 def decode_documents(ids: DataFrame, model: bytes) -> DataFrame:
@@ -332,7 +332,7 @@ def decode_documents(ids: DataFrame, model: bytes) -> DataFrame:
             texts = [machine.decode(np.array(x.as_py() or [], np.int64)) for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return ids.select("doc_id", "ids").mapInArrow(tidied(run), "doc_id long, text string")
+    return ids.select("doc_id", "ids").mapInArrow(tidied(run, keeps=True), "doc_id long, text string")
 
 
 DIGEST = "doc_id long, n_pieces long, n_byte_pieces long, ids_crc32 long, round_trip boolean"
@@ -357,4 +357,4 @@ def piece_digests(docs: DataFrame, model: bytes) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_pieces", "n_byte_pieces", "ids_crc32", "round_trip"])
 
-    return documents(docs).mapInArrow(tidied(run), DIGEST)
+    return documents(docs).mapInArrow(tidied(run, keeps=True), DIGEST)

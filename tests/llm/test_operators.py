@@ -140,7 +140,10 @@ def test_exact_dedup_repeated_rows_and_index(spark):
     index.flush(docs)
     index.flush(spark.createDataFrame([(9, "a")], "doc_id long, text string"))
     assert index.lookup(hashlib.sha256(b"a").hexdigest()).count() == 4
-    assert index.compacted().where("group_size = 4").first()["keep_id"] == 2
+    assert index.compact().where("group_size = 4").first()["keep_id"] == 2
+    index.flush(spark.createDataFrame([(1, "a"), (4, "new")], "doc_id long, text string"))
+    merged = index.compact()  # what was flushed since, into the sorted runs of the level below
+    assert merged.where("group_size = 5").first()["keep_id"] == 1 and merged.count() == 4
 
 
 def test_exact_dedup_doc_id_of_two_texts_and_null_ids(spark):
@@ -150,11 +153,11 @@ def test_exact_dedup_doc_id_of_two_texts_and_null_ids(spark):
         rows = lsm_dedup.exact_dedup(docs, filter_limit=limit).collect()
         found = sorted(((sha[r["text_sha256"]], r["doc_id"] or 0, r["keep_id"], r["group_size"], r["kept"]) for r in rows), key=lambda r: r[:2])
         assert found == [
-            ("A", 0, 3, 3, None), ("A", 3, 3, 3, True), ("A", 5, 3, 3, False), ("B", 5, 5, 2, True), ("B", 7, 5, 2, False),
-            ("C", 6, 6, 1, True), ("D", 0, None, 2, None), ("D", 0, None, 2, None),
+            ("A", 0, 3, 3, False), ("A", 3, 3, 3, True), ("A", 5, 3, 3, False), ("B", 5, 5, 2, True), ("B", 7, 5, 2, False),
+            ("C", 6, 6, 1, True), ("D", 0, None, 2, True), ("D", 0, None, 2, True),
         ]
-    kept = sorted((r["doc_id"] or 0, r["text"]) for r in lsm_dedup.kept_documents(docs.where("doc_id is not null")).collect())
-    assert kept == [(3, "A"), (5, "B"), (6, "C")]
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in lsm_dedup.kept_documents(docs).collect())
+    assert kept == [(0, "D"), (3, "A"), (5, "B"), (6, "C")]
 
 
 def test_regrouped_moves_rows_of_null_doc_id(spark):
