@@ -27,7 +27,7 @@ def main() -> None:
     dictionary = sources.word_frequencies(spark, args.dictionary) if args.dictionary else None
     docs, lines = pages.run_folder(spark, args.folder, scorer, dictionary=dictionary, hierarchical=args.hierarchical)
     lines = lines.persist()
-    sinks.save_text(lines, f"{args.out}/text")
+    sinks.save_text(lines, f"{args.out}/text", folders=True)
     sinks.save_confidence_csv(lines, f"{args.out}/confidence")
     sinks.pdf_documents(lines).write.mode("overwrite").parquet(f"{args.out}/pdf")
     docs.select("doc_id", "lines", "mean_confidence", "low_confidence_count").write.mode("overwrite").option("header", True).csv(f"{args.out}/summary")

@@ -27,6 +27,16 @@ class Preprocessing:
     notch_percentile: float = 99.5
     notch_radius: int = 10
     tophat_share: float = 0.25
+    #: Fixed: what a binary page is scored by. Ink share wanted and its bounds, sizes of specks and blobs, parts wanted; weights of ink,
+    #: specks, blobs and few parts; the score of a page that can't be read.
+    score_ink: float = 0.085
+    score_least_ink: float = 0.002
+    score_most_ink: float = 0.65
+    score_speck: int = 2
+    score_blob: float = 0.01
+    score_parts: int = 8
+    score_weights: tuple[float, ...] = (12.0, 1.8, 4.0, 2.0)
+    score_unfit: float = -1000.0
 
 
 @dataclass(frozen=True)

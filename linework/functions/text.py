@@ -14,7 +14,6 @@ NOISE_PREFIX = rf'^["#\x{{201C}}\x{{201D}}\x{{2018}}\x{{2019}}{WHITE}]*(?:Ell[{W
 NOISE_SUFFIX = rf"[{WHITE}.]{{2,}}$"
 PLACEHOLDER = r"\[illegible[^\]]*\]"
 WORD_PARTS = r"^([^a-zA-Z]*)([a-zA-Z']+)([^a-zA-Z]*)$"
-UNCORRECTABLE = r"[0-9@#$%^&*_\-/\\]"
 WORD_START = "Ġ"
 SPECIALS = ("<pad>", "<bos>", "<eos>", "<unk>")
 PAD, BOS, EOS, UNK = range(4)
@@ -65,7 +64,7 @@ def word_distance(a: Column, b: Column) -> Column:
 def correctable(core: Column, whitelist: Column | None = None) -> Column:
     """Whether a word's letters may be corrected: three or more, not capitalised, not listed."""
     first = F.substring(core, 1, 1)
-    ok = (F.length(core) >= 3) & ~((first == F.upper(first)) & (first != F.lower(first))) & ~core.rlike(UNCORRECTABLE)
+    ok = (F.length(core) >= 3) & ~((first == F.upper(first)) & (first != F.lower(first)))
     return ok if whitelist is None else ok & ~F.array_contains(whitelist, F.lower(core))
 
 

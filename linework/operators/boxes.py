@@ -31,23 +31,26 @@ def rotated(boxes: DataFrame, width: Column | str = "width", height: Column | st
     Angles and flips are columns: a draw of random numbers is part of the input. Boxes that leave the page go.
     """
     w, h, a, f = (F.col(x) if isinstance(x, str) else x for x in (width, height, angle, flip))
-    cx, cy, turn = w / 2, h / 2, F.radians(a)
-    xs, ys = [], []
-    for x in ("x1", "x2"):
-        for y in ("y1", "y2"):
-            dx, dy = F.col(x) - cx, F.col(y) - cy
-            xs.append(F.cos(turn) * dx + F.sin(turn) * dy + cx)
-            ys.append(F.cos(turn) * dy - F.sin(turn) * dx + cy)
+    mid_x, mid_y, half_x, half_y = ((F.col("x1") + F.col("x2") - w) / 2, (F.col("y1") + F.col("y2") - h) / 2, (F.col("x2") - F.col("x1")) / 2, (F.col("y2") - F.col("y1")) / 2)
 
     def within(v: Column, most: Column) -> Column:
         return F.least(F.greatest(v.cast("int"), F.lit(0)), most - 1)
 
-    x1, x2 = within(F.least(*xs), w), within(F.greatest(*xs), w)
-    y1, y2 = within(F.least(*ys), h), within(F.greatest(*ys), h)
-    turned = boxes.withColumns({"_x1": x1, "_y1": y1, "_x2": x2, "_y2": y2}).where("_x2 > _x1 and _y2 > _y1")
+    def hull_of(t: Column) -> Column:
+        """The turned middle and half the hull's sides, so that an angle's sine and cosine are computed once."""
+        x, y = t["c"] * mid_x + t["s"] * mid_y + w / 2, t["c"] * mid_y - t["s"] * mid_x + h / 2
+        across, down = F.abs(t["c"]) * half_x + F.abs(t["s"]) * half_y, F.abs(t["c"]) * half_y + F.abs(t["s"]) * half_x
+        return F.struct(within(x - across, w).alias("x1"), within(y - down, h).alias("y1"), within(x + across, w).alias("x2"), within(y + down, h).alias("y2"))
+
+    def kept(b: Column) -> Column:
+        return (b["x2"] > b["x1"]) & (b["y2"] > b["y1"])
+
+    found = F.filter(F.transform(F.array(F.struct(F.cos(F.radians(a)).alias("c"), F.sin(F.radians(a)).alias("s"))), hull_of), kept)
+    turned = boxes.withColumn("_hull", F.explode(found))  # a generator: what it computes isn't computed again by what reads it
+    b = F.col("_hull")
     return turned.withColumns(
-        {"x1": F.when(f, w - F.col("_x2")).otherwise(F.col("_x1")), "x2": F.when(f, w - F.col("_x1")).otherwise(F.col("_x2")), "y1": F.col("_y1"), "y2": F.col("_y2")}
-    ).drop("_x1", "_y1", "_x2", "_y2")
+        {"x1": F.when(f, w - b["x2"]).otherwise(b["x1"]), "x2": F.when(f, w - b["x1"]).otherwise(b["x2"]), "y1": b["y1"], "y2": b["y2"]}
+    ).drop("_hull")
 
 
 def hull(boxes: DataFrame, *group: str) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import logging
+import tempfile
+from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,11 +39,24 @@ def masked_pairs(images: DataFrame, masks: DataFrame, priority: tuple[str, ...]
     return images.join(best, "stem", "inner")
 
 
-def combined(*parts: DataFrame) -> DataFrame:
-    """All rows of the parts that are there; none at all is an error."""
-    if not parts:
+def required(pairs: DataFrame, what: str = "image with a mask") -> DataFrame:
+    """pairs, unless there are none: training on nothing is an error."""
+    if pairs.isEmpty():
+        raise FileNotFoundError(f"no {what}")
+    return pairs
+
+
+def combined(*parts: DataFrame | Callable[[], DataFrame], optional: tuple[Callable[[], DataFrame], ...] = ()) -> DataFrame:
+    """All rows of the parts that are there; none at all is an error. An optional part that can't be opened is left out with a warning."""
+    there = [p if isinstance(p, DataFrame) else p() for p in parts]
+    for part in optional:
+        try:
+            there.append(part())
+        except (AnalysisException, OSError) as e:
+            logging.getLogger("linework").warning("a dataset is left out: %s", str(e).splitlines()[0])
+    if not there:
         raise ValueError("no dataset to combine")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), there)
 
 
 def oversampled(rows: DataFrame, hard: Column, times: int = T.oversample) -> DataFrame:
@@ -50,10 +67,11 @@ def oversampled(rows: DataFrame, hard: Column, times: int = T.oversample) -> Dat
 def exact_split(rows: DataFrame, key: str, fraction: float, seed: int = T.seed, name: str = "split") -> DataFrame:
     """rows marked 'val' or 'train'; exactly max(1, floor(n * fraction)) are 'val', those of the smallest seeded hashes.
 
-    The place of the last one comes from counts of hash ranges, so no task ranks all rows: one range is ranked.
+    Hashes are the first 60 bits of md5 of seed:key. The place of the last one comes from counts of hash ranges, so no task
+    ranks all rows: one range is ranked.
     """
-    order = F.xxhash64(F.lit(seed), F.col(key))
-    marked = rows.withColumn("_h", order).withColumn("_b", F.shiftright("_h", 48))
+    order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 15), 16, 10).cast("long")
+    marked = rows.withColumn("_h", order).withColumn("_b", F.shiftright("_h", 44))
     counts = marked.groupBy("_b").agg(F.count("*").alias("n"))
     n = counts.agg(F.sum("n")).first()[0] or 0
     want = max(1, int(n * fraction)) if n else 0
@@ -74,12 +92,31 @@ def exact_split(rows: DataFrame, key: str, fraction: float, seed: int = T.seed,
 
 def augmented(images: DataFrame, copies: int) -> DataFrame:
     """Each image `copies` times, with a running number over all: images by path, then copies."""
-    place = F.row_number().over(Window.orderBy("path")) - 1
-    numbered = images.select("path").distinct().withColumn("_place", place)  # a list of file names, not of pixels
-    out = images.join(numbered, "path").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    out = images.join(numbered(images.select("path").distinct(), "path"), "path").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     return out.withColumn("aug_index", F.col("_place") * copies + F.col("copy")).drop("_place")
 
 
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """Distinct rows with _place, their number from 0 in order of key, without ranking all in one task.
+
+    Rows are dealt by ranges of the key and fixed by a checkpoint; a row's place is its place in its range and the sizes of the
+    ranges before.
+    """
+    spark = rows.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="linework-"))
+    fixed = rows.repartitionByRange(key).sortWithinPartitions(key).checkpoint()
+    at = F.monotonically_increasing_id()
+    placed = fixed.withColumns({"_range": F.shiftright(at, 33), "_at": at.bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_range", before.alias("_before"))  # a row for each partition
+    return placed.join(F.broadcast(offsets), "_range").withColumn("_place", F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
+
+
 def surviving_boxes(original: DataFrame, changed: DataFrame) -> DataFrame:
     """Boxes of changed copies; a copy that lost all of its own has the original's."""
     kept = changed.select("path", "copy").distinct()

@@ -17,6 +17,8 @@ from linework.config import CONFIG
 from linework.functions.text import PLACEHOLDER, WHITE, WORD_PARTS, clean_noise, correctable, split_words
 
 P = CONFIG.postprocessing
+#: Characters that words are spread by. Any number finds all pairs; more make fewer pairs that are not near, but more strings.
+PREFIX = 10
 
 
 def alignment_distance(a: str, b: str, most: int) -> int:
@@ -66,21 +68,23 @@ def closest_terms(words: DataFrame, dictionary: DataFrame, most: int = P.max_edi
     Words of the dictionary are their own term. Words with no term in reach have no row.
     """
     letters = lambda c: F.array_join(F.sort_array(F.split(c, "")), "")
-    asked = words.select("word").where("word is not null and word <> ''").distinct()
-    left = asked.select("word", letters("word").alias("letters"), F.explode(deletions(F.col("word"), most)).alias("key"))
-    right = dictionary.select("term", "count", letters("term").alias("own"), F.explode(deletions(F.col("term"), most)).alias("key"))
+    known = words.select("word").where("word is not null and word <> ''").distinct().join(dictionary.select("term"), F.col("word") == F.col("term"), "left")
+    exact = known.where("term is not null").select("word", "term", F.lit(0).alias("distance"))
+    left = known.where("term is null").select("word", F.explode(deletions(F.col("word"), most, PREFIX)).alias("key"))
+    right = dictionary.select("term", F.explode(deletions(F.col("term"), most, PREFIX)).alias("key"))
     # Few bytes but much work: a set number of partitions keeps adaptive execution from merging them into one.
     n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = left.repartition(n, "key").join(right.repartition(n, "key"), "key").where(F.abs(F.length("word") - F.length("term")) <= most).withColumn("d", F.levenshtein("word", "term", 2 * most)).where("d >= 0")
+    pairs = left.repartition(n, "key").join(right.repartition(n, "key"), "key").where(F.abs(F.length("word") - F.length("term")) <= most).select("word", "term").distinct()
+    met = pairs.withColumn("d", F.levenshtein("word", "term", 2 * most)).where("d >= 0").withColumns({"letters": letters("word"), "own": letters("term")})
     # A swap is two plain edits and keeps the letters, any other edit changes two of them at most: with an even number of
     # plain edits all can be swaps, with an odd one all but one. Only such pairs can be nearer than plain edits say, and
     # only for those is the exact distance computed.
     others = F.when(F.col("d") > most, 2 * most - F.col("d")).otherwise(F.greatest(F.col("d") - 2, F.lit(0)))
     swapped = (F.col("d") > 1) & (F.levenshtein("letters", "own") <= 2 * others)
-    met = met.withColumn("swapped", swapped).where((F.col("d") <= most) | F.col("swapped")).select("word", "term", "count", "d", "swapped").distinct()
-    near = met.withColumn("distance", _distance(most)("word", "term", "d", "swapped")).where(F.col("distance") <= most)
+    met = met.withColumn("swapped", swapped).where((F.col("d") <= most) | F.col("swapped")).select("word", "term", "d", "swapped")
+    near = met.withColumn("distance", _distance(most)("word", "term", "d", "swapped")).where(F.col("distance") <= most).join(dictionary, "term")
     best = near.groupBy("word").agg(F.min(F.struct("distance", (-F.col("count")).alias("c"), "term")).alias("b"))
-    return best.select("word", "b.term", "b.distance")
+    return best.select("word", "b.term", "b.distance").unionByName(exact)
 
 
 def corrected(lines: DataFrame, dictionary: DataFrame, whitelist: list[str] | None = None, *keys: str) -> DataFrame:

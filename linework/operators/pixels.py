@@ -6,7 +6,7 @@ Binary pages have 0 for ink and 255 for background. Borders of filters mirror th
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -213,21 +213,28 @@ def binary_score(binary: np.ndarray) -> float:
     """How fit a binary page is to be read: right amount of ink, few specks, few blobs, enough parts."""
     ink = binary == INK
     share = float(ink.mean())
-    if share <= 0.002 or share >= 0.65:
-        return -1000.0
+    if not C.score_least_ink < share < C.score_most_ink:
+        return C.score_unfit
     areas = components(ink)[1][:, 4]
     areas = areas if len(areas) else np.array([1.0])
-    return -12.0 * abs(share - 0.085) - 1.8 * float((areas <= 2).mean()) - 4.0 * float((areas > binary.size * 0.01).mean()) - (2.0 if len(areas) < 8 else 0.0)
+    specks, blobs = float((areas <= C.score_speck).mean()), float((areas > binary.size * C.score_blob).mean())
+    ink_weight, speck_weight, blob_weight, few_weight = C.score_weights
+    return -ink_weight * abs(share - C.score_ink) - speck_weight * specks - blob_weight * blobs - (few_weight if len(areas) < C.score_parts else 0.0)
 
 
 #: Fixed order: the first of equal scores is taken.
 METHODS: dict[str, Callable[[np.ndarray], np.ndarray]] = {"otsu": otsu, "adaptive_gaussian": adaptive, "sauvola": sauvola}
 
 
+def best_of(scores: Sequence[float]) -> int:
+    """Place of the highest score, the first on ties."""
+    return max(range(len(scores)), key=scores.__getitem__)
+
+
 def binarised(gray: np.ndarray) -> tuple[np.ndarray, str, dict[str, float]]:
     pages = {name: f(gray) for name, f in METHODS.items()}
     scores = {name: binary_score(p) for name, p in pages.items()}
-    best = max(scores, key=lambda name: scores[name])
+    best = list(METHODS)[best_of(list(scores.values()))]
     return pages[best], best, scores
 
 
@@ -411,9 +418,26 @@ def prepared(page: np.ndarray, strokes: bool = False) -> tuple[np.ndarray, str,
     return binary, method, scores, [*stages, "close", "edges", "rulings"], angle
 
 
+def lightness(bgr: np.ndarray) -> np.ndarray:
+    """The lightness of a page's colours on the CIE scale, 0 to 255; a gray page's is that of its levels."""
+    levels = bgr.astype(np.float64).reshape(*bgr.shape[:2], -1) / 255.0
+    linear = np.where(levels <= 0.04045, levels / 12.92, ((levels + 0.055) / 1.055) ** 2.4)
+    y = linear[:, :, 0] if linear.shape[2] == 1 else linear @ np.array([0.072169, 0.715160, 0.212671])  # blue, green, red
+    light = np.where(y > 0.008856, 116.0 * np.cbrt(y) - 16.0, 903.3 * y)
+    return np.clip(np.rint(light * 2.55), 0, 255).astype(np.uint8)
+
+
+def equalised_light(page: np.ndarray) -> np.ndarray:
+    """A page in gray whose lightness is equalised by tiles, its colours else left: each pixel's channels follow its light."""
+    before = lightness(page).astype(np.float64)
+    after = equalised(before.astype(np.uint8)).astype(np.float64)
+    gray = grayscale(page).astype(np.float64)
+    return np.clip(np.rint(gray * (after + 1.0) / (before + 1.0)), 0, 255).astype(np.uint8)
+
+
 def prepared_without_grid(page: np.ndarray) -> tuple[np.ndarray, str, dict[str, float], list[str], float]:
-    """prepared() for grid paper: illumination evened out, the grid notched out before binarising, edges and rulings left."""
-    gray = denoised(without_grid(equalised(grayscale(resized(page)))))
+    """prepared() for grid paper: lightness evened out, the grid notched out before binarising, edges and rulings left."""
+    gray = denoised(without_grid(equalised_light(resized(page))))
     binary, method, scores = binarised(gray)
     binary, angle = deskewed(binary)
     return reconnected(binary), method, scores, ["resize", "grayscale", "equalise", "grid", "denoise", "binarise", "deskew", "close"], angle
@@ -504,6 +528,22 @@ def augmented(image: np.ndarray, mask: np.ndarray, flip: bool, brightness: float
     return np.clip(image * brightness + shade, 0, 255).astype(np.uint8), mask
 
 
+def copy_seed(index: int) -> int:
+    """Seed of a page's augmented copy, by its running number (datasets.augmented); the two numbers are fixed."""
+    return index * 137 + 7
+
+
+def jittered(image: np.ndarray, index: int) -> np.ndarray:
+    """A copy of a page with its own brightness, blur and noise, drawn from copy_seed(index): the same at every run."""
+    draw = np.random.default_rng(copy_seed(index))
+    out = image.astype(np.float64) * draw.uniform(0.8, 1.2) + draw.uniform(-15, 15)
+    if draw.random() < 0.5:
+        kernel = gaussian_kernel(3, 0.8)
+        flat = out.reshape(*out.shape[:2], -1)
+        out = np.stack([convolve(flat[:, :, k], kernel, kernel) for k in range(flat.shape[2])], 2).reshape(out.shape)
+    return np.clip(out + draw.normal(0, draw.uniform(0, 8), out.shape), 0, 255).astype(np.uint8)
+
+
 def word_boxes(binary: np.ndarray) -> list[tuple[int, int, int, int]]:
     """Boxes of words: ink joined across small gaps, parts of enough area and size, in reading order of their tops."""
     h, w = binary.shape
@@ -512,18 +552,60 @@ def word_boxes(binary: np.ndarray) -> list[tuple[int, int, int, int]]:
     return _large(np.array(found).reshape(-1, 7))
 
 
+def oriented_word_boxes(binary: np.ndarray) -> list[tuple[float, np.ndarray]]:
+    """Words as turned boxes: (angle in degrees, four corners) of the least rectangle about each, in order of their tops."""
+    h, w = binary.shape
+    labels, stats = components(dilate(binary == INK, 9, 3))
+    out = []
+    for k, s in enumerate(stats, 1):
+        if s[4] < h * w * D.word_area or s[2] < D.min_width or s[3] < D.min_height:
+            continue
+        ys, xs = np.nonzero(labels == k)
+        out.append((int(s[1]), int(s[0]), *least_rectangle(np.stack([xs, ys], 1))))
+    return [(angle, corners) for _, _, angle, corners in sorted(out, key=lambda x: x[:2])]
+
+
+def least_rectangle(points: np.ndarray) -> tuple[float, np.ndarray]:
+    """Angle within 45 degrees and corners of the rectangle of least area about points; one of its sides lies on their hull."""
+    hull = _hull(points).astype(np.float64)
+    edges = np.roll(hull, -1, 0) - hull
+    best = None
+    for t in {round(float(math.atan2(dy, dx)) % (math.pi / 2), 12) for dx, dy in edges}:
+        t = t - math.pi / 2 if t > math.pi / 4 else t
+        axes = np.array([[math.cos(t), math.sin(t)], [-math.sin(t), math.cos(t)]])
+        along = hull @ axes.T
+        low, high = along.min(0), along.max(0)
+        area = float(np.prod(high - low))
+        if best is None or (area, abs(t)) < best[:2]:
+            box = np.array([[low[0], low[1]], [high[0], low[1]], [high[0], high[1]], [low[0], high[1]]]) @ axes
+            best = area, abs(t), t, box
+    return (math.degrees(best[2]), best[3]) if best else (0.0, np.repeat(hull[:1], 4, 0))
+
+
 def _page(row, binary: bool = False) -> np.ndarray:
     a = np.frombuffer(row.pixels, np.uint8).reshape(row.height, row.width, -1)
     return a[:, :, 0] if binary or a.shape[2] == 1 else a
 
 
+#: Bytes of pixels that a batch of results holds, and its rows, at most.
+OUT_BYTES, OUT_ROWS = 16 << 20, 4096
+
+
 def _mapped(pages: DataFrame, schema: str, one: Callable[[object], Iterator[tuple]]) -> DataFrame:
     names = [x.strip().split()[0] for x in _fields(schema)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, size = [], 0
         for rows in batches:
             for row in rows.itertuples():
-                yield pd.DataFrame(list(one(row)), columns=names)
+                for made in one(row):
+                    out.append(made)
+                    size += sum(len(x) for x in made if isinstance(x, bytes))
+                    if size > OUT_BYTES or len(out) >= OUT_ROWS:
+                        yield pd.DataFrame(out, columns=names)
+                        out, size = [], 0
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
     return pages.mapInPandas(run, schema)
 

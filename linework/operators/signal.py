@@ -121,15 +121,23 @@ def difficulty(columns: DataFrame, *line: str) -> DataFrame:
 
 
 def verify_segmentation(profile: DataFrame, boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per page: peaks, detected boxes, median height and whether too few were found; and the boxes that are too tall."""
+    """Per page: peaks, detected boxes, median height, too tall boxes, whether too few were found, and a warning or null; and the boxes
+    that are too tall. A page without boxes has no peaks counted: its warning says that there are no lines.
+    """
     smoothed = smooth(profile).select("page_id", "y", F.col("smooth").alias("ink"))
     peaks = run_count(smoothed).withColumnRenamed("runs", "peak_estimate")
     heights = boxes.withColumn("height", F.col("y2") - F.col("y1"))
     stats = heights.groupBy("page_id").agg(F.count("*").alias("detected_count"), F.median("height").alias("median_height"))
     tall = heights.join(stats, "page_id").where(F.col("height") > F.col("median_height") * D.tall_ratio).select("page_id", "seq", "height", "median_height")
-    pages = peaks.join(stats, "page_id", "left").withColumn("detected_count", F.coalesce("detected_count", F.lit(0)))
-    pages = pages.withColumn("too_few", (F.col("detected_count") > 0) & (F.col("detected_count") < F.col("peak_estimate") * D.peak_tolerance))
-    return pages, tall
+    merged = tall.groupBy("page_id").agg(F.count("*").alias("merged_count"))
+    pages = peaks.join(stats, "page_id", "left").join(merged, "page_id", "left").fillna(0, ["detected_count", "merged_count"])
+    pages = pages.withColumn("peak_estimate", F.when(F.col("detected_count") > 0, F.col("peak_estimate")).otherwise(0))
+    pages = pages.withColumn("too_few", F.col("detected_count") < F.col("peak_estimate") * D.peak_tolerance)
+    few = F.when(F.col("too_few"), F.format_string("detected %d but projection suggests ~%d", "detected_count", "peak_estimate"))
+    many = F.when(F.col("merged_count") > 0, F.format_string("%d crop(s) may be merged lines", "merged_count"))
+    issues = F.concat_ws("; ", few, many)
+    warning = F.when(F.col("detected_count") == 0, "No lines detected.").when(issues != "", F.concat(F.lit("Line segmentation warning: "), issues))
+    return pages.withColumn("warning", warning), tall
 
 
 def otsu(histogram: DataFrame, *group: str) -> DataFrame:

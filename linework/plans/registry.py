@@ -41,6 +41,10 @@ def rounded(*names: str) -> list:
     return [F.round(n, 6).alias(n) for n in names]
 
 
+def _rounded_all(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in df.dtypes])
+
+
 W = T.WHITE
 
 
@@ -102,9 +106,13 @@ def conversation_search(spark, sf):
     return rows.where(T.keyword_hit(F.coalesce("text", F.lit("")), "DER")).select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("line_index"))
 
 
-@query(f"WITH {POST} SELECT doc_id, count(*) AS lines, round(avg(confidence), 6) AS mean_confidence FROM post GROUP BY doc_id")
+@query(
+    f"""WITH {POST}, s AS (SELECT doc_id, count(*) AS lines, round(avg(confidence), 6) AS mean_confidence FROM post GROUP BY doc_id)
+    SELECT doc_id, coalesce(lines, 0) AS lines, coalesce(mean_confidence, 0.0) AS mean_confidence, round(strlen(coalesce(text, '')) / 1000, 2) AS inference_sec FROM documents LEFT JOIN s USING (doc_id)"""
+)
 def batch_summary(spark, sf):
-    return sinks.batch_summary(K.postprocess(C.lines(spark, sf)), digits=6)
+    seconds = C.table(spark, sf, "documents").select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) / 1000).alias("seconds"))
+    return sinks.batch_summary(K.postprocess(C.lines(spark, sf)), seconds, digits=6)
 
 
 @query(
@@ -120,18 +128,24 @@ def page_layout(spark, sf):
     e AS (SELECT *, unnest(CASE WHEN len(ws) = 0 THEN [0] ELSE range(1, len(ws) + 1) END) AS k FROM w)
     SELECT doc_id, line_index + 1 AS line_id, CASE WHEN k = 0 THEN '' ELSE k::VARCHAR END AS word_id, CASE WHEN k = 0 THEN corrected_text ELSE ws[k] END AS word,
     round(confidence, 4) AS word_confidence, is_low_confidence AS word_low_conf, round(confidence, 4) AS line_confidence, is_low_confidence AS line_low_confidence,
-    needs_review AS hallucination_risk FROM e"""
+    needs_review AS hallucination_risk, corrected_text AS line_text FROM e"""
 )
 def confidence_csv(spark, sf):
     rows = K.postprocess(C.lines(spark, sf))
     words = F.transform(T.split_words("corrected_text"), lambda w: F.struct(w.alias("word"), F.col("confidence").alias("confidence"), F.col("is_low_confidence").alias("low")))
-    return sinks.confidence_rows(rows.withColumn("word_confidences", words)).drop("line_text")
+    return sinks.confidence_rows(rows.withColumn("word_confidences", words))
 
 
-@query()
+@query(
+    """SELECT page_id::VARCHAR AS page_id, '{"input_image":"' || page_id || '","method":"' || ['otsu', 'adaptive_gaussian', 'sauvola'][strlen(coalesce(html, '')) % 3 + 1] || '","stages":["resize"' ||
+    CASE WHEN strlen(coalesce(html, '')) % 2 = 1 THEN ',"deskew"' ELSE '' END || ',"binarise"],"timestamp":"' || strftime(TIMESTAMP '2024-01-01' + to_seconds(strlen(coalesce(html, ''))), '%Y-%m-%dT%H:%M:%S') || '"}' AS value FROM pages"""
+)
 def metadata_rows(spark, sf):
-    rows = C.table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("page_id"), F.lit("otsu").alias("method"), F.array(F.lit("resize"), F.lit("binarise")).alias("stages"))
-    return sinks.metadata_json(rows, F.lit("2024-01-01T00:00:00"))
+    size = F.octet_length(F.coalesce("html", F.lit("")))
+    stages = F.array_compact(F.array(F.lit("resize"), F.when(size % 2 == 1, "deskew"), F.lit("binarise")))
+    rows = C.table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("page_id"), F.element_at(F.array(*map(F.lit, pixels.METHODS)), (size % 3 + 1).cast("int")).alias("method"), stages.alias("stages"), size.alias("size"))
+    stamp = F.date_format(F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("size")), "yyyy-MM-dd'T'HH:mm:ss")
+    return sinks.metadata_json(rows, stamp)
 
 
 # Metrics
@@ -161,14 +175,33 @@ def sample_report(spark, sf):
     return rows.select("doc_id", "line_index", F.col("char_edits").alias("edits"), F.round(F.col("char_edits") / F.greatest(F.lit(1), F.col("chars")), 6).alias("cer"), F.round(T.quick_cer("prediction", "reference"), 6).alias("quick_cer"))
 
 
-@query()
+#: Edits of words: each line's distinct words become one character each, as far as there are that many; in lines of more, the
+#: corruption, which keeps words in their places, makes as many edits as places differ.
+WORD_EDITS = f"""{C.PAIRS}, ws AS (SELECT *, {words_of('prediction')} AS p, {words_of('reference')} AS r FROM pairs), kinds AS (SELECT *, list_distinct(list_concat(p, r)) AS kinds FROM ws),
+    we AS (SELECT doc_id, line_index, tag, needs_review, levenshtein(prediction, reference) AS d, length(reference) AS n, len(r) AS words,
+    CASE WHEN len(kinds) <= 90 THEN levenshtein(array_to_string(list_transform(p, lambda w: chr((32 + list_position(kinds, w))::INT)), ''), array_to_string(list_transform(r, lambda w: chr((32 + list_position(kinds, w))::INT)), ''))
+    ELSE len(list_filter(list_zip(p, r), lambda z: z[1] IS DISTINCT FROM z[2])) END AS wd FROM kinds)"""
+
+
+def _rates(kind: str, where: str) -> str:
+    part = f" FILTER (WHERE {where})" if where else ""
+    return f"""round(coalesce(sum(d){part} / sum(greatest(1, n)){part}, 0), 6) AS cer{kind}, round(coalesce(sum(wd){part} / sum(greatest(1, words)){part}, 0), 6) AS wer{kind}"""
+
+
+@query(
+    f"""WITH {WORD_EDITS} SELECT {_rates('', '')}, round(greatest(0, 1 - sum(wd) / sum(greatest(1, words))), 6) AS accuracy, count(*) AS num_samples, 0.0::DOUBLE AS inference_time_sec,
+    {_rates('_clean', "tag = 'clean'")}, count(*) FILTER (tag = 'clean') AS num_clean, {_rates('_hard', "tag = 'hard'")}, count(*) FILTER (tag = 'hard') AS num_hard, count(*) FILTER (needs_review) AS num_needs_review FROM we"""
+)
 def eval_report(spark, sf):
-    return M.evaluate(C.eval_pairs(spark, sf))
+    return _rounded_all(M.evaluate(C.eval_pairs(spark, sf)))
 
 
-@query()
+@query(
+    f"""WITH {WORD_EDITS} SELECT CASE WHEN grouping(tag) = 1 THEN 'all' ELSE tag END AS tag, round(sum(d) / sum(greatest(1, n)), 6) AS cer, count(*) AS num_pairs, sum(d)::BIGINT AS edits, sum(n)::BIGINT AS chars,
+    round(sum(wd) / sum(greatest(1, words)), 6) AS wer FROM we GROUP BY GROUPING SETS ((tag), ())"""
+)
 def wer_by_difficulty(spark, sf):
-    return M.rates_by_tag(C.eval_pairs(spark, sf), words=True)
+    return _rounded_all(M.rates_by_tag(C.eval_pairs(spark, sf), words=True))
 
 
 @query(
@@ -227,9 +260,12 @@ def topk_tokens(spark, sf):
     return rows.select("line_index", "tok_index", (F.col("pos") + 1).alias("rank"), "t.id", F.round("t.p", 6).alias("p"))
 
 
-@query()
+@query(
+    f"""WITH {C.STEPS}, g AS (SELECT line_index, tok_index, list_position(logits, list_max(logits)) - 1 AS id, 1 / list_sum(list_transform(logits, lambda x: exp(x - list_max(logits)))) AS p FROM steps),
+    e AS (SELECT line_index, min(tok_index) AS stop FROM g WHERE id = {T.EOS} GROUP BY line_index) SELECT g.line_index, tok_index, id, round(p, 6) AS p FROM g LEFT JOIN e ON g.line_index = e.line_index WHERE stop IS NULL OR tok_index < stop"""
+)
 def greedy_tokens(spark, sf):
-    return G.step_tokens(C.steps(spark, sf), "logits", "line_index")
+    return _rounded_all(G.step_tokens(C.steps(spark, sf), "logits", "line_index"))
 
 
 def _state_step(state, ids):
@@ -265,7 +301,14 @@ def iou_dice(spark, sf):
     return losses.overlap_scores(rows, "label").select("label", *rounded("iou", "dice_loss"))
 
 
-@query()
+@query(
+    f"""WITH {C.TOKENS}, cols AS (SELECT line_index, tok_index * 4 + k AS x, CASE WHEN k = 0 THEN p ELSE 0.0 END AS v FROM tokens, (SELECT unnest(range(4)) AS k)),
+    sm AS (SELECT line_index, x, sum(v) OVER (PARTITION BY line_index ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS s FROM cols), lit AS (SELECT line_index, x, s > max(s) OVER (PARTITION BY line_index) * 0.05 AS is_on FROM sm),
+    runs AS (SELECT line_index, count(*) FILTER (is_on AND NOT before) AS runs FROM (SELECT *, lag(is_on, 1, false) OVER (PARTITION BY line_index ORDER BY x) AS before FROM lit) GROUP BY line_index),
+    said AS (SELECT line_index, avg(p) AS mean, string_agg(tok, ' ' ORDER BY tok_index) AS t FROM tokens GROUP BY line_index),
+    n AS (SELECT line_index, mean, t, len(list_filter({words_of('t')}, lambda w: w[1] <> '[')) AS n FROM said)
+    SELECT line_index, runs::INT AS ink_words, CASE WHEN trim(t) = '' OR mean >= {R.risk_confidence} OR runs = 0 THEN false ELSE greatest(1, n) / greatest({R.risk_min_words}, runs) > {R.risk_ratio} END AS risk FROM n JOIN runs USING (line_index)"""
+)
 def hallucination_flags(spark, sf):
     tokens = C.tokens(spark, sf).groupBy("line_index").agg(F.array_sort(F.collect_list(F.struct("tok_index", "tok", "p"))).alias("ts"))
     shown = F.array_join(F.transform("ts", lambda t: t["tok"]), " ")
@@ -315,14 +358,18 @@ def seam_cuts(spark, sf):
     return P.refined_cuts(rows, P.valley_cuts(rows))
 
 
-@query(
-    f"""WITH {SEAMS}, b AS (SELECT p.page_id, p.y, p.ink, count(s.cut) OVER (PARTITION BY p.page_id ORDER BY p.y) AS band FROM profile p LEFT JOIN seams s ON s.page_id = p.page_id AND s.cut = p.y)
-    SELECT page_id, 0 AS x1, min(y)::INT AS y1, {C.PAGE_WIDTH} AS x2, (max(y) + 1)::INT AS y2 FROM b GROUP BY page_id, band HAVING max(y) + 1 - min(y) >= {D.min_height} AND sum(ink) >= 5"""
-)
+BANDS = f"""{SEAMS}, banded AS (SELECT p.page_id, p.y, p.ink, count(s.cut) OVER (PARTITION BY p.page_id ORDER BY p.y) AS band FROM profile p LEFT JOIN seams s ON s.page_id = p.page_id AND s.cut = p.y),
+    bands AS (SELECT page_id, 0 AS x1, min(y)::INT AS y1, {C.PAGE_WIDTH} AS x2, (max(y) + 1)::INT AS y2 FROM banded GROUP BY page_id, band HAVING max(y) + 1 - min(y) >= {D.min_height} AND sum(ink) >= 5)"""
+
+
+def _sizes(rows):
+    return rows.select("page_id").distinct().withColumn("width", F.lit(C.PAGE_WIDTH)).withColumn("height", F.lit(C.SLOTS))
+
+
+@query(f"WITH {BANDS} SELECT page_id, x1, y1, x2, y2 FROM bands")
 def profile_boxes(spark, sf):
     rows = C.profile(spark, sf)
-    sizes = rows.select("page_id").distinct().withColumn("width", F.lit(C.PAGE_WIDTH)).withColumn("height", F.lit(C.SLOTS))
-    return P.profile_boxes(rows, sizes)
+    return P.profile_boxes(rows, _sizes(rows))
 
 
 @query(
@@ -374,14 +421,17 @@ def height_outliers(spark, sf):
 
 
 @query(
-    f"""WITH {SMOOTH}, peaks AS (SELECT *, max(smooth) OVER (PARTITION BY page_id) AS peak FROM smoothed), o AS (SELECT *, peak > 0 AND smooth > peak * {D.peak_share} AS is_on FROM peaks),
-    r AS (SELECT page_id, count(*) FILTER (is_on AND NOT before) AS peak_estimate FROM (SELECT *, lag(is_on, 1, false) OVER (PARTITION BY page_id ORDER BY y) AS before FROM o) GROUP BY page_id)
-    SELECT page_id, peak_estimate, 0::BIGINT AS detected_count, false AS too_few FROM r"""
+    f"""WITH {BANDS}, o AS (SELECT *, peak > 0 AND smooth > peak * {D.peak_share} AS is_on FROM peaks),
+    r AS (SELECT page_id, count(*) FILTER (is_on AND NOT before) AS rises FROM (SELECT *, lag(is_on, 1, false) OVER (PARTITION BY page_id ORDER BY y) AS before FROM o) GROUP BY page_id),
+    st2 AS (SELECT page_id, count(*) AS n, median(y2 - y1)::DOUBLE AS med FROM bands GROUP BY page_id), tall AS (SELECT b.page_id, count(*) AS tall FROM bands b JOIN st2 USING (page_id) WHERE y2 - y1 > med * {D.tall_ratio} GROUP BY b.page_id),
+    f AS (SELECT r.page_id, CASE WHEN n > 0 THEN rises ELSE 0 END AS peak_estimate, coalesce(n, 0) AS detected_count, med AS median_height, coalesce(tall, 0) AS merged_count FROM r LEFT JOIN st2 USING (page_id) LEFT JOIN tall USING (page_id)),
+    g AS (SELECT *, detected_count < peak_estimate * {D.peak_tolerance} AS too_few FROM f)
+    SELECT *, CASE WHEN detected_count = 0 THEN 'No lines detected.' WHEN too_few OR merged_count > 0 THEN 'Line segmentation warning: ' ||
+    concat_ws('; ', CASE WHEN too_few THEN 'detected ' || detected_count || ' but projection suggests ~' || peak_estimate END, CASE WHEN merged_count > 0 THEN merged_count || ' crop(s) may be merged lines' END) END AS warning FROM g"""
 )
 def segmentation_check(spark, sf):
     rows = C.profile(spark, sf)
-    none = rows.where("false").select("page_id", F.lit(0).alias("seq"), *[F.lit(0).alias(c) for c in ("x1", "y1", "x2", "y2")])
-    return P.verify_segmentation(rows, none)[0].select("page_id", "peak_estimate", "detected_count", "too_few")
+    return P.verify_segmentation(rows, P.profile_boxes(rows, _sizes(rows)).withColumn("seq", F.col("y1")))[0]
 
 
 # Boxes
@@ -454,17 +504,39 @@ def box_order(spark, sf):
     return B.in_order(C.boxes(spark, sf)).select("page_id", "seq", "rank")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {C.BOXES}, o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y1, seq, x1, x2, y2) AS k FROM boxes),
+    f AS (SELECT page_id, k, 0 AS m, x1, y1, x2, y2 FROM o WHERE k = 1 UNION ALL
+      SELECT page_id, k, CASE WHEN meet THEN m ELSE m + 1 END, CASE WHEN meet THEN least(a1, x1) ELSE x1 END, CASE WHEN meet THEN least(b1, y1) ELSE y1 END, CASE WHEN meet THEN greatest(a2, x2) ELSE x2 END, CASE WHEN meet THEN greatest(b2, y2) ELSE y2 END
+      FROM (SELECT o.*, f.m, f.x1 AS a1, f.y1 AS b1, f.x2 AS a2, f.y2 AS b2, least(o.y2 - o.y1, f.y2 - f.y1) > 0 AND (least(o.y2, f.y2) - greatest(o.y1, f.y1)) / least(o.y2 - o.y1, f.y2 - f.y1) > {D.merge_overlap} AS meet
+            FROM f JOIN o ON o.page_id = f.page_id AND o.k = f.k + 1))
+    SELECT page_id, m AS seq, x1, y1, x2, y2 FROM f QUALIFY row_number() OVER (PARTITION BY page_id, m ORDER BY k DESC) = 1"""
+)
 def merge_boxes(spark, sf):
     return B.merged(C.boxes(spark, sf))
 
 
-@query()
+def _grouped(ratio: float) -> str:
+    """SQL of the line of each word: a fold over a page's words with the lines' ranges so far as a list."""
+    return f"""{C.BOXES}, med AS (SELECT page_id, greatest(1.0, list_sort(list(y2 - y1))[(count(*) // 2) + 1])::DOUBLE * {ratio} AS reach FROM boxes GROUP BY page_id),
+    o AS (SELECT b.*, reach, (y1 + y2) / 2 AS mid, row_number() OVER (PARTITION BY page_id ORDER BY (y1 + y2) / 2, seq, x1, y1, x2, y2) AS k FROM boxes b JOIN med USING (page_id)),
+    f AS (SELECT page_id, k, [{{'a': y1, 'b': y2}}] AS g, 1 AS line FROM o WHERE k = 1 UNION ALL
+      SELECT page_id, k, CASE WHEN place IS NULL OR place = 0 THEN list_append(g, {{'a': y1, 'b': y2}}) ELSE list_transform(g, lambda r, i: CASE WHEN i = place THEN {{'a': least(r.a, y1), 'b': greatest(r.b, y2)}} ELSE r END) END,
+             CASE WHEN place IS NULL OR place = 0 THEN len(g) + 1 ELSE place END
+      FROM (SELECT o.*, f.g, list_position(list_transform(f.g, lambda r: abs(o.mid - (r.a + r.b) / 2) < o.reach), true) AS place FROM f JOIN o ON o.page_id = f.page_id AND o.k = f.k + 1)),
+    w AS (SELECT o.*, line, min(o.y1) OVER (PARTITION BY o.page_id, line) AS top FROM o JOIN f ON o.page_id = f.page_id AND o.k = f.k),
+    placed AS (SELECT page_id, dense_rank() OVER (PARTITION BY page_id ORDER BY top, line) - 1 AS line_index, row_number() OVER (PARTITION BY page_id, line ORDER BY x1, k) - 1 AS word_order, seq AS idx, x1, y1, x2, y2 FROM w)"""
+
+
+@query(f"WITH RECURSIVE {_grouped(D.strip_group_ratio)} SELECT * FROM placed")
 def line_groups(spark, sf):
     return B.grouped_lines(C.boxes(spark, sf).withColumnRenamed("seq", "idx"), D.strip_group_ratio)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_grouped(D.group_ratio)} SELECT *, coalesce(sum(x2 - x1 + {D.strip_gap}) OVER (PARTITION BY page_id, line_index ORDER BY word_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS strip_x,
+    ((max(y2 - y1) OVER (PARTITION BY page_id, line_index) - (y2 - y1)) // 2)::INT AS strip_y, max(y2 - y1) OVER (PARTITION BY page_id, line_index) AS strip_height FROM placed"""
+)
 def strip_layout(spark, sf):
     return B.strip_offsets(B.grouped_lines(C.boxes(spark, sf).withColumnRenamed("seq", "idx")))
 
@@ -508,7 +580,10 @@ def combined_sets(spark, sf):
     return S.combined(first, second)
 
 
-@query()
+@query(
+    f"""WITH h AS (SELECT doc_id, ('0x' || substr(md5('{CONFIG.training.seed}:' || doc_id), 1, 15))::BIGINT AS h FROM documents)
+    SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY h, doc_id) <= greatest(1, floor(count(*) OVER () * 0.15)) THEN 'val' ELSE 'train' END AS split FROM h"""
+)
 def exact_split(spark, sf):
     return S.exact_split(C.table(spark, sf, "documents").select("doc_id"), "doc_id", 0.15)
 
@@ -536,10 +611,15 @@ def padded_batches(spark, sf):
     r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) AS k FROM s) SELECT doc_id, name AS method FROM r WHERE k = 1"""
 )
 def argmax_tie(spark, sf):
-    methods = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(i).alias("ord")) for i, name in enumerate(pixels.METHODS)])
-    rows = C.table(spark, sf, "documents").select("doc_id", F.explode(methods).alias("m"))
-    score = -((F.col("doc_id") * (F.col("m.ord") + 3)) % 4).cast("double")
-    return rows.groupBy("doc_id").agg(F.max(F.struct(score.alias("s"), (-F.col("m.ord")).alias("o"), F.col("m.name").alias("name"))).alias("b")).select("doc_id", F.col("b.name").alias("method"))
+    scores = F.array(*[-((F.col("doc_id") * (i + 3)) % 4).cast("double") for i in range(len(pixels.METHODS))])
+    rows = C.table(spark, sf, "documents").select("doc_id", scores.alias("scores"))
+    names = list(pixels.METHODS)
+
+    def run(batches):
+        for batch in batches:
+            yield batch[["doc_id"]].assign(method=[names[pixels.best_of(list(x))] for x in batch["scores"]])
+
+    return rows.mapInPandas(run, "doc_id long, method string")
 
 
 @query(
@@ -586,3 +666,6 @@ def page_components(spark, sf):
         yield row.page_id, len(stats), int(stats[:, 4].sum()), int(stats[:, 4].max()) if len(stats) else 0
 
     return pixels._mapped(C.raster_pages(spark, sf), "page_id string, components int, ink long, largest long", one)
+
+
+from linework.plans import parts  # noqa: E402, F401  registers its queries

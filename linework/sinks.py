@@ -1,8 +1,10 @@
 """What results are written as: text, confidence tables, page layouts, reports, metadata."""
 
-
 import logging
+import os
 import sys
+import tempfile
+import time
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,9 +20,42 @@ def full_texts(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
     return lines.groupBy(doc).agg(text.alias("value"))
 
 
-def save_text(lines: DataFrame, path: str, doc: str = "doc_id") -> None:
-    """A text file per document, under a folder for each. The writer ends the file with a line break; full_texts() has none."""
-    full_texts(lines, doc).select("value", doc).write.mode("overwrite").partitionBy(doc).text(path)
+def save_text(lines: DataFrame, path: str, doc: str = "doc_id", folders: bool = False) -> None:
+    """Each document's text as a JSON row (doc, value) of files of bounded size; or, by folders, a text file per document in a folder of
+    its own, for few documents: that writer ends the file with a line break; full_texts() has none."""
+    texts = full_texts(lines, doc)
+    if folders:
+        texts.select("value", doc).write.mode("overwrite").partitionBy(doc).text(path)
+    else:
+        texts.select(doc, "value").write.mode("overwrite").option("maxRecordsPerFile", 100_000).json(path)
+
+
+def save_file(content: bytes, path: str) -> str:
+    """Writes a file whole: under another name first, then moved. Where the path can't be written, one with the time in its name is."""
+    folder, name = os.path.split(os.path.abspath(path))
+    os.makedirs(folder, exist_ok=True)
+    with tempfile.NamedTemporaryFile(dir=folder, delete=False) as f:
+        f.write(content)
+    try:
+        os.replace(f.name, path)
+        return path
+    except PermissionError:
+        stem, ext = os.path.splitext(name)
+        other = os.path.join(folder, f"{stem}_{time.strftime('%Y%m%d_%H%M%S')}{ext}")
+        os.replace(f.name, other)
+        return other
+
+
+def save_stages(stages: dict[str, DataFrame], folder: str | None) -> None:
+    """Each stage's table under its name in a folder, for looking at what a run did; nothing without a folder."""
+    for name, rows in stages.items() if folder else ():
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def best_checkpoint(log: DataFrame, metric: str, *run: str) -> DataFrame:
+    """The row of each run's epoch log with the lowest metric, the first on ties: whose checkpoint is the one to keep."""
+    rank = F.row_number().over(Window.partitionBy(*run).orderBy(F.col(metric).asc_nulls_last(), "epoch"))
+    return log.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
 def confidence_rows(lines: DataFrame, doc: str = "doc_id") -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linework.functions.text import strip
-from linework.operators.datasets import stem, suffix
+from linework.config import CONFIG
+from linework.functions.text import PAD, encode_characters, strip
+from linework.operators.datasets import stem, suffix, training_labels
 
 #: Fixed: file suffixes of page images.
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "tiff", "bmp")
@@ -32,12 +33,15 @@ def ground_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def box_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """(page_id, seq, x1, y1, x2, y2) of label files with a box of four numbers a line; other lines are skipped."""
+    """(page_id, seq, x1, y1, x2, y2) of label files with a box of four numbers a line; other lines are skipped.
+
+    Numbers stay as they are written: boxes.scaled() scales them before it cuts them to whole ones.
+    """
     rows = spark.read.text(folder, wholetext=True).select(stem(F.input_file_name()).alias("page_id"), F.posexplode(F.split("value", "\n")).alias("seq", "line"))
     parts = F.split(strip("line"), ",")
     numbers = [F.get(parts, i).try_cast("double") for i in range(4)]
     rows = rows.where(F.size(parts) == 4).select("page_id", "seq", *[n.alias(c) for n, c in zip(numbers, ("x1", "y1", "x2", "y2"), strict=True)])
-    return rows.dropna().select(F.url_decode("page_id").alias("page_id"), "seq", *[F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    return rows.dropna().select(F.url_decode("page_id").alias("page_id"), "seq", "x1", "y1", "x2", "y2")
 
 
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
@@ -54,3 +58,10 @@ def word_frequencies(spark: SparkSession, path: str) -> DataFrame:
 def lines_dataset(spark: SparkSession, path: str, source: str) -> DataFrame:
     """(source, image, text) of an exported line set in Parquet."""
     return spark.read.parquet(path).select(F.lit(source).alias("source"), "image", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def encoded_lines(lines: DataFrame, vocabulary: Column, most: int = CONFIG.training.max_text) -> DataFrame:
+    """lines with the ids of their text, cut to most and padded to it, and the labels that losses read, padding ignored."""
+    ids = F.slice(encode_characters("text", vocabulary), 1, most)
+    full = F.concat(ids, F.array_repeat(F.lit(PAD), F.lit(most) - F.size(ids)))
+    return lines.withColumn("ids", full).withColumn("labels", training_labels(F.col("ids")))
