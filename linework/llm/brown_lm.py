@@ -551,7 +551,8 @@ def class_bigram_scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataF
     """Scores of all documents by a model of those whose crc32(doc_id as text) mod folds is not held.
 
     Null and empty texts are an end alone. With no training text every count is 0 and classes are even. Extra columns are
-    ignored, rows that repeat a doc_id are scored each, and an empty table gives no rows.
+    ignored; rows that repeat a doc_id are scored each, and those of null doc_id are in the training part; words of any
+    length count whole, and words that share a key are keyed anew; ties of classes take the lower one; an empty table gives no rows.
     """
     rows = documents(docs).withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == held, F.lit(False)))
     lexicon, _, others = clustered(rows.where(~F.col("held_out")).select("doc_id", "text"))

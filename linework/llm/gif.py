@@ -29,8 +29,14 @@ TABLE = 4096
 HISTOGRAM_BINS = 16
 
 
+#: Pixels of a screen that decode() composes, at most: a header of a few bytes may ask for four thousand million.
+MOST_PIXELS = 1 << 26
+#: Frames that a batch of results holds.
+BATCH_FRAMES = 1024
+
+
 class GifError(ValueError):
-    """Not a GIF, or cut off."""
+    """Not a GIF, cut off, or of a screen beyond MOST_PIXELS."""
 
 
 def _widths(n: int, size: int) -> np.ndarray:
@@ -98,6 +104,12 @@ def lzw_encode(samples: bytes, size: int = 8) -> bytes:
 
 def lzw_decode(stream: bytes, size: int, expected: int) -> np.ndarray:
     """The first `expected` samples of a code stream; short streams leave zeros, as viewers show them."""
+    samples = lzw_samples(stream, size, expected)
+    return np.concatenate([samples, np.zeros(expected - len(samples), np.uint8)]) if len(samples) < expected else samples
+
+
+def lzw_samples(stream: bytes, size: int, expected: int) -> np.ndarray:
+    """The samples that a code stream has, of `expected` at most."""
     clear, end = 1 << size, (1 << size) + 1
     raw = np.concatenate([np.frombuffer(stream, np.uint8), np.zeros(8, np.uint8)]).astype(np.uint32)
     total_bits = 8 * len(stream)
@@ -138,8 +150,7 @@ def lzw_decode(stream: bytes, size: int, expected: int) -> np.ndarray:
             piece = _expanded(codes, size)[: expected - made]
             out.append(piece)
             made += len(piece)
-    samples = np.concatenate(out) if out else np.zeros(0, np.uint8)
-    return np.concatenate([samples, np.zeros(expected - len(samples), np.uint8)]) if len(samples) < expected else samples
+    return np.concatenate(out) if out else np.zeros(0, np.uint8)
 
 
 def _codes(raw: np.ndarray, bits: np.ndarray, widths: np.ndarray) -> np.ndarray:
@@ -225,18 +236,29 @@ class Frame:
 
 def _sub_blocks(data: bytes, at: int) -> tuple[bytes, int]:
     parts = []
-    while at < len(data) and data[at]:
+    while _within(data, at, 1)[at]:
+        _within(data, at, 1 + data[at])
         parts.append(data[at + 1 : at + 1 + data[at]])
         at += 1 + data[at]
     return b"".join(parts), at + 1
 
 
+def _within(data: bytes, at: int, n: int) -> bytes:
+    """data, if n bytes from at on are there."""
+    if at + n > len(data):
+        raise GifError("cut off")
+    return data
+
+
 def _row_order(height: int) -> np.ndarray:
     return np.concatenate([np.arange(a, height, b) for a, b in ((0, 8), (4, 8), (2, 4), (1, 2))])
 
 
 def decode(data: bytes, screens: bool = True) -> Iterator[Frame]:
-    """Frames in order. screens: also compose what is shown, by disposal and transparency."""
+    """Frames in order. screens: also compose what is shown, by disposal and transparency.
+
+    A file that is cut off anywhere, or has a picture of fewer samples than its size, raises GifError when that place is met.
+    """
     if data[:3] != b"GIF" or len(data) < 13:
         raise GifError("no GIF header")
     width, height, flags, _, _ = struct.unpack("<HHBBB", data[6:13])
@@ -244,8 +266,10 @@ def decode(data: bytes, screens: bool = True) -> Iterator[Frame]:
     shared = np.zeros((0, 3), np.uint8)
     if flags & 0x80:
         n = 2 << (flags & 7)
-        shared = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
+        shared = np.frombuffer(_within(data, at, 3 * n), np.uint8, 3 * n, at).reshape(n, 3)
         at += 3 * n
+    if screens and height * width > MOST_PIXELS:
+        raise GifError(f"a screen of {width} by {height}")
     canvas = np.zeros((height, width, 4), np.uint8) if screens else None
     delay = disposal = 0
     transparent = -1
@@ -255,7 +279,7 @@ def decode(data: bytes, screens: bool = True) -> Iterator[Frame]:
         if kind == 0x3B:
             return
         if kind == 0x21:
-            label = data[at]
+            label = _within(data, at, 1)[at]
             body, at = _sub_blocks(data, at + 1)
             if label == 0xF9 and len(body) >= 4:
                 disposal, delay = body[0] >> 2 & 7, struct.unpack("<H", body[1:3])[0]
@@ -263,16 +287,21 @@ def decode(data: bytes, screens: bool = True) -> Iterator[Frame]:
             continue
         if kind != 0x2C:
             raise GifError(f"unknown block {kind:#x}")
-        left, top, w, h, local = struct.unpack("<HHHHB", data[at : at + 9])
+        left, top, w, h, local = struct.unpack("<HHHHB", _within(data, at, 9)[at : at + 9])
         at += 9
         palette = shared
         if local & 0x80:
             n = 2 << (local & 7)
-            palette = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
+            palette = np.frombuffer(_within(data, at, 3 * n), np.uint8, 3 * n, at).reshape(n, 3)
             at += 3 * n
-        size = data[at]
+        size = _within(data, at, 1)[at]
+        if not 1 <= size <= 8:
+            raise GifError(f"samples of {size} bits")
         stream, at = _sub_blocks(data, at + 1)
-        indices = lzw_decode(stream, size, w * h).reshape(h, w)
+        samples = lzw_samples(stream, size, w * h)  # grows with the stream, whatever the size says
+        if len(samples) < w * h:
+            raise GifError("a picture is cut off")
+        indices = samples.reshape(h, w)
         if local & 0x40:
             straight = np.empty_like(indices)
             straight[_row_order(h)] = indices
@@ -296,6 +325,7 @@ def decode(data: bytes, screens: bool = True) -> Iterator[Frame]:
         yield Frame(left, top, delay, disposal, transparent, indices, palette, screen)
         delay = disposal = 0
         transparent = -1
+    raise GifError("no end")
 
 
 def histogram(screen: np.ndarray, bins: int = HISTOGRAM_BINS) -> np.ndarray:
@@ -313,19 +343,31 @@ FRAMES = "doc_id long, frame int, at_ms long, delay_ms int, disposal int, width
 
 
 def frames(media: DataFrame) -> DataFrame:
-    """Timed frames of (doc_id, media binary) with histogram columns; null media give no rows, broken media raise."""
+    """Timed frames of (doc_id, media binary) with histogram columns; null media give no rows, media that are cut or broken raise GifError.
+
+    Rows that repeat a doc_id give their frames each; extra columns are ignored; an empty table gives no rows. What is held is
+    one file's bytes, one screen and the rows of a batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=schema)
+
         for batch in batches:
             for name, data in zip(batch.column("doc_id").to_pylist(), batch.column("media"), strict=True):
                 if not data.is_valid:
                     continue
                 at = 0
                 for k, f in enumerate(decode(data.as_py())):
-                    h = histogram(f.screen).tolist()
-                    row = [name, k, at, 10 * f.delay, f.disposal, f.screen.shape[1], f.screen.shape[0], *h]
+                    rows.append((name, k, at, 10 * f.delay, f.disposal, f.screen.shape[1], f.screen.shape[0], *histogram(f.screen).tolist()))
                     at += 10 * f.delay
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, row, strict=True))], schema)
+                    if len(rows) == BATCH_FRAMES:
+                        yield made()
+                        rows.clear()
+        if rows:
+            yield made()
 
     names = [x.split()[0] for x in FRAMES.split(", ")]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 3]
@@ -373,6 +415,7 @@ def text_media(docs: DataFrame) -> DataFrame:
     """Every whole text through a GIF and back: digests of payload and file, frame count, duration, histogram feature.
 
     The feature is the number of frames and the sums of the red, green and blue histograms of what each frame shows.
-    Null text counts as empty; rows that repeat a doc_id are stored each; an empty table gives no rows.
+    Null text counts as empty; rows that repeat a doc_id, null ones too, are stored each; a very long text is one file of many
+    frames, held whole; extra columns are ignored; an empty table gives no rows.
     """
     return documents(docs).mapInArrow(tidied(_digests), DIGEST)

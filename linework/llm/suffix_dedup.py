@@ -290,7 +290,8 @@ def remove_repeats(docs: DataFrame, sorted_stretches: int = SORTED_STRETCHES) ->
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
 
     Null text counts as empty; texts under LENGTH bytes keep everything; a row that repeats another's doc_id and text is
-    a copy like any other; extra columns are ignored; an empty table gives no rows.
+    a copy like any other, and rows that share a doc_id, or have none, only that are told apart by their texts. Texts over
+    PART_BYTES are hashed in parts that overlap. Extra columns are ignored; an empty table gives no rows.
     """
     spans = repeated_spans(docs, sorted_stretches).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     spans = stored(spans.withColumnRenamed("doc_id", "d").withColumnRenamed("text_key", "k"), "spans")

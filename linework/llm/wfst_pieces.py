@@ -341,7 +341,8 @@ DIGEST = "doc_id long, n_pieces long, n_byte_pieces long, ids_crc32 long, round_
 def piece_digests(docs: DataFrame, model: bytes) -> DataFrame:
     """Per document: pieces, those by byte fallback, crc32 of the ids as little-endian 32-bit numbers, and whether the decoded ids give the whole text back.
 
-    Null and empty texts have no pieces. Rows that repeat a doc_id give a row each; an empty table gives none.
+    Null and empty texts have no pieces. Rows that repeat a doc_id, null ones too, give a row each. A very long text is encoded
+    part by part, and a part without a boundary as a whole. Extra columns are ignored; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
