@@ -1,4 +1,5 @@
-"""Reads page files: python -m linework --folder PAGES --out RESULTS [--scorer module:Class] [--ground-truth FILE]."""
+"""Reads page files: python -m linework (--image FILE | --folder PAGES | --pdf FILE --renderer module:function) --out RESULTS
+[--scorer module:Class] [--ground-truth FILE] [--debug FOLDER]."""
 
 import argparse
 import importlib
@@ -11,9 +12,20 @@ from linework.operators import metrics
 from linework.plans import pages
 
 
+def named(place: str):
+    module, _, name = place.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
 def main() -> None:
     ask = argparse.ArgumentParser(description=__doc__)
-    ask.add_argument("--folder", required=True)
+    what = ask.add_mutually_exclusive_group(required=True)
+    what.add_argument("--image", help="one page file")
+    what.add_argument("--folder", help="a folder of page files")
+    what.add_argument("--pdf", help="a PDF file, or several by a pattern")
+    ask.add_argument("--renderer", help="module:function that gives the pages of a PDF file's bytes")
+    ask.add_argument("--debug", help="folder for each stage's table")
+    ask.add_argument("--normalize-strokes", action="store_true")
     ask.add_argument("--out", required=True)
     ask.add_argument("--scorer", default="linework.plans.pages:InkScorer", help="module:Class of the recogniser")
     ask.add_argument("--dictionary", help="file of words and counts to correct by")
@@ -22,10 +34,17 @@ def main() -> None:
     args = ask.parse_args()
     log = sinks.get_logger("linework")
     spark = SparkSession.builder.getOrCreate()
-    module, _, name = args.scorer.partition(":")
-    scorer = getattr(importlib.import_module(module), name)()
+    scorer = named(args.scorer)()
     dictionary = sources.word_frequencies(spark, args.dictionary) if args.dictionary else None
-    docs, lines = pages.run_folder(spark, args.folder, scorer, dictionary=dictionary, hierarchical=args.hierarchical)
+    options = {"dictionary": dictionary, "hierarchical": args.hierarchical, "strokes": args.normalize_strokes, "debug": args.debug}
+    if args.image:
+        docs, lines = pages.run_image(spark, args.image, scorer, **options)
+    elif args.folder:
+        docs, lines = pages.run_folder(spark, args.folder, scorer, **options)
+    else:
+        if not args.renderer:
+            ask.error("--pdf needs a --renderer")
+        docs, lines = pages.run_pdf(spark.read.format("binaryFile").load(args.pdf), named(args.renderer), scorer, **options)
     lines = lines.persist()
     sinks.save_text(lines, f"{args.out}/text", folders=True)
     sinks.save_confidence_csv(lines, f"{args.out}/confidence")

@@ -45,9 +45,15 @@ def clean_noise(text: Column | str) -> Column:
     return strip(F.regexp_replace(out, " {2,}", " "))
 
 
+#: Lines up to this length are compared cell by cell in the JVM; longer ones go to the bit-parallel kernel, whose result is the same.
+SHORT_LINE = 400
+
+
 def edit_distance(a: Column | str, b: Column | str) -> Column:
     """Edits of code points that turn a into b."""
-    return text_edits(col(a), col(b))
+    a, b = col(a), col(b)
+    short = (F.length(a) <= SHORT_LINE) & (F.length(b) <= SHORT_LINE)
+    return F.coalesce(F.when(short, F.levenshtein(a, b)), text_edits(F.when(~short, a), F.when(~short, b)))
 
 
 def quick_cer(a: Column | str, b: Column | str) -> Column:

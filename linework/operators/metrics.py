@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,21 +74,61 @@ def report(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return each, rates_by_tag(pairs, words=True).where(F.col("tag").isin("all", "clean", "hard"))
 
 
-def best_matches(predictions: DataFrame, truths: DataFrame) -> DataFrame:
+#: Distinct words of all truths, at most, that go to every worker; with more of them words are joined.
+INDEXED_WORDS = 2_000_000
+
+
+def best_matches(predictions: DataFrame, truths: DataFrame, indexed: int = INDEXED_WORDS) -> DataFrame:
     """Each prediction (line_id, text) with its best word overlap over all truths (truth_id, truth).
 
-    Only pairs that share a word can overlap, so words are joined rather than lines; other predictions have 0, or 1 where
-    some truth has no words. Ties take the smallest truth_id.
+    Only truths that share a word can overlap; other predictions have 0, or 1 where some truth has no words. Ties take the
+    smallest truth_id. Truths whose words are few go to every worker as lists by word, so that a word in all of them makes no
+    pairs to shuffle; with more, lines and truths are joined by their words.
     """
     words = truths.select("truth_id", F.explode(F.array_distinct(split_words(F.lower("truth")))).alias("word"))
+    said = predictions.withColumn("_words", F.array_distinct(split_words(F.lower("text"))))
+    some = words.limit(indexed + 1).toArrow()  # bounded whatever the truths are
+    if some.num_rows <= indexed:
+        best = _by_lists(said, some)
+    else:
+        best = _by_join(said.select("line_id", F.explode("_words").alias("word")), words, predictions)
+    blank = truths.where(F.size(split_words("truth")) == 0).agg(F.min("truth_id").alias("blank"))
+    score = F.when(F.col("blank").isNotNull(), 1.0).otherwise(F.coalesce("score", F.lit(0.0)))
+    truth = F.when(F.col("blank").isNotNull() & (F.coalesce("score", F.lit(0.0)) < 1.0), F.col("blank")).otherwise(F.col("_truth"))
+    return best.crossJoin(F.broadcast(blank)).select("line_id", truth.alias("truth_id"), score.alias("overlap"))
+
+
+def _by_join(said: DataFrame, words: DataFrame, predictions: DataFrame) -> DataFrame:
     sizes = words.groupBy("truth_id").agg(F.count("*").alias("size"))
-    said = predictions.select("line_id", F.explode(F.array_distinct(split_words(F.lower("text")))).alias("word"))
     met = said.join(words, "word").groupBy("line_id", "truth_id").agg(F.count("*").alias("shared")).join(sizes, "truth_id")
     best = met.groupBy("line_id").agg(F.max(F.struct((F.col("shared") / F.col("size")).alias("score"), (-F.col("truth_id")).alias("t"))).alias("b"))
-    blank = truths.where(F.size(split_words("truth")) == 0).agg(F.min("truth_id").alias("blank"))
-    score = F.when(F.col("blank").isNotNull(), 1.0).otherwise(F.coalesce("b.score", F.lit(0.0)))
-    truth = F.when(F.col("blank").isNotNull() & (F.coalesce("b.score", F.lit(0.0)) < 1.0), F.col("blank")).otherwise(-F.col("b.t"))
-    return predictions.join(best, "line_id", "left").crossJoin(F.broadcast(blank)).select("line_id", truth.alias("truth_id"), score.alias("overlap"))
+    return predictions.select("line_id").join(best, "line_id", "left").select("line_id", F.col("b.score").alias("score"), (-F.col("b.t")).alias("_truth"))
+
+
+def _by_lists(said: DataFrame, words: pa.Table) -> DataFrame:
+    ids, at = np.unique(words["truth_id"].to_numpy(), return_inverse=True)
+    sizes = np.maximum(np.bincount(at, minlength=len(ids)), 1)
+    kinds = words["word"].combine_chunks().dictionary_encode()
+    places = kinds.indices.to_numpy()
+    order = np.argsort(places, kind="stable")
+    lists = np.split(at[order], np.cumsum(np.bincount(places, minlength=len(kinds.dictionary)))[:-1]) if len(places) else []
+    index = dict(zip(kinds.dictionary.to_pylist(), lists, strict=True))
+    line = said.schema["line_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores, found = [], []
+            for own in batch.column("_words").to_pylist():
+                met = [index[w] for w in own or () if w in index]
+                if not met:
+                    scores.append(None), found.append(None)
+                    continue
+                shares = np.bincount(np.concatenate(met), minlength=len(ids)) / sizes
+                best = int(shares.argmax())
+                scores.append(float(shares[best])), found.append(int(ids[best]))
+            yield pa.RecordBatch.from_arrays([batch.column("line_id"), pa.array(scores, pa.float64()), pa.array(found, pa.int64())], ["line_id", "score", "_truth"])
+
+    return said.select("line_id", "_words").mapInArrow(run, f"line_id {line.simpleString()}, score double, _truth long")
 
 
 def word_accuracy(pairs: DataFrame) -> DataFrame:

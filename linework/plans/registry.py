@@ -108,10 +108,10 @@ def conversation_search(spark, sf):
 
 @query(
     f"""WITH {POST}, s AS (SELECT doc_id, count(*) AS lines, round(avg(confidence), 6) AS mean_confidence FROM post GROUP BY doc_id)
-    SELECT doc_id, coalesce(lines, 0) AS lines, coalesce(mean_confidence, 0.0) AS mean_confidence, round(strlen(coalesce(text, '')) / 1000, 2) AS inference_sec FROM documents LEFT JOIN s USING (doc_id)"""
+    SELECT doc_id, coalesce(lines, 0) AS lines, coalesce(mean_confidence, 0.0) AS mean_confidence, round(strlen(coalesce(text, '')) / 64, 2) AS inference_sec FROM documents LEFT JOIN s USING (doc_id)"""
 )
 def batch_summary(spark, sf):
-    seconds = C.table(spark, sf, "documents").select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) / 1000).alias("seconds"))
+    seconds = C.table(spark, sf, "documents").select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) / 64).alias("seconds"))
     return sinks.batch_summary(K.postprocess(C.lines(spark, sf)), seconds, digits=6)
 
 

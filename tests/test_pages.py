@@ -275,7 +275,7 @@ def test_text_sources(spark, tmp_path):
     (tmp_path / "labels").mkdir()
     (tmp_path / "labels/images (4)_aug000.txt").write_text("153,15,284,51\na,b\n\n124.9,67,311,109\n1,2,3\n")
     rows = sources.box_labels(spark, f"{tmp_path}/labels").orderBy("seq").collect()
-    assert [(r["page_id"], r["x1"], r["y2"]) for r in rows] == [("images (4)_aug000", 153, 51), ("images (4)_aug000", 124, 109)]
+    assert [(r["page_id"], r["x1"], r["y2"]) for r in rows] == [("images (4)_aug000", 153, 51), ("images (4)_aug000", 124.9, 109)]
     (tmp_path / "v.json").write_text('{"<pad>": 0, "a": 4}')
     assert {r["char"]: r["id"] for r in sources.vocabulary(spark, f"{tmp_path}/v.json").collect()} == {"<pad>": 0, "a": 4}
 

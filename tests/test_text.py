@@ -139,7 +139,7 @@ def test_confidence_table(spark, lines):
 
 def test_files_of_results(spark, lines, tmp_path):
     done = K.postprocess(lines).withColumn("word_confidences", F.array(F.struct(F.lit('a"b').alias("word"), F.lit(0.5).alias("confidence"), F.lit(True).alias("low"))))
-    sinks.save_text(done, f"{tmp_path}/text")
+    sinks.save_text(done, f"{tmp_path}/text", folders=True)
     assert "".join(p.read_text() for p in tmp_path.glob("text/doc_id=d/part-*.txt")) == "hello world\nthe quick brown fox\nlow conf line\n"
     sinks.save_confidence_csv(done, f"{tmp_path}/csv")
     back = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(f"{tmp_path}/csv")
