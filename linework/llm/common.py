@@ -41,10 +41,23 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Rows of an Arrow batch while a table is stored: texts make batches large, and both sides of the pipe hold some of them.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read again: cuts lineage, and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """df written once to the shared folder and read again: cuts lineage, and survives lost executors.
+
+    While it is written, Arrow batches have BATCH_ROWS rows at most; the session's own setting comes back after.
+    """
+    conf = df.sparkSession.conf
+    path, before = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}", conf.get(_BATCH)
+    conf.set(_BATCH, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_BATCH, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
