@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +32,11 @@ def page_sizes(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "width", "height")
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """rows, whose pixel work is done once however many plans read them: kept on executors' disks, and made anew where one is lost."""
+    return rows.persist(StorageLevel.DISK_ONLY)
+
+
 def region_pixels(binary: DataFrame, regions: DataFrame) -> DataFrame:
     """(page_id, seq, box, height, width, channels, pixels): the part of its page that each region shows; empty ones go."""
     lists = regions.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("seq", "x1", "y1", "x2", "y2"))).alias("boxes"))
@@ -58,17 +64,18 @@ def candidate_regions(pages: DataFrame, first: Scorer | None = None, second: Sco
     whole = sizes.select("page_id", F.lit(0).alias("seq"), F.lit(0).alias("x1"), F.lit(0).alias("y1"), F.col("width").alias("x2"), F.col("height").alias("y2"))
     found = whole
     if first is not None:
-        found = with_fallback(scored(pages, first).select(*box), lambda rest: whole.join(rest.select("page_id"), "page_id", "left_semi"), sizes, "page_id")
+        found = with_fallback(kept(scored(pages, first).select(*box)), lambda rest: whole.join(rest.select("page_id"), "page_id", "left_semi"), sizes, "page_id")
     if second is None:
         return found
-    inner = scored_regions(region_pixels(pages, found), second)
+    found = kept(found)
+    inner = kept(scored_regions(region_pixels(pages, found), second))
     return with_fallback(inner, lambda rest: found.join(rest.select("page_id"), "page_id", "left_semi"), sizes, "page_id")
 
 
 def bands(binary: DataFrame, regions: DataFrame) -> DataFrame:
     """(page_id, seq, box): the bands of each region's own ink profile, top to bottom; a region without any is one itself."""
     key = F.concat_ws("#", "page_id", F.col("seq").cast("string"))
-    parts = region_pixels(binary, regions).withColumn("region_id", key)
+    parts = kept(region_pixels(binary, regions)).withColumn("region_id", key)
     as_pages = parts.select(F.col("region_id").alias("page_id"), "height", "width", "pixels")
     local = P.profile_boxes(pixels.ink_profile(as_pages), page_sizes(as_pages))
     local = local.select(F.col("page_id").alias("region_id"), *[F.col(c).alias(f"l{c}") for c in ("x1", "y1", "x2", "y2")])
@@ -87,7 +94,7 @@ def detect_lines(binary: DataFrame, regions: DataFrame | None = None) -> DataFra
     whole = sizes.select("page_id", F.lit(0).alias("seq"), F.lit(0).alias("x1"), F.lit(0).alias("y1"), F.col("width").alias("x2"), F.col("height").alias("y2"))
     if regions is not None:
         whole = with_fallback(regions.select(*whole.columns), lambda rest: whole.join(rest.select("page_id"), "page_id", "left_semi"), sizes, "page_id")
-    grown = B.bleeding_components(bands(binary, whole), pixels.component_rows(binary), sizes)
+    grown = B.bleeding_components(kept(bands(binary, whole)), pixels.component_rows(binary), sizes)
     tight = pixels.tightened_rows(binary, grown)
     return B.padded(tight.join(sizes, "page_id")).select("page_id", "seq", "x1", "y1", "x2", "y2")
 
@@ -97,8 +104,8 @@ def detected(binary: DataFrame, pages: DataFrame | None = None, first: Scorer |
 
     pages are what the detectors look at, else the binary ones. stages: the regions and boxes that crops come of.
     """
-    regions = candidate_regions(binary if pages is None else pages, first, second)
-    boxes = detect_lines(binary, regions)
+    regions = kept(candidate_regions(binary if pages is None else pages, first, second))
+    boxes = kept(detect_lines(binary, regions if first or second else None))
     checks, _ = P.verify_segmentation(pixels.ink_profile(binary), boxes)
     stages = regions.withColumn("stage", F.lit("regions")).unionByName(boxes.withColumn("stage", F.lit("lines")))
     return line_crops(binary, boxes), checks, stages
@@ -196,10 +203,11 @@ def run(pages: DataFrame, scorer: Scorer, dictionary: DataFrame | None = None, h
 
     first and second are detectors of pages and of regions. With a debug folder each stage's table is written there.
     """
-    binary = pixels.preprocess(sources.valid_pages(pages), strokes)
+    binary = kept(pixels.preprocess(sources.valid_pages(pages), strokes))
     crops, checks, stages = detected(binary, None, first, second)
     if hierarchical:
         crops = with_fallback(word_strips(binary), lambda rest: crops.join(rest.select("page_id"), "page_id", "left_semi"), binary, "page_id")
+    crops = kept(crops)
     lines = document_lines(recognise(crops, scorer), dictionary)
     sinks.save_stages({"original": pages, "binary": binary, "boxes": stages, "segmentation": checks, "crops": crops, "lines": lines}, debug)
     return documents(pages, lines), lines
@@ -211,12 +219,12 @@ def run_full_page(pages: DataFrame, page_scorer: Scorer, scorer: Scorer, thresho
     page_scorer gives (page_id, seq, raw_text, confidence) of pages prepared the way for grid paper.
     """
     valid = sources.valid_pages(pages)
-    binary = pixels.preprocess(valid, grid=True)
-    whole = scored(binary, page_scorer).select(F.col("page_id").alias("doc_id"), F.col("seq").alias("line_index"), "raw_text", "confidence")
+    binary = kept(pixels.preprocess(valid, grid=True))
+    whole = kept(scored(binary, page_scorer).select(F.col("page_id").alias("doc_id"), F.col("seq").alias("line_index"), "raw_text", "confidence"))
     sure = whole.groupBy("doc_id").agg(F.avg("confidence").alias("_mean")).where(F.col("_mean") >= threshold).select("doc_id")
     read = whole.join(sure, "doc_id", "left_semi")
     rest = binary.join(sure, binary["page_id"] == sure["doc_id"], "left_anti")
-    by_line = recognise(detected(rest)[0], scorer).select("doc_id", "line_index", "raw_text", "confidence")
+    by_line = recognise(kept(detected(rest)[0]), scorer).select("doc_id", "line_index", "raw_text", "confidence")
     lines = document_lines(read.withColumn("route", F.lit("page")).unionByName(by_line.withColumn("route", F.lit("lines"))))
     return documents(pages, lines), lines
 
