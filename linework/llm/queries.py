@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linework.llm import bottomk, brown_lm, chat_format, gif, knn_quality, lsm_dedup, packing, pii_weak, suffix_dedup, wfst_pieces
+from linework.llm import bottomk, brown_lm, chat_format, gif, grammar, knn_quality, lsm_dedup, packing, pii_weak, suffix_dedup, wfst_pieces
 from linework.llm.common import read_table
 
 #: Where the public tokenizers' files are; None asks the installed package that ships them.
@@ -64,6 +64,10 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk.near_duplicates(read_table(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op13_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grammar.token_shards(read_table(spark, sf_dir, "documents"), tokenizer_path(SPACE_TOKENIZER))
+
+
 SQL = {
     "op2_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
