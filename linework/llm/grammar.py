@@ -32,7 +32,7 @@ SHARD_IDS = 1 << 20
 SHARE, LEAST = 30, 16
 MAGIC = b"RPR1"
 SHARDS = "part int, shard int, start long, n_docs int, n_tokens long, n_symbols long, n_rules int, data binary"
-_HEAD = struct.Struct("<4s4I2Q")
+_HEAD = "<4s4I2Q"
 _U = np.uint64
 
 
@@ -116,7 +116,7 @@ def pack(names: list[int | None], begin: np.ndarray, ids: np.ndarray, base: int)
     wide = 1 if base + len(rules) <= 1 << 24 else 2
     high = (seq >> np.uint32(16)).astype(f"<u{wide}")
     parts = [
-        _HEAD.pack(MAGIC, base, len(names), len(rules), wide, len(seq), len(ids)),
+        struct.pack(_HEAD, MAGIC, base, len(names), len(rules), wide, len(seq), len(ids)),
         np.array([x or 0 for x in names], "<i8"), np.array([x is not None for x in names], "<u1"),
         np.diff(at).astype("<u4"), np.diff(begin).astype("<u4"), rules.astype("<u4"), rule_lengths(rules, base).astype("<u4"),
         (seq & np.uint32(0xFFFF)).astype("<u2"), high,
@@ -132,8 +132,8 @@ class Shard:
         body = memoryview(data)[:-4]
         if data[:4] != MAGIC or zlib.crc32(body) != int.from_bytes(data[-4:], "little"):
             raise ValueError("not a shard of token ids, or a damaged one")
-        _, self.base, docs, rules, wide, symbols, self.n_tokens = _HEAD.unpack_from(body)
-        at = _HEAD.size
+        _, self.base, docs, rules, wide, symbols, self.n_tokens = struct.unpack_from(_HEAD, body)
+        at = struct.calcsize(_HEAD)
 
         def take(kind: str, n: int) -> np.ndarray:
             nonlocal at
