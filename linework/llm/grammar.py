@@ -28,31 +28,28 @@ from linework.llm.packing import WordEncoder
 END = 1
 #: Ids after which a shard closes; its last document is whole.
 SHARD_IDS = 1 << 20
-#: A round replaces pairs that occur at least 1 / SHARE as often as the most frequent one, and LEAST times; rounds end when none is left.
-SHARE, LEAST = 30, 16
+#: A round replaces the pairs that occur at least LEAST times; rounds end when one takes away no more than 1 / GAIN of the symbols.
+LEAST, GAIN = 16, 30
+#: Bits of the hash that pairs are counted and looked up by.
+BITS = 18
 MAGIC = b"RPR1"
 SHARDS = "part int, shard int, start long, n_docs int, n_tokens long, n_symbols long, n_rules int, data binary"
 _HEAD = "<4s4I2Q"
 _U = np.uint64
+_NONE = _U((1 << 64) - 1)
 
 
-def _mixed(keys: np.ndarray, bits: int) -> np.ndarray:
-    return ((keys * _U(0x9E3779B97F4A7C15)) >> _U(64 - bits)).astype(np.int64)
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return ((keys * _U(0x9E3779B97F4A7C15)) >> _U(64 - BITS)).view(np.int64)
 
 
-def _frequent(keys: np.ndarray) -> np.ndarray:
-    """The pairs to replace in this round, sorted; none when no pair is frequent.
-
-    Pairs are counted by hash first, and only those in buckets that are frequent are counted exactly.
-    """
-    bucket = _mixed(keys, 20)
-    size = np.bincount(bucket, minlength=1 << 20)
-    ordered = np.sort(keys[size[bucket] >= max(LEAST, int(size.max()) // SHARE)])
+def _frequent(keys: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """The pairs to replace in this round; none when no pair is frequent. Those in slots that are frequent are counted exactly."""
+    ordered = np.sort(keys[(np.bincount(slots, minlength=1 << BITS) >= LEAST)[slots]])
     if not len(ordered):
         return ordered
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    counts = np.diff(np.append(first, len(ordered)))
-    return ordered[first[counts >= max(LEAST, counts.max() // SHARE)]]
+    return ordered[first[np.diff(np.append(first, len(ordered))) >= LEAST]]
 
 
 def _alternate(hit: np.ndarray) -> np.ndarray:
@@ -67,18 +64,24 @@ def repair(ids: np.ndarray, begin: np.ndarray, base: int) -> tuple[np.ndarray, n
     seq, begin = ids.astype(np.uint32), begin.astype(np.int64)
     rules: list[np.ndarray] = []
     made = base
-    while len(seq) > 1:
-        inner = np.ones(len(seq) - 1, bool)
-        inner[begin[(begin > 0) & (begin < len(seq))] - 1] = False  # a document's last symbol pairs with nothing
-        keys = seq[:-1].astype(_U) << _U(32) | seq[1:]
-        if not inner.any() or not len(chosen := _frequent(keys[inner])):
+    taken = len(seq)
+    while len(seq) > 1 and taken * GAIN > len(seq):
+        last = begin[(begin > 0) & (begin < len(seq))] - 1  # a document's last symbol pairs with nothing
+        keys = seq[:-1].astype(_U)
+        keys <<= _U(32)
+        keys |= seq[1:]
+        keys[last] = _NONE
+        slots = _slots(keys)
+        chosen = _frequent(keys, slots)
+        chosen = chosen[: len(chosen) - int(len(chosen) > 0 and chosen[-1] == _NONE)]
+        if not len(chosen):
             break
-        slot = np.zeros(1 << 16, bool)  # most places are cleared by a small table before they are searched
-        slot[_mixed(chosen, 16)] = True
-        at = np.flatnonzero(slot[_mixed(keys, 16)] & inner)
-        rank = np.searchsorted(chosen, keys[at])
-        same = chosen[np.minimum(rank, len(chosen) - 1)] == keys[at]
-        hit, rank = at[same], rank[same]
+        table = np.full(1 << BITS, -1, np.int32)  # of chosen pairs in one slot the last is taken now, the others in a later round
+        table[_slots(chosen)] = np.arange(len(chosen))
+        rank = table[slots]
+        hit = np.flatnonzero(rank >= 0)
+        hit = hit[chosen[rank[hit]] == keys[hit]]
+        rank = rank[hit]
         some = _alternate(hit)
         hit, rank = hit[some], rank[some]
         used = np.bincount(rank, minlength=len(chosen))
@@ -89,11 +92,11 @@ def repair(ids: np.ndarray, begin: np.ndarray, base: int) -> tuple[np.ndarray, n
         pairs = chosen[keep]
         rules.append(np.stack([(pairs >> _U(32)).astype(np.uint32), pairs.astype(np.uint32)], 1))
         seq[hit] = (made + rank).astype(np.uint32)
-        made += len(pairs)
+        made, taken = made + len(pairs), len(hit)
         left = np.ones(len(seq), bool)
         left[hit + 1] = False
-        before = np.concatenate([[0], np.cumsum(left)])
-        seq, begin = seq[left], before[begin]
+        begin = begin - np.searchsorted(hit + 1, begin)  # how many symbols before each document went
+        seq = seq[left]
     return seq, begin, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
@@ -166,7 +169,9 @@ class Shard:
         flat, at = self._expansions
         n = self.lengths[symbols]
         until = np.cumsum(n)
-        return flat[np.repeat(at[symbols] - (until - n), n) + np.arange(int(until[-1]) if len(until) else 0)]
+        place = np.repeat(at[symbols] - (until - n), n)
+        place += np.arange(len(place))
+        return flat[place]
 
     def ids(self) -> np.ndarray:
         """All ids, document by document."""
