@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linework.llm import bottomk, brown_lm, chat_format, gif, grammar, knn_quality, lsm_dedup, packing, pii_weak, suffix_dedup, wfst_pieces
+from linework.llm import bottomk, brown_lm, chat_format, gif, grammar, knn_quality, lsm_dedup, packing, pii_weak, suffix_dedup, trie, wfst_pieces
 from linework.llm.common import read_table
 
 #: Where the public tokenizers' files are; None asks the installed package that ships them.
@@ -64,6 +64,10 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk.near_duplicates(read_table(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def op13_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar.token_shards(read_table(spark, sf_dir, "documents"), tokenizer_path(SPACE_TOKENIZER))
 
@@ -84,6 +88,25 @@ SQL = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                coalesce(sum(upto) FILTER (role = 'assistant'), 0)::BIGINT AS formatted_chars, count(*) FILTER (role = 'assistant') AS n_examples
         FROM u GROUP BY conv_id""",
+    "op12_prefix_trie": r"""
+        WITH t AS (SELECT conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d, length(coalesce(text, '')) AS n,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), d) AS k FROM conversations WHERE conv_id IS NOT NULL),
+        own AS (SELECT conv_id, list(d ORDER BY k) AS ds, list(n ORDER BY k) AS ns, list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+                    lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295) AS crc FROM t GROUP BY conv_id),
+        hs AS (SELECT *, xor(crc, 4294967295) % 6 AS h FROM own),
+        seqs AS (SELECT c.conv_id, list_concat(coalesce(b.ds[1:c.h], []), c.ds[c.h + 1:]) AS ds, list_concat(coalesce(b.ns[1:c.h], []), c.ns[c.h + 1:]) AS ns
+                 FROM hs c LEFT JOIN hs b ON b.conv_id = c.conv_id - c.conv_id % 100),
+        at AS (SELECT conv_id, len(ds) AS size, ds, ns, unnest(range(len(ds) + 1)) AS depth FROM seqs),
+        members AS (SELECT conv_id, depth, size = depth AS ends, array_to_string(ds[1:depth], ' ') AS node, array_to_string(ds[1:depth - 1], ' ') AS up, CASE WHEN depth = 0 THEN 0 ELSE ns[depth] END AS n FROM at),
+        nodes AS (SELECT node, depth, any_value(CASE WHEN depth > 0 THEN up END) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(n) AS saved,
+                         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM members GROUP BY node, depth),
+        kids AS (SELECT up AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY up),
+        known AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k ON n.node = k.node),
+        below AS (SELECT m.node AS top, k.node, any_value(k.saved) AS saved, any_value(k.n_children) AS kids FROM members m JOIN members x ON m.conv_id = x.conv_id AND x.depth >= m.depth
+                  JOIN known k ON k.node = x.node GROUP BY m.node, k.node),
+        sums AS (SELECT top AS node, count(*) FILTER (kids = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM below GROUP BY top)
+        SELECT k.conv_id, k.depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children, n_leaves, saved_tokens, k.ends_sha256
+        FROM known k JOIN sums s ON s.node = k.node LEFT JOIN known p ON p.node = k.up AND k.depth > 0""",
     "op10_minhash_dedup": r"""
         WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
         sets AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS items FROM w),
