@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linework.llm import bottomk, brown_lm, chat_format, gif, grammar, knn_quality, lsm_dedup, packing, pii_weak, suffix_dedup, trie, wfst_pieces
+from linework.llm import alignment, bottomk, brown_lm, chat_format, gif, grammar, knn_quality, lsm_dedup, packing, pii_weak, suffix_dedup, trie, wfst_pieces
 from linework.llm.common import read_table
 
 #: Where the public tokenizers' files are; None asks the installed package that ships them.
 TOKENIZERS: str | None = None
-SPACE_TOKENIZER, PIECE_MODEL = "word_bpe_49k.json", "piece_bpe_32k.model"
+SPACE_TOKENIZER, PIECE_MODEL, BYTE_TOKENIZER = "word_bpe_49k.json", "piece_bpe_32k.model", "byte_bpe_50k.json"
 
 
 def tokenizer_path(name: str) -> str:
@@ -64,6 +64,10 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk.near_duplicates(read_table(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned_texts(read_table(spark, sf_dir, "documents"), tokenizer_path(BYTE_TOKENIZER), tokenizer_path(PIECE_MODEL))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.conversation_trie(read_table(spark, sf_dir, "conversations"))
 
@@ -96,8 +100,8 @@ SQL = {
         hs AS (SELECT *, xor(crc, 4294967295) % 6 AS h FROM own),
         seqs AS (SELECT c.conv_id, list_concat(coalesce(b.ds[1:c.h], []), c.ds[c.h + 1:]) AS ds, list_concat(coalesce(b.ns[1:c.h], []), c.ns[c.h + 1:]) AS ns
                  FROM hs c LEFT JOIN hs b ON b.conv_id = c.conv_id - c.conv_id % 100),
-        at AS (SELECT conv_id, len(ds) AS size, ds, ns, unnest(range(len(ds) + 1)) AS depth FROM seqs),
-        members AS (SELECT conv_id, depth, size = depth AS ends, array_to_string(ds[1:depth], ' ') AS node, array_to_string(ds[1:depth - 1], ' ') AS up, CASE WHEN depth = 0 THEN 0 ELSE ns[depth] END AS n FROM at),
+        cut AS (SELECT conv_id, len(ds) AS size, ds, ns, unnest(range(len(ds) + 1)) AS depth FROM seqs),
+        members AS (SELECT conv_id, depth, size = depth AS ends, array_to_string(ds[1:depth], ' ') AS node, array_to_string(ds[1:depth - 1], ' ') AS up, CASE WHEN depth = 0 THEN 0 ELSE ns[depth] END AS n FROM cut),
         nodes AS (SELECT node, depth, any_value(CASE WHEN depth > 0 THEN up END) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(n) AS saved,
                          sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM members GROUP BY node, depth),
         kids AS (SELECT up AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY up),
