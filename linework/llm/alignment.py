@@ -6,7 +6,7 @@ A and B tokens is a link. swept() runs on any two event tables: it deals them ou
 streams. A corpus's own events are born document by document in the task that reads the text, already in order on each
 side, so aligned_texts() merges them there, a stretch of text at a time, and moves only what is counted.
 
-Counts are of documents for each linked id pair. Pairs of a count over one in HOT of all are broadcast (there are at most HOT
+Counts are of documents for each linked id pair. Pairs of over one in HOT of all are broadcast (there are at most HOT
 of them); the others are joined.
 """
 
@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -115,7 +114,6 @@ class Encoders:
         decimals = [b",%d" % i for i in range(1 << 16)]
         self.decimals = np.frombuffer(b"".join(decimals), np.uint8)
         self.decimal_at = np.concatenate([[0], np.cumsum([len(x) for x in decimals])])
-        self.hot: tuple = (None,)
         self.clear()
 
     def clear(self) -> None:
@@ -203,9 +201,9 @@ def groups_of(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.nd
 class Document:
     """What the sweep keeps of a document between stretches: sums, a digest and its distinct pairs."""
 
-    def __init__(self, with_text: bool):
+    def __init__(self) -> None:
         self.fits, self.n_a, self.n_b, self.n_groups, self.n_links = True, 0, 0, 0, 0
-        self.digest = hashlib.sha256() if with_text else None
+        self.digest = hashlib.sha256()
         self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
 
     def linked(self) -> tuple[np.ndarray, np.ndarray]:
@@ -252,19 +250,17 @@ def _sweep(docs: list[Document], encoders: Encoders, data: np.ndarray, cut: np.n
     keys = keys[first]
     bounds = np.searchsorted(keys, np.arange(n + 1) << 32)
     keys &= 0xFFFFFFFF
-    if docs[0].digest is not None:
-        total = np.concatenate([[0], np.cumsum(in_a + in_b)])
-        ids, signs = np.zeros(total[-1], np.int64), np.zeros(total[-1], np.uint8)
-        rank_a, rank_b = np.arange(len(a)) - (np.cumsum(in_a) - in_a)[group_a], np.arange(len(b)) - (np.cumsum(in_b) - in_b)[group_b]
-        at_a, at_b = total[group_a] + rank_a, total[group_b] + in_a[group_b] + rank_b
-        ids[at_a], ids[at_b] = a, b
-        signs[at_a[rank_a == 0]], signs[at_b[rank_b == 0]] = ord(";"), ord("|")
-        text, place = encoders.group_text(ids, signs)
-        text, place = memoryview(text), place[np.concatenate([[0], np.cumsum(sums[0] + sums[1])])].tolist()
+    total = np.concatenate([[0], np.cumsum(in_a + in_b)])
+    ids, signs = np.zeros(total[-1], np.int64), np.zeros(total[-1], np.uint8)
+    rank_a, rank_b = np.arange(len(a)) - (np.cumsum(in_a) - in_a)[group_a], np.arange(len(b)) - (np.cumsum(in_b) - in_b)[group_b]
+    at_a, at_b = total[group_a] + rank_a, total[group_b] + in_a[group_b] + rank_b
+    ids[at_a], ids[at_b] = a, b
+    signs[at_a[rank_a == 0]], signs[at_b[rank_b == 0]] = ord(";"), ord("|")
+    text, place = encoders.group_text(ids, signs)
+    text, place = memoryview(text), place[np.concatenate([[0], np.cumsum(sums[0] + sums[1])])].tolist()
     for k in np.flatnonzero(sums[0]).tolist():
         d = docs[k]
-        if d.digest is not None:
-            d.digest.update(text[place[k] + (d.n_groups == 0) : place[k + 1]])
+        d.digest.update(text[place[k] + (d.n_groups == 0) : place[k + 1]])
         d.n_a, d.n_b, d.n_groups, d.n_links = (x + int(s[k]) for x, s in zip((d.n_a, d.n_b, d.n_groups, d.n_links), sums, strict=True))
         d.pairs.append((keys[bounds[k] : bounds[k + 1]], many[bounds[k] : bounds[k + 1]]))
         if len(d.pairs) > 64:
@@ -300,16 +296,16 @@ def _stretches(texts: Iterator[bytes]) -> Iterator[tuple[list[int], bytes, list[
     yield doc, b"".join(held), cut, ended
 
 
-def aligned(texts: Iterator[bytes], encoders: Encoders, with_text: bool) -> Iterator[Document]:
+def aligned(texts: Iterator[bytes], encoders: Encoders) -> Iterator[Document]:
     """Each text's sweep, in order."""
     docs: dict[int, Document] = {}
     done = 0
     for mine, data, cut, ended in _stretches(texts):
         if mine:
-            _sweep([docs.setdefault(i, Document(with_text)) for i in mine], encoders, np.frombuffer(data, np.uint8), np.array(cut))
+            _sweep([docs.setdefault(i, Document()) for i in mine], encoders, np.frombuffer(data, np.uint8), np.array(cut))
         for i in range(done, done + ended):
-            d = docs.pop(i, None) or Document(with_text)
-            yield d if d.fits else Document(with_text)
+            d = docs.pop(i, None) or Document()
+            yield d if d.fits else Document()
         done += ended
 
 
@@ -317,97 +313,119 @@ def _bytes_of(column: pa.Array) -> Iterator[bytes]:
     return (x.as_buffer().to_pybytes() if x.is_valid else b"" for x in column)
 
 
-def _machine(paths: tuple[str, str]) -> Encoders:
-    return kept_by_worker(f"align:{paths}", lambda: Encoders(*paths))
+SWEPT = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary"
+_SWEPT = [(x.split()[0], pa.string() if "string" in x else pa.binary() if "binary" in x else pa.int64()) for x in SWEPT.split(", ")]
 
 
-def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, n = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
-    k, n = k[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    return k[first], np.add.reduceat(n, first)
+def _batch(columns: list[list], kinds: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], [n for n, _ in kinds])
 
 
-def _counted(paths: tuple[str, str]):
-    """Distinct pairs of a task with the documents that hold them."""
-
+def _documents_swept(paths: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoders = _machine(paths)
-        keys: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
-        fresh = most = 0
-
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(counts[0])], ["pair", "docs"])
-
+        encoders = kept_by_worker(f"align:{paths}", lambda: Encoders(*paths))
         for batch in batches:
-            for d in aligned(_bytes_of(batch.column("text")), encoders, False):
-                pairs, _ = d.linked()
-                if len(pairs):
-                    keys.append(pairs)
-                    counts.append(np.ones(len(pairs), np.int64))
-                    fresh += len(pairs)
-                if fresh > max(1 << 20, most):
-                    k, n = _merged(keys, counts)
-                    keys, counts, fresh, most = [k], [n], 0, len(k)
-                    if most > COUNTED:
-                        yield rows()
-                        keys, counts, most = [], [], 0
-        if keys:
-            k, n = _merged(keys, counts)
-            keys, counts = [k], [n]
-            yield rows()
+            out: list[list] = [[] for _ in _SWEPT]
+            size = 0
+            names = zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), strict=True)
+            for (row, name), d in zip(names, aligned(_bytes_of(batch.column("text")), encoders), strict=True):
+                pairs, times = d.linked()
+                text = d.digest.hexdigest() if d.n_a else ""
+                values = (row, name, d.n_a, d.n_b, d.n_groups, d.n_links, text, pairs.astype("<u4").tobytes(), times.astype("<u4").tobytes())
+                for column, x in zip(out, values, strict=True):
+                    column.append(x)
+                size += len(pairs)
+                if size > 1 << 18:
+                    yield _batch(out, _SWEPT)
+                    out, size = [[] for _ in _SWEPT], 0
+            if out[0]:
+                yield _batch(out, _SWEPT)
 
     return run
 
 
-def pair_counts(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
-    """(pair, docs, best): each linked id pair, A's id << 16 | B's, with how many documents hold it and whether that is its A id's most; stored."""
-    rows = documents(docs).select("text").mapInArrow(tidied(_counted(paths), keeps=True), "pair long, docs long")
+def swept_texts(docs: DataFrame, bytes_path: str, pieces_path: str) -> DataFrame:
+    """Per document: tokens of both sides, groups, links, the groups' digest, its distinct linked pairs in order (A's id << 16 | B's,
+    uint32) and how often each is linked; stored."""
+    rows = documents(docs).withColumn("row", F.monotonically_increasing_id())
+    return stored(rows.select("row", "doc_id", "text").mapInArrow(tidied(_documents_swept((bytes_path, pieces_path)), keeps=True), SWEPT), "swept")
+
+
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of uint32 arrays, and where each row's begin."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw.copy().view("<u4").astype(np.int64), (at - at[0]) // 4
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct pairs of a task with the documents that hold them."""
+    keys: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
+    fresh = most = 0
+
+    def merged() -> None:
+        nonlocal keys, counts, fresh, most
+        k, n = np.concatenate(keys), np.concatenate(counts)
+        order = np.argsort(k, kind="stable")
+        k, n = k[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        keys, counts, fresh, most = [k[first]], [np.add.reduceat(n, first)], 0, len(first)
+
+    for batch in batches:
+        pairs, _ = _numbers(batch.column("pairs"))
+        if len(pairs):
+            k, n = np.unique(pairs, return_counts=True)
+            keys.append(k)
+            counts.append(n)
+            fresh += len(k)
+        if fresh > max(1 << 20, most):
+            merged()
+            if most > COUNTED:
+                yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(counts[0])], ["pair", "docs"])
+                keys, counts, most = [], [], 0
+    if keys:
+        merged()
+        yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(counts[0])], ["pair", "docs"])
+
+
+def pair_counts(swept: DataFrame) -> DataFrame:
+    """(pair, docs, best): each linked id pair with how many documents hold it and whether that is its A id's most; stored."""
+    rows = swept.select("pairs").mapInArrow(tidied(_counted), "pair long, docs long")
     counts = stored(rows.groupBy("pair").agg(F.sum("docs").alias("docs")), "pairs")
     most = counts.groupBy(F.shiftright("pair", 16).alias("a")).agg(F.max("docs").alias("most"))  # at most a row for each of A's ids
-    return counts.join(F.broadcast(most), F.shiftright("pair", 16) == F.col("a")).select("pair", "docs", (F.col("docs") == F.col("most")).alias("best"))
+    met = counts.join(F.broadcast(most), F.shiftright("pair", 16) == F.col("a"))
+    return stored(met.select("pair", "docs", (F.col("docs") == F.col("most")).alias("best")), "counts")
+
 
+SCORED = "row long, n_best long, count_sum long, pairs array<long>, times array<long>"
+_SCORED = [(x.split()[0], pa.list_(pa.int64()) if "array" in x else pa.int64()) for x in SCORED.split(", ")]
 
-ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, pairs array<long>, times array<long>"
-_ALIGNED = [(x.split()[0], pa.string() if "string" in x else pa.list_(pa.int64()) if "array" in x else pa.int64()) for x in ALIGNED.split(", ")]
 
+def _scored(sent: Broadcast):
+    """Sums over the broadcast pairs; the other pairs go on."""
 
-def _hot_table(sent: Broadcast, encoders: Encoders) -> tuple[HashTable, np.ndarray, np.ndarray]:
-    """The broadcast pairs, looked up by their mixed numbers; made once in a worker."""
-    if encoders.hot[0] != sent.value[0]:
-        pairs, docs, best = (np.frombuffer(x, k) for x, k in zip(sent.value[1], ("<i8", "<i8", "?"), strict=True))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, docs, best = (np.frombuffer(x, k) for x, k in zip(sent.value, ("<i8", "<i8", "?"), strict=True))
         table = HashTable()
         if len(pairs):
             table.add(mixed(pairs.astype(_U)), np.arange(len(pairs), dtype=np.int32))
-        encoders.hot = (sent.value[0], table, docs, best)
-    return encoders.hot[1:]
-
-
-def _scored(paths: tuple[str, str], sent: Broadcast):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoders = _machine(paths)
-        table, docs, best = _hot_table(sent, encoders)
         for batch in batches:
-            out: list[list] = [[] for _ in _ALIGNED]
-            size = 0
-            names = zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), strict=True)
-            for (row, name), d in zip(names, aligned(_bytes_of(batch.column("text")), encoders, True), strict=True):
-                mine, times = d.linked()
-                at = table.find(mixed(mine.astype(_U)))
-                met = at >= 0
-                n, at = times[met], at[met]
-                text = d.digest.hexdigest() if d.n_a else ""
-                values = (row, name, d.n_a, d.n_b, d.n_groups, d.n_links, int(n[best[at]].sum()), int((n * docs[at]).sum()), text, mine[~met], times[~met])
-                for column, x in zip(out, values, strict=True):
-                    column.append(x)
-                size += len(mine)
-                if size > 1 << 18:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(out, _ALIGNED, strict=True)], [n for n, _ in _ALIGNED])
-                    out, size = [[] for _ in _ALIGNED], 0
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(out, _ALIGNED, strict=True)], [n for n, _ in _ALIGNED])
+            mine, at = _numbers(batch.column("pairs"))
+            times, _ = _numbers(batch.column("times"))
+            place = table.find(mixed(mine.astype(_U)))
+            met = place >= 0
+            sums = []
+            for worth in (times[met] * best[place[met]], times[met] * docs[place[met]]):
+                upto = np.zeros(len(mine) + 1, np.int64)
+                upto[1:][met] = worth
+                upto = np.cumsum(upto)
+                sums.append(upto[at[1:]] - upto[at[:-1]])
+            left = np.concatenate([[0], np.cumsum(~met)])[at].astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(left), pa.array(x[~met])) for x in (mine, times)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *map(pa.array, sums), *lists], [n for n, _ in _SCORED])
 
     return run
 
@@ -419,20 +437,19 @@ def aligned_texts(docs: DataFrame, bytes_path: str, pieces_path: str, hot: int =
     have none, are documents each and counted each. A long text is swept stretch by stretch, a word longer than a stretch whole. Extra
     columns are ignored; an empty table gives no rows.
     """
-    spark, paths = docs.sparkSession, (bytes_path, pieces_path)
-    counts = stored(pair_counts(docs, paths), "counts")
+    swept = swept_texts(docs, bytes_path, pieces_path)
+    counts = pair_counts(swept)
     every = counts.agg(F.sum("docs")).first()[0] or 0
     # At most `hot` pairs can have more than one in `hot` of all rows: 17 bytes each.
     common = counts.where(F.col("docs") > max(1, every // hot)).toArrow()
-    sent = spark.sparkContext.broadcast((uuid.uuid4().hex, [common.column(c).to_numpy().astype(k).tobytes() for c, k in (("pair", "<i8"), ("docs", "<i8"), ("best", "?"))]))
-    rows = documents(docs).withColumn("row", F.monotonically_increasing_id())
-    scored = stored(rows.select("row", "doc_id", "text").mapInArrow(tidied(_scored(paths, sent), keeps=True), ALIGNED), "aligned")
+    sent = docs.sparkSession.sparkContext.broadcast([common.column(c).to_numpy().astype(k).tobytes() for c, k in (("pair", "<i8"), ("docs", "<i8"), ("best", "?"))])
+    scored = stored(swept.select("row", "pairs", "times").mapInArrow(tidied(_scored(sent)), SCORED), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("row", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
     met = rare.join(counts.where(F.col("docs") <= max(1, every // hot)), "pair")
-    sums = met.groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("_best"), F.sum(F.col("times") * F.col("docs")).alias("_sum"))
-    out = scored.drop("pairs", "times").join(sums, "row", "left")
-    n_best, count_sum = F.col("n_best") + F.coalesce("_best", F.lit(0)), F.col("count_sum") + F.coalesce("_sum", F.lit(0))
-    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", n_best.alias("n_best"), count_sum.alias("count_sum"), "groups_sha256")
+    parts = met.select("row", F.when(F.col("best"), F.col("times")).otherwise(0).alias("n_best"), (F.col("times") * F.col("docs")).alias("count_sum"))
+    parts = parts.unionByName(scored.select("row", "n_best", "count_sum"))
+    sums = parts.groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    return swept.drop("pairs", "times").join(sums, "row").select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
 GROUPS = "doc_id long, group long, a array<long>, b array<long>"
