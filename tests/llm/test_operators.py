@@ -458,31 +458,54 @@ def test_chat_round_trip_and_examples(spark):
     assert chat_format.read_back(df.where("false")).count() == 0
 
 
-def test_chat_read_back_reads_the_examples(spark, monkeypatch):
-    rows = [(1, t, ("user", "assistant")[t % 2], f"#{t} " * (t + 1)) for t in range(9)] + [(2, 0, "user", "alone")]
+def plain_chat(rows):
+    """conv_id, turns, digest, loss and formatted characters of rows in order, by a running prefix."""
+    out = {}
+    for conv in {r[0] for r in rows}:
+        every, loss, at, chars, n = "", "", 0, 0, 0
+        for _, role, text in sorted((t, r or "", x or "") for c, t, r, x in rows if c == conv):
+            every += f"{role}\n{text}\n"
+            at += len(chat_format.render(role, text))
+            n += 1
+            if role == "assistant":
+                loss += text
+                chars += at
+        out[conv] = (n, hashlib.sha256(every.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), chars)
+    return out
+
+
+def read_chat(df):
+    return {r["conv_id"]: tuple(r)[1:6] for r in chat_format.read_back(df).collect()}
+
+
+@pytest.mark.parametrize("block", [1, 40, 1 << 16])
+def test_chat_blocks_of_any_size_read_back_alike(spark, monkeypatch, block):
+    monkeypatch.setattr(chat_format, "BLOCK_CHARS", block)
+    rows = [(c, t, ("user", "assistant")[t % 2], f"#{t} \\<:{c} " * (t + 1)) for c in (1, 5) for t in range(9)] + [(2, 0, "user", "alone"), (None, 0, "user", "x"), (None, 1, "assistant", "y"), (None, 2, "assistant", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    parts = chat_format.segments(df).orderBy("conv_id", "turn").toArrow().combine_chunks().to_batches()
-    right = {r["conv_id"]: r for b in chat_format._read_back(chat_format._expanded(iter(parts))) for r in b.to_pylist()}
-    monkeypatch.setattr(chat_format, "BATCH_CHARS", 40)  # an example goes over batches
-    pieces = [r for b in chat_format._expanded(iter(parts)) for r in b.to_pylist()]
-    assert right == {r["conv_id"]: r for b in chat_format._read_back(chat_format._expanded(iter(parts))) for r in b.to_pylist()}
-    texts = {r["example"]: r for r in chat_format.examples(df).collect()}
-    assert right[1]["formatted_chars"] == sum(len(r["text"]) for r in texts.values()) and right[1]["n_turns"] == 9 and right[2]["n_turns"] == 1
-    assert texts[3]["text"] == "".join(chat_format.render(r, x) for c, t, r, x in rows if c == 1 and t <= 7)
-
-    def read(changed):
-        schema = chat_format.pa.schema([(c.split()[0], {"long": chat_format.pa.int64(), "string": chat_format.pa.string()}[c.split()[1]]) for c in chat_format.PIECES.split(", ")])
-        return next(chat_format._read_back(iter([chat_format.pa.RecordBatch.from_pylist(changed, schema)])))[:1].to_pylist()[0]
-
-    mine = [r for r in pieces if r["conv_id"] == 1]
-    last = [k for k, r in enumerate(mine) if r["example"] == 3]
-    assert read(mine) == right[1]
-    swapped = [*mine]
-    swapped[last[1]], swapped[last[2]] = ({**mine[last[b]], "piece": mine[last[a]]["piece"]} for a, b in ((1, 2), (2, 1)))
-    lost = [r for k, r in enumerate(mine) if k != last[1]]
-    masked = [{**r, "loss_start": r["loss_start"] - 1} if r["example"] == 2 else r for r in mine]
-    for wrong, column in ((swapped, "turns_sha256"), (lost, "formatted_chars"), (masked, "loss_sha256")):
-        assert read(wrong)[column] != right[1][column]
+    assert read_chat(df) == plain_chat(rows)
+    texts = {(r["conv_id"], r["example"]): r for r in chat_format.examples(df).collect()}
+    assert len(texts) == 10 and texts[1, 3]["text"] == "".join(chat_format.render(r, x) for c, t, r, x in rows if c == 1 and t <= 7)
+    assert sum(len(r["text"]) for k, r in texts.items() if k[0] == 1) == plain_chat(rows)[1][4]
+    if block == 1:  # what a changed example would show
+        parts = chat_format.blocks(df.where("conv_id = 1")).orderBy("block").collect()
+        own = [(r["conv_id"], t["block"], r["block"], r["start"], r["text"], [e.asDict() for e in r["examples"]] if t["block"] == r["block"] else []) for t in parts for r in parts if r["block"] <= t["block"]]
+        names = ["conv_id", "target", "piece", "start", "text", "examples"]
+        read = lambda rows: [r for b in chat_format._read(iter([chat_format.pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])])) for r in b.to_pylist()]
+        assert sum(r["formatted_chars"] for r in read(own)) == plain_chat(rows)[1][4]
+        with pytest.raises(ValueError, match="context"):
+            read([r for r in own if r[1:3] != (7, 2)])
+        with pytest.raises(ValueError, match="rendered"):
+            read([(*r[:4], r[4].replace("</turn>", "", 1), r[5]) for r in own])
+
+
+def test_chat_long_conversation_and_missing_ids(spark):
+    rows = [(1, t, ("user", "assistant")[t % 2], f"word {t}") for t in range(20_000)]
+    df = spark.range(20_000).selectExpr("1L conv_id", "id turn", "if(id % 2 = 1, 'assistant', 'user') role", "concat('word ', id) text")
+    assert read_chat(df) == plain_chat(rows)
+    lost = spark.range(100_000).selectExpr("cast(null as long) conv_id", "id turn", "'assistant' role", "'r' text")
+    n, _, loss, _, chars = read_chat(lost)[None]
+    assert (n, loss, chars) == (100_000, 100_000, len(chat_format.render("assistant", "r")) * 100_000 * 100_001 // 2)
 
 
 # Personal data
