@@ -46,9 +46,9 @@ def main() -> None:
             ask.error("--pdf needs a --renderer")
         docs, lines = pages.run_pdf(spark.read.format("binaryFile").load(args.pdf), named(args.renderer), scorer, **options)
     lines = lines.persist()
-    sinks.save_text(lines, f"{args.out}/text", folders=True)
+    sinks.save_text_files(lines, f"{args.out}/text")
     sinks.save_confidence_csv(lines, f"{args.out}/confidence")
-    sinks.pdf_documents(lines).write.mode("overwrite").parquet(f"{args.out}/pdf")
+    sinks.save_pdf_files(lines, f"{args.out}/pdf")
     docs.select("doc_id", "lines", "mean_confidence", "low_confidence_count").write.mode("overwrite").option("header", True).csv(f"{args.out}/summary")
     if args.ground_truth:
         truth = sources.ground_truth(spark, args.ground_truth).select(F.col("line_no").alias("line_index"), F.col("text").alias("reference"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import logging
-import tempfile
 from collections.abc import Callable
 from functools import reduce
 
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from linework.config import CONFIG
 from linework.functions.text import PAD
+from linework.storage import shared_dir
 
 T = CONFIG.training
 #: Fixed order of preference of mask files.
@@ -102,12 +102,7 @@ def numbered(rows: DataFrame, key: str) -> DataFrame:
     Rows are dealt by ranges of the key and fixed by a checkpoint; a row's place is its place in its range and the sizes of the
     ranges before.
     """
-    spark = rows.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="linework-"))
+    shared_dir(rows.sparkSession)  # where checkpoints go
     fixed = rows.repartitionByRange(key).sortWithinPartitions(key).checkpoint()
     at = F.monotonically_increasing_id()
     placed = fixed.withColumns({"_range": F.shiftright(at, 33), "_at": at.bitwiseAND(F.lit((1 << 33) - 1))})

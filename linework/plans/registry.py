@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from linework import sinks
 from linework.config import CONFIG
+from linework.filesink import save_files
 from linework.functions import text as T
 from linework.operators import boxes as B
 from linework.operators import confidence as K
@@ -20,6 +21,8 @@ from linework.operators import fuzzy, losses, pixels
 from linework.operators import metrics as M
 from linework.operators import signal as P
 from linework.plans import canonical as C
+from linework.sources.multipage import multipage
+from linework.storage import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -638,6 +641,42 @@ def early_stop(spark, sf):
 # Corrections and pixels
 
 
+# Files
+
+
+@query(
+    """WITH d AS (SELECT doc_id, doc_id // 64 AS file, encode(coalesce(text, '')) AS raw FROM documents), p AS (SELECT *, greatest(32, ceil(octet_length(raw) / 64))::INT AS height FROM d)
+    SELECT 'f' || lpad(file::VARCHAR, 12, '0') || '.pgm' AS file, (row_number() OVER (PARTITION BY file ORDER BY doc_id))::INT AS page_no, height, 64 AS width, 1 AS channels,
+    sha256(raw || unhex(repeat('FF', height * 64 - octet_length(raw)))) AS pixels_sha256 FROM p"""
+)
+def page_files(spark, sf):
+    """Documents as pages, 64 to a file: files written by executors, then read page by page over ranges of bytes."""
+    folder = shared_path(spark, "pages")
+    pages = C.raster_pages(spark, sf).withColumn("number", F.col("page_id").cast("long"))
+    part = F.concat(F.encode(F.format_string("P5\n%d %d\n255\n", "width", "height"), "UTF-8"), "pixels")
+    files = pages.withColumn("part", part).groupBy(F.expr("number div 64").alias("file")).agg(F.expr("listagg(part) within group (order by number)").alias("content"))
+    save_files(files.select(F.format_string("f%012d.pgm", "file").alias("name"), "content"), folder)
+    found = multipage(spark, folder, mode="FAILFAST", split_bytes=1 << 17)
+    return found.select(F.regexp_extract("page_id", r"([^/]*) \[page", 1).alias("file"), "page_no", "height", "width", "channels", F.sha2("pixels", 256).alias("pixels_sha256"))
+
+
+@query(
+    f"""WITH {POST} SELECT doc_id, md5(string_agg(corrected_text, chr(10) ORDER BY line_index)) AS text_md5, (sum(strlen(corrected_text) + 1) - 1)::BIGINT AS text_bytes,
+    max(line_index // 41 + 1)::BIGINT AS pdf_pages, count(*) AS pdf_lines, count(*) FILTER (is_low_confidence) AS pdf_red FROM post GROUP BY doc_id"""
+)
+def document_files(spark, sf):
+    """A text file and a PDF file for each document, read back."""
+    folder, lines = shared_path(spark, "results"), K.postprocess(C.lines(spark, sf))
+    sinks.save_text_files(lines, f"{folder}/text")
+    sinks.save_pdf_files(lines, f"{folder}/pdf")
+    name = F.regexp_extract("path", r"([0-9]+)\.(txt|pdf)$", 1).cast("long").alias("doc_id")
+    texts = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(f"{folder}/text").select(name, F.md5("content").alias("text_md5"), F.col("length").alias("text_bytes"))
+    raw = F.decode("content", "ISO-8859-1")
+    counts = [F.regexp_count(raw, F.lit(x)).cast("long").alias(c) for c, x in (("pdf_pages", "/Type /Page /"), ("pdf_lines", r"(?m)^(0 0 0|1 0 0) rg BT"), ("pdf_red", r"(?m)^1 0 0 rg BT"))]
+    pdfs = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(f"{folder}/pdf").select(name, *counts)
+    return texts.join(pdfs, "doc_id")
+
+
 @query()
 def fuzzy_correct(spark, sf):
     rows = C.lines(spark, sf)

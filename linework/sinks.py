@@ -1,14 +1,13 @@
 """What results are written as: text, confidence tables, page layouts, reports, metadata."""
 
 import logging
-import os
 import sys
-import tempfile
-import time
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linework.filesink import save_files
+
 #: Fixed: the confidence table's columns.
 CONFIDENCE_COLUMNS = ("line_id", "word_id", "word", "word_confidence", "word_low_conf", "line_confidence", "line_low_confidence", "hallucination_risk", "line_text")
 #: Points of an A4 page: size, first line, step, lowest line.
@@ -30,20 +29,19 @@ def save_text(lines: DataFrame, path: str, doc: str = "doc_id", folders: bool =
         texts.select(doc, "value").write.mode("overwrite").option("maxRecordsPerFile", 100_000).json(path)
 
 
-def save_file(content: bytes, path: str) -> str:
-    """Writes a file whole: under another name first, then moved. Where the path can't be written, one with the time in its name is."""
-    folder, name = os.path.split(os.path.abspath(path))
-    os.makedirs(folder, exist_ok=True)
-    with tempfile.NamedTemporaryFile(dir=folder, delete=False) as f:
-        f.write(content)
-    try:
-        os.replace(f.name, path)
-        return path
-    except PermissionError:
-        stem, ext = os.path.splitext(name)
-        other = os.path.join(folder, f"{stem}_{time.strftime('%Y%m%d_%H%M%S')}{ext}")
-        os.replace(f.name, other)
-        return other
+def document_name(doc: Column) -> Column:
+    """The last part of a document's path without its suffix; a page's label keeps its number."""
+    return F.regexp_replace(F.regexp_extract(doc.cast("string"), "([^/]*)$", 1), r"\.[A-Za-z0-9]+(?=( \[page \d+\])?$)", "")
+
+
+def save_text_files(lines: DataFrame, path: str, doc: str = "doc_id") -> None:
+    """A text file for each document: its lines joined by line breaks, with none at the end."""
+    save_files(full_texts(lines, doc).select(F.concat(document_name(F.col(doc)), F.lit(".txt")).alias("name"), F.encode("value", "UTF-8").alias("content")), path)
+
+
+def save_pdf_files(lines: DataFrame, path: str, doc: str = "doc_id") -> None:
+    """A PDF file for each document."""
+    save_files(pdf_documents(lines, doc).select(F.concat(document_name(F.col(doc)), F.lit(".pdf")).alias("name"), F.col("pdf").alias("content")), path)
 
 
 def save_stages(stages: dict[str, DataFrame], folder: str | None) -> None:

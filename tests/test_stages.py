@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from linework import scoring, sinks
+from linework import filesink, scoring, sinks
 from linework.operators import boxes as B
 from linework.operators import datasets as S
 from linework.operators import pixels
@@ -178,18 +178,19 @@ def test_numbers_run_over_ranges(spark):
     assert {r["path"]: r["_place"] for r in rows} == {n: i for i, n in enumerate(sorted(names))}
 
 
-def test_files_are_written_whole(tmp_path, monkeypatch):
+def test_files_are_written_whole(tmp_path):
     path = f"{tmp_path}/out/a.pdf"
-    assert sinks.save_file(b"one", path) == path and open(path, "rb").read() == b"one"
-    plain = os.replace
+    assert filesink.save_file(b"one", path) == path and open(path, "rb").read() == b"one"
 
-    def refused(a, b):
-        if b == path:
-            raise PermissionError(b)
-        plain(a, b)
+    class Refusing:
+        def move(self, a, b):
+            if b == path:
+                raise PermissionError(b)
+            os.replace(a, b)
 
-    monkeypatch.setattr(os, "replace", refused)
-    other = sinks.save_file(b"two", path)
+    new = f"{tmp_path}/out/new"
+    open(new, "wb").write(b"two")
+    other = filesink.moved(Refusing(), new, path)
     assert other != path and open(other, "rb").read() == b"two" and open(path, "rb").read() == b"one" and len(os.listdir(f"{tmp_path}/out")) == 2
 
 
