@@ -115,7 +115,7 @@ class PageSource(DataSource):
         return PageReader(dict(self.options))
 
 
-def multipage(spark: SparkSession, path: str, **options: object) -> DataFrame:
+def paged_files(spark: SparkSession, path: str, **options: object) -> DataFrame:
     """Pages of a file or of a folder's files, labelled 'path [page n]' and numbered from 1."""
     spark.dataSource.register(PageSource)
     return spark.read.format("linework_pages").options(**{k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items()}).load(path)

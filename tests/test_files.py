@@ -29,14 +29,14 @@ def test_every_page_once_at_any_split(spark, tmp_path, pages, split):
     if split == 1:  # planned, not run: a task for each byte
         assert len(M.PageReader({"path": str(tmp_path), "split_bytes": "1"}).partitions()) == sum(p.stat().st_size for p in tmp_path.glob("*.pgm"))
         return
-    read = M.multipage(spark, str(tmp_path), split_bytes=split, mode="FAILFAST")
+    read = M.paged_files(spark, str(tmp_path), split_bytes=split, mode="FAILFAST")
     assert read.rdd.getNumPartitions() == sum(-(-p.stat().st_size // split) for p in tmp_path.glob("*.pgm"))
     rows = {r["page_id"]: r for r in read.collect()}
     assert len(rows) == 61
     for i, a in enumerate(pages, 1):
         r = rows[f"{tmp_path}/a.pgm [page {i}]"]
         assert (r["page_no"], r["height"], r["width"], r["channels"], bytes(r["pixels"])) == (i, *a.shape, 1, a.tobytes())
-    sizes = M.multipage(spark, f"file://{tmp_path}/a.pgm", pixels=False)
+    sizes = M.paged_files(spark, f"file://{tmp_path}/a.pgm", pixels=False)
     assert sizes.count() == 60 and sizes.where("pixels is not null").count() == 0
 
 
@@ -46,7 +46,7 @@ def test_colour_and_deep_pages_as_the_decoder_has_them(spark, tmp_path):
     three = b"P6 4 5 255\n" + colour.astype(np.uint8).tobytes()
     four = pgm(deep, 1000)
     (tmp_path / "x.pnm").write_bytes(three + four)
-    rows = M.multipage(spark, str(tmp_path)).orderBy("page_no").collect()
+    rows = M.paged_files(spark, str(tmp_path)).orderBy("page_no").collect()
     assert [bytes(r["pixels"]) for r in rows] == [P.decode_pnm(x).tobytes() for x in (three, four)] and [r["channels"] for r in rows] == [3, 1]
 
 
@@ -56,13 +56,13 @@ def test_cut_and_foreign_files(spark, tmp_path, pages):
         folder = tmp_path / name
         folder.mkdir()
         (folder / "f.pgm").write_bytes(data)
-        rows = M.multipage(spark, str(folder), split_bytes=50).collect()
+        rows = M.paged_files(spark, str(folder), split_bytes=50).collect()
         assert sorted((r["page_no"], r["pixels"] is None) for r in rows) == [(k, False) for k in range(1, n + 1)] + ([(n + 1, True)] if data else [])
         if data:
             with pytest.raises(Exception, match="page"):
-                M.multipage(spark, str(folder), split_bytes=50, mode="failfast").collect()
+                M.paged_files(spark, str(folder), split_bytes=50, mode="failfast").collect()
     with pytest.raises(Exception, match="nowhere"):
-        M.multipage(spark, f"{tmp_path}/nowhere").collect()
+        M.paged_files(spark, f"{tmp_path}/nowhere").collect()
 
 
 def names_in(folder):
