@@ -3,8 +3,9 @@
     spark.dataSource.register(FileSink)
     rows.write.format("linework_files").mode("overwrite").save(folder)
 
-A task writes its files under a temporary folder and moves them to their names only when it has them all, so one that fails leaves
-none. What it moved is listed in a file, by which an aborted job's files are deleted; the driver is sent one line for a task.
+A task writes its files under a temporary folder and lists them there; the driver is sent one line for a task. Files get their
+names when all tasks have ended well, by threads that work list by list, so a job that fails leaves none, nor do tasks that run on
+after it failed.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import posixpath
 import time
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyarrow import fs
@@ -25,7 +27,9 @@ from pyspark.sql.types import StructType
 
 from linework.storage import filesystem
 
-TEMPORARY = "_temporary"
+TEMPORARY, LIST = "_temporary", "list"
+#: Threads that give files their names.
+THREADS = 16
 
 
 def moved(files: fs.FileSystem, temporary: str, path: str) -> str:
@@ -52,7 +56,7 @@ def save_file(content: bytes, path: str) -> str:
 
 @dataclass
 class Written(WriterCommitMessage):
-    manifest: str
+    folder: str
     files: int
 
 
@@ -67,46 +71,39 @@ class FileWriter(DataSourceWriter):
     def write(self, iterator: Iterator[Row]) -> Written:
         files, root = self._root()
         mine = f"{root}/{TEMPORARY}/{self.job}/{uuid.uuid4().hex}"
-        places: list[tuple[str, str]] = []
-        done: list[str] = []
+        places: list[str] = []
         files.create_dir(mine)
-        try:
-            for k, row in enumerate(iterator):
-                name = posixpath.normpath(row["name"] or "")
-                if name in ("", ".") or name.startswith(("/", "..", TEMPORARY)):
-                    raise ValueError(f"no name of a file in the folder: {row['name']!r}")
-                with files.open_output_stream(f"{mine}/{k}") as f:
-                    f.write(bytes(row["content"] or b""))
-                places.append((f"{mine}/{k}", f"{root}/{name}"))
-            for folder in {posixpath.dirname(p) for _, p in places} - {root}:
-                files.create_dir(folder)
-            for temporary, place in places:
-                done.append(moved(files, temporary, place))
-        except BaseException:
-            for place in done:
-                files.delete_file(place)
-            files.delete_dir(mine)
-            raise
-        with files.open_output_stream(f"{mine}/manifest") as f:
-            f.write(json.dumps(done).encode())
-        return Written(f"{mine}/manifest", len(done))
+        for k, row in enumerate(iterator):
+            name = posixpath.normpath(row["name"] or "")
+            if name in ("", ".") or name.startswith(("/", "..", TEMPORARY)):
+                raise ValueError(f"no name of a file in the folder: {row['name']!r}")
+            with files.open_output_stream(f"{mine}/{k}") as f:
+                f.write(bytes(row["content"] or b""))
+            places.append(name)
+        with files.open_output_stream(f"{mine}/{LIST}") as f:
+            f.write(json.dumps(places).encode())
+        return Written(mine, len(places))
 
     def commit(self, messages: list[Written | None]) -> None:
         files, root = self._root()
         files.create_dir(root)
+
+        def place(message: Written) -> None:
+            with files.open_input_stream(f"{message.folder}/{LIST}") as f:
+                names = json.loads(f.read())
+            for folder in {posixpath.dirname(n) for n in names} - {""}:
+                files.create_dir(f"{root}/{folder}")
+            for k, name in enumerate(names):
+                moved(files, f"{message.folder}/{k}", f"{root}/{name}")
+
+        with ThreadPoolExecutor(THREADS) as pool:
+            list(pool.map(place, [m for m in messages if m]))
         self._cleared(files, root)
         with files.open_output_stream(f"{root}/_SUCCESS") as f:
             f.write(str(sum(m.files for m in messages if m)).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
-        """Takes back what tasks had moved before another one failed."""
-        files, root = self._root()
-        for message in messages:
-            if message:
-                with files.open_input_stream(message.manifest) as f:
-                    for place in json.loads(f.read()):
-                        files.delete_file(place)
-        self._cleared(files, root)
+        self._cleared(*self._root())
 
     def _cleared(self, files: fs.FileSystem, root: str) -> None:
         if files.get_file_info(f"{root}/{TEMPORARY}").type == fs.FileType.Directory:
