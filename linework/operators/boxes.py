@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,65 +68,100 @@ def upper_median(value: Column | str, floor: float = 1.0) -> Column:
     return F.greatest(F.lit(floor), F.element_at(v, F.floor(F.size(v) / 2).cast("int") + 1).cast("double"))
 
 
-def _boxes_in_order(boxes: DataFrame, page: str, *order: Column | str) -> DataFrame:
-    """(page, items): the page's boxes as an array in order. A page is the unit that grouping and merging work on."""
-    keys = [F.col(x) if isinstance(x, str) else x for x in order]
-    item = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], "x1", "y1", "x2", "y2")
-    return boxes.groupBy(page).agg(F.array_sort(F.collect_list(item)).alias("items"))
+def upper_medians(rows: DataFrame, value: Column, *group: str, name: str = "median", floor: float = 1.0) -> DataFrame:
+    """(group, name): upper_median() of each group by counts of its values, which are combined before they move; no group's values are gathered."""
+    counts = rows.select(*group, value.alias("_v")).where("_v is not null").groupBy(*group, "_v").agg(F.count("*").alias("_n"))
+    upto = counts.withColumns({"_upto": F.sum("_n").over(Window.partitionBy(*group).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_n").over(Window.partitionBy(*group))})
+    return upto.where("_upto > _all div 2").groupBy(*group).agg(F.greatest(F.lit(floor), F.min("_v").cast("double")).alias(name))
+
+
+def _streamed(rows: DataFrame, fold: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str, columns: list[str], order: list[str]) -> DataFrame:
+    """fold over the rows of each partition, which has whole pages in order; the fold holds no page."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
 
+        found = fold(each())
+        while out := list(itertools.islice(found, ROWS)):
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=names, dtype=object).astype(kinds), preserve_index=False)
 
-BOX_LIST = "array<struct<x1:int,y1:int,x2:int,y2:int>>"
+    fields = [x.rsplit(" ", 1) for x in schema.split(", ")]
+    names, kinds = [n for n, _ in fields], {n: PANDAS.get(k, "object") for n, k in fields}
+    return rows.select(*columns).repartition(columns[0]).sortWithinPartitions(*order).mapInArrow(run, schema)
+
+
+#: Rows that a fold hands on at once, and the types they have then.
+ROWS = 10_000
+PANDAS = {"int": "Int32", "bigint": "Int64", "long": "Int64", "double": "float64"}
 
 
 def merged(boxes: DataFrame, overlap: float = D.merge_overlap, page: str = "page_id") -> DataFrame:
     """Boxes by y1 (then seq), each joined to the last merged one where they overlap vertically by more than a share of the lower height.
 
-    Only the last merged box counts, so this is a fold over the page's boxes and no union of intervals.
+    Only the last merged box counts, so this is no union of intervals but a sweep that holds one box, however many a page has.
     """
-    rows = _boxes_in_order(boxes, page, "y1", "seq")
-
-    def step(acc: Column, b: Column) -> Column:
-        last = F.element_at(acc, -1)
-        shared = F.least(b["y2"], last["y2"]) - F.greatest(b["y1"], last["y1"])
-        lower = F.least(b["y2"] - b["y1"], last["y2"] - last["y1"])
-        joined = F.struct(F.least(last["x1"], b["x1"]).alias("x1"), F.least(last["y1"], b["y1"]).alias("y1"), F.greatest(last["x2"], b["x2"]).alias("x2"), F.greatest(last["y2"], b["y2"]).alias("y2"))
-        plain = F.struct(b["x1"].alias("x1"), b["y1"].alias("y1"), b["x2"].alias("x2"), b["y2"].alias("y2"))
-        meet = (F.size(acc) > 0) & (lower > 0) & (shared / F.when(lower > 0, lower).otherwise(1) > overlap)
-        return F.when(F.coalesce(meet, F.lit(False)), F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(plain)))
 
-    folded = rows.select(page, F.posexplode(F.aggregate("items", F.array().cast(BOX_LIST), step)).alias("seq", "b"))
-    return folded.select(page, "seq", "b.x1", "b.y1", "b.x2", "b.y2")
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        current, last, seq = None, None, 0
+        for name, _, *box in rows:
+            if last is None or name != current:
+                if last is not None:
+                    yield (current, seq, *last)
+                current, last, seq = name, box, 0
+                continue
+            lower = min(box[3] - box[1], last[3] - last[1])
+            if lower > 0 and (min(box[3], last[3]) - max(box[1], last[1])) / lower > overlap:
+                last = [min(last[0], box[0]), min(last[1], box[1]), max(last[2], box[2]), max(last[3], box[3])]
+                continue
+            yield (current, seq, *last)
+            last, seq = box, seq + 1
+        if last is not None:
+            yield (current, seq, *last)
+
+    some = boxes.dropna(subset=["x1", "y1", "x2", "y2"])
+    return _streamed(some, fold, f"{page} {boxes.schema[page].dataType.simpleString()}, seq int, x1 int, y1 int, x2 int, y2 int", [page, "seq", "x1", "y1", "x2", "y2"], [page, "y1", "seq", "x1", "x2", "y2"])
 
 
 def grouped_lines(words: DataFrame, ratio: float = D.group_ratio, least: int = 1, page: str = "page_id") -> DataFrame:
     """(page_id, line_index, word_order, idx, box): words in lines, top to bottom, left to right.
 
     Words by the middle of their height (then idx) go to the first line whose middle is nearer than ratio line heights,
-    a line's range growing with it; lines with fewer words than least go, but keep their number.
+    a line's range growing with it; lines with fewer words than least go, but keep their number. A line whose middle lies
+    that far above a word takes no later word either, so the sweep holds only lines that can still be met. Boxes without all
+    four coordinates are left out.
     """
-    middle = (F.col("y1") + F.col("y2")) / 2.0
-    item = F.struct(middle.alias("mid"), "idx", "x1", "y1", "x2", "y2")
-    rows = words.groupBy(page).agg(F.array_sort(F.collect_list(item)).alias("items"), upper_median(F.col("y2") - F.col("y1")).alias("line_height"))
-    kind = "array<struct<y1:int,y2:int,words:array<struct<idx:int,x1:int,y1:int,x2:int,y2:int>>>>"
-    limit = F.col("line_height") * ratio
-
-    def step(acc: Column, w: Column) -> Column:
-        fits = F.transform(acc, lambda g: F.abs(w["mid"] - (g["y1"] + g["y2"]) / 2.0) < limit)
-        at = F.array_position(fits, True)
-        plain = F.struct(w["idx"].alias("idx"), w["x1"].alias("x1"), w["y1"].alias("y1"), w["x2"].alias("x2"), w["y2"].alias("y2"))
-        alone = F.struct(w["y1"].alias("y1"), w["y2"].alias("y2"), F.array(plain).alias("words"))
-
-        def grown(g: Column, i: Column) -> Column:
-            more = F.struct(F.least(g["y1"], w["y1"]).alias("y1"), F.greatest(g["y2"], w["y2"]).alias("y2"), F.array_append(g["words"], plain).alias("words"))
-            return F.when(i + 1 == at, more).otherwise(g)
-
-        return F.when(at > 0, F.transform(acc, grown)).otherwise(F.array_append(acc, alone))
-
-    lines = rows.select(page, F.aggregate("items", F.array().cast(kind), step).alias("lines"))
-    tops = F.array_sort(F.transform("lines", lambda g, i: F.struct(g["y1"].alias("y1"), i.alias("i"), g["words"].alias("words"))))
-    numbered = lines.select(page, F.posexplode(tops).alias("line_index", "line")).where(F.size("line.words") >= least)
-    across = F.array_sort(F.transform("line.words", lambda w, i: F.struct(w["x1"].alias("x"), i.alias("i"), w.alias("w"))))
-    return numbered.select(page, "line_index", F.posexplode(across).alias("word_order", "w")).select(page, "line_index", "word_order", "w.w.idx", "w.w.x1", "w.w.y1", "w.w.x2", "w.w.y2")
+    columns = [page, "_mid", "idx", "x1", "y1", "x2", "y2", "_limit"]
+
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        current, active, made, place = (), [], 0, 0
+        for name, mid, idx, x1, y1, x2, y2, limit in rows:
+            if name != current:
+                current, active, made, place = name, [], 0, 0
+            active = [g for g in active if mid - (g[1] + g[2]) / 2 < limit]
+            for g in active:
+                if abs(mid - (g[1] + g[2]) / 2) < limit:
+                    g[1], g[2] = min(g[1], y1), max(g[2], y2)
+                    break
+            else:
+                g = [made, y1, y2]
+                active.append(g)
+                made += 1
+            yield name, g[0], place, idx, x1, y1, x2, y2
+            place += 1
+
+    some = words.dropna(subset=["x1", "y1", "x2", "y2"])
+    height = upper_medians(some, F.col("y2") - F.col("y1"), page, name="_limit")
+    kinds = {f.name: f.dataType.simpleString() for f in words.schema}
+    schema = f"{page} {kinds[page]}, line int, place bigint, idx {kinds['idx']}, x1 int, y1 int, x2 int, y2 int"
+    limits = height.select(F.col(page).alias("_page"), (F.col("_limit") * ratio).alias("_limit"))
+    rows = some.withColumn("_mid", (F.col("y1") + F.col("y2")) / 2.0).join(limits, F.col(page).eqNullSafe(F.col("_page")))
+    found = _streamed(rows, fold, schema, columns, [page, "_mid", "idx", "x1", "y1", "x2", "y2"])
+    line = Window.partitionBy(page, "line")
+    found = found.withColumns({"_top": F.min("y1").over(line), "_size": F.count("*").over(line), "word_order": F.row_number().over(line.orderBy("x1", "place")) - 1})
+    found = found.withColumn("line_index", F.dense_rank().over(Window.partitionBy(page).orderBy("_top", "line")) - 1)
+    return found.where(F.col("_size") >= least).select(page, "line_index", "word_order", "idx", "x1", "y1", "x2", "y2")
 
 
 def strip_offsets(words: DataFrame, gap: int = D.strip_gap) -> DataFrame:

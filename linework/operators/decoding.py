@@ -14,6 +14,8 @@ from linework.functions.text import BOS, EOS, let
 from linework.operators.losses import softmax, top_probability
 
 Step = Callable[[object, list[int]], np.ndarray]
+#: What an id of no probability costs.
+HIGHEST = -math.log(1e-12)
 
 
 def likeliest(logits: Column | str) -> Column:
@@ -77,3 +79,64 @@ def decode(inputs: DataFrame, column: str, step: Step, most: int = 128, width: i
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inputs.schema)
     return inputs.mapInPandas(run, f"{schema}, ids array<int>")
+
+
+#: Log probabilities of the next id (rows x beams x ids) after the ids so far (rows x beams x length), for the rows' states.
+Steps = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def beams(states: np.ndarray, step: Steps, most: int, width: int, penalty: float = 1.0, bos: int = BOS, eos: int = EOS) -> list[list[int]]:
+    """beam() of many rows as arrays, with one call of step for all rows and beams that are live.
+
+    An id that its beam has already costs penalty times as much, so repeating is put off without being ruled out. A row is done
+    once an ended beam costs no more than any live one, as costs only grow.
+    """
+    n = len(states)
+    best: list[list[int]] = [[] for _ in range(n)]
+    least = np.full(n, np.inf)
+    rows = np.arange(n)
+    ids = np.full((n, 1, 1), bos, np.int64)
+    cost = np.zeros((n, 1))
+    for _ in range(most):
+        if not len(rows):
+            break
+        price = np.minimum(-np.asarray(step(states[rows], ids), np.float64), HIGHEST)
+        if penalty != 1:
+            seen = np.zeros(price.shape, bool)
+            np.put_along_axis(seen, ids, True, axis=2)
+            price = np.where(seen, price * penalty, price)
+        k = min(width, price.shape[2])
+        top = np.argsort(price, axis=2, kind="stable")[:, :, :k]
+        grown = (cost[:, :, None] + np.take_along_axis(price, top, 2)).reshape(len(rows), -1)
+        order = np.argsort(grown, axis=1, kind="stable")[:, :width]
+        cost = np.take_along_axis(grown, order, 1)
+        last = np.take_along_axis(top.reshape(len(rows), -1), order, 1)
+        ids = np.concatenate([np.take_along_axis(ids, (order // k)[:, :, None], 1), last[:, :, None]], 2)
+        ended = (last == eos) & np.isfinite(cost)
+        for i in np.flatnonzero(ended.any(1)).tolist():
+            j = int(np.argmax(ended[i]))  # costs rise from left to right
+            if cost[i, j] < least[rows[i]]:
+                least[rows[i]], best[rows[i]] = cost[i, j], ids[i, j, 1:-1].tolist()
+        cost = np.where(ended, np.inf, cost)
+        live = least[rows] > cost.min(1)
+        rows, ids, cost = rows[live], ids[live], cost[live]
+    for i, j in enumerate(np.argmin(cost, 1).tolist() if len(rows) else ()):
+        best[rows[i]] = [x for x in ids[i, j, 1:].tolist() if x != eos]
+    return best
+
+
+def decode_batches(inputs: DataFrame, column: str, step: Steps, most: int = 128, width: int = 5, penalty: float = 1.0, rows: int = 1024) -> DataFrame:
+    """inputs with ids decoded by beams() from a column of arrays of one length, `rows` rows at a time. A null state gives no ids."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), rows):
+                part = batch.iloc[at : at + rows].copy()
+                given = part[column].notna()
+                found = beams(np.stack(part[column][given].to_list()), step, most, width, penalty) if given.any() else []
+                part["ids"] = pd.Series([[]] * len(part), index=part.index, dtype=object)
+                part.loc[given, "ids"] = pd.Series(found, index=part.index[given], dtype=object)
+                yield part
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inputs.schema)
+    return inputs.mapInPandas(run, f"{schema}, ids array<int>")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -331,3 +332,53 @@ def test_pages_to_documents(spark, tmp_path):
         assert set(found) == {"a.pgm", "blank.pgm", "bad.pgm"}
         assert found["a.pgm"]["lines"] == 4 and found["bad.pgm"]["lines"] == 0 and found["blank.pgm"]["full_text"] == ""
         assert lines.where("word_confidences is null").count() == 0
+
+
+def test_sweeps_of_a_page_of_many_boxes(spark):
+    """A hundred thousand boxes in one page, against plain loops; ties, boxes without a coordinate and pages without a name."""
+    import time
+
+    rng = np.random.default_rng(11)
+    n = 100_000
+    y, h = rng.integers(0, 900_000, n), rng.integers(1, 40, n)
+    x, w = rng.integers(0, 3000, n), rng.integers(1, 200, n)
+    frame = pd.DataFrame({"page_id": 1, "seq": np.arange(n), "x1": x, "y1": y, "x2": x + w, "y2": y + h}).astype("int32")
+    df = spark.createDataFrame(frame)
+    df.count()
+    began = time.time()
+    found = [tuple(r)[2:] for r in B.merged(df).orderBy("seq").collect()]
+    lines = B.grouped_lines(df.withColumnRenamed("seq", "idx"), 0.6).collect()
+    assert time.time() - began < 60  # a fold that copies what it has would take hours
+    want, groups, line = [], [], {}
+    for _, _, *b in sorted(zip(y.tolist(), range(n), x.tolist(), y.tolist(), (x + w).tolist(), (y + h).tolist(), strict=True)):
+        last = want[-1] if want else None
+        low = min(b[3] - b[1], last[3] - last[1]) if last else 0
+        if low > 0 and (min(b[3], last[3]) - max(b[1], last[1])) / low > B.D.merge_overlap:
+            want[-1] = [min(last[0], b[0]), min(last[1], b[1]), max(last[2], b[2]), max(last[3], b[3])]
+        else:
+            want.append(b)
+    assert found == [tuple(b) for b in want]
+    limit = float(sorted(h.tolist())[n // 2]) * 0.6
+    for mid, i in sorted(((y[i] + y[i] + h[i]) / 2, i) for i in range(n)):
+        for k in range(max(0, len(groups) - 50), len(groups)):  # earlier lines lie far above
+            if abs(mid - (groups[k][0] + groups[k][1]) / 2) < limit:
+                break
+        else:
+            k = len(groups)
+            groups.append([y[i], y[i] + h[i]])
+        groups[k] = [min(groups[k][0], y[i]), max(groups[k][1], y[i] + h[i])]
+        line[i] = k
+    number = {k: j for j, k in enumerate(sorted(range(len(groups)), key=lambda k: (groups[k][0], k)))}
+    assert {r["idx"]: r["line_index"] for r in lines} == {i: number[k] for i, k in line.items()}
+    odd = spark.createDataFrame([(None, 1, 0, 0, 5, 5), (None, 2, 0, 1, 5, 6), ("p", 1, 0, None, 5, 5)], "page_id string, seq int, x1 int, y1 int, x2 int, y2 int")
+    assert [tuple(r) for r in B.merged(odd).collect()] == [(None, 0, 0, 0, 5, 6)]
+    assert [tuple(r)[:4] for r in B.grouped_lines(odd.withColumnRenamed("seq", "idx")).orderBy("idx").collect()] == [(None, 0, 0, 1), (None, 0, 1, 2)]
+    assert B.grouped_lines(odd.where("false").withColumnRenamed("seq", "idx")).count() == 0
+
+
+def test_medians_by_counts(spark):
+    rows = spark.range(0, 200_000).selectExpr("id % 3 g", "if(id % 11 = 0, null, (id * 7919) % 10007) v")
+    for r in B.upper_medians(rows, F.col("v"), "g").collect():
+        values = sorted((i * 7919) % 10007 for i in range(200_000) if i % 3 == r["g"] and i % 11)
+        assert r["median"] == values[len(values) // 2]
+    assert B.upper_medians(spark.createDataFrame([(1, 0), (1, 0)], "g int, v int"), F.col("v"), "g").first()["median"] == 1.0
