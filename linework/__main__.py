@@ -54,7 +54,7 @@ def main() -> None:
         truth = sources.ground_truth(spark, args.ground_truth).select(F.col("line_no").alias("line_index"), F.col("text").alias("reference"))
         number = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_index")) - 1
         said = lines.withColumn("line_index", number).select("doc_id", "line_index", F.col("corrected_text").alias("prediction"), F.col("difficulty_tag").alias("tag"), "needs_review")
-        metrics.evaluate(metrics.paired(said, truth, "line_index")).write.mode("overwrite").option("header", True).csv(f"{args.out}/evaluation")
+        metrics.evaluate(metrics.paired(said, truth, "line_index", every=True)).write.mode("overwrite").option("header", True).csv(f"{args.out}/evaluation")
     log.info("results are in %s", args.out)
 
 

@@ -1,20 +1,24 @@
-"""Dictionary correction by a delete-neighbourhood join.
+"""Dictionary correction: each word's nearest term within two edits, swaps of neighbours among them.
 
-A word and a term within two edits share a string that each becomes by at most two deletions in its first characters. So
-both sides are spread into such strings and joined on them; the true distance then decides. Words are corrected once
-each, however often they occur.
+A dictionary of a checked size becomes a word graph that every task walks with its words, many at once: a word and a path
+stay together as long as the bounded distance of what was read may still come down to two. A larger dictionary is joined by
+delete neighbourhoods: a word and a near term share a string that each becomes by at most two deletions in its first
+characters. Words are corrected once each, however often they occur.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linework.config import CONFIG
 from linework.functions.text import PLACEHOLDER, WHITE, WORD_PARTS, clean_noise, correctable, split_words
+from linework.storage import stored
 
 P = CONFIG.postprocessing
 #: Characters that words are spread by. Any number finds all pairs; more make fewer pairs that are not near, but more strings.
@@ -62,18 +66,149 @@ def _distance(most: int):
     return run
 
 
-def closest_terms(words: DataFrame, dictionary: DataFrame, most: int = P.max_edit_distance) -> DataFrame:
+class WordGraph:
+    """Terms as a graph of their beginnings, level by level: nodes of one depth, each with its children's places in the next.
+
+    A node knows the term that ends in it and the lengths of those that pass through it.
+    """
+
+    def __init__(self, terms: list[str], counts: np.ndarray):
+        order = np.argsort(np.array(terms, object), kind="stable") if terms else np.zeros(0, np.int64)
+        self.terms, self.counts = [terms[i] for i in order.tolist()], counts[order]
+        sizes = np.array([len(t) for t in self.terms], np.int64)
+        deepest = int(sizes.max(initial=0))
+        signs = np.zeros((len(sizes), deepest), np.int32)
+        signs[np.arange(deepest) < sizes[:, None]] = np.frombuffer("".join(self.terms).encode("utf-32-le"), "<i4")
+        self.levels: list[tuple[np.ndarray, ...]] = []  # sign, first child, children, term, shortest, longest
+        node = np.zeros(len(sizes), np.int64)  # each term's node of the level before
+        parents = 1
+        for depth in range(deepest):
+            some = np.flatnonzero(sizes > depth)
+            new = np.concatenate([[True], (node[some][1:] != node[some][:-1]) | (signs[some, depth][1:] != signs[some, depth][:-1])])
+            mine = np.cumsum(new) - 1
+            first = some[new]
+            nodes = len(first)
+            children = np.bincount(node[first], minlength=parents)
+            if self.levels:
+                self.levels[-1] = (*self.levels[-1], np.cumsum(children) - children, children)
+            else:
+                self.root = (np.cumsum(children) - children, children)
+            term = np.full(nodes, -1, np.int64)
+            ends = sizes[some] == depth + 1
+            term[mine[ends]] = some[ends]
+            shortest, longest = np.full(nodes, 1 << 30), np.zeros(nodes, np.int64)
+            np.minimum.at(shortest, mine, sizes[some])
+            np.maximum.at(longest, mine, sizes[some])
+            self.levels.append((signs[first, depth], term, shortest, longest))
+            node = np.full(len(sizes), -1, np.int64)
+            node[some] = mine
+            parents = nodes
+        if self.levels:
+            self.levels[-1] = (*self.levels[-1], np.zeros(parents, np.int64), np.zeros(parents, np.int64))
+
+    def nearest(self, words: list[str], most: int) -> list[tuple[str, str, int]]:
+        """(word, term, distance) of words that have a term within `most` edits: the most frequent on ties, then the first."""
+        if not words or not self.levels:
+            return []
+        sizes = np.array([len(w) for w in words], np.int64)
+        far, width = most + 1, 2 * most + 1
+        signs = np.full((len(words), int(sizes.max()) + 2 * width), -1, np.int32)  # padded by `width` on both sides
+        signs[:, width:][np.arange(signs.shape[1] - width) < sizes[:, None]] = np.frombuffer("".join(words).encode("utf-32-le"), "<i4")
+        row = np.arange(len(words))
+        place = np.zeros(len(words), np.int64)
+        # The distances of what was read of the word, up to `most` signs fewer or more than the path has, from the path; and those one sign before.
+        band = np.tile(np.abs(np.arange(-most, most + 1)).astype(np.int8), (len(words), 1))
+        band[:, :most] = far
+        band[np.arange(-most, most + 1)[None, :] > sizes[:, None]] = far
+        before, last = np.full(band.shape, far, np.int8), np.full(len(words), -2, np.int32)
+        found: list[tuple[np.ndarray, ...]] = []
+        begin, children = self.root
+        for depth, (sign, term, shortest, longest, next_begin, next_children) in enumerate(self.levels, 1):
+            n = children[place]
+            until = np.cumsum(n)
+            child = np.repeat(begin[place] - (until - n), n) + np.arange(int(until[-1]) if len(until) else 0)
+            back = np.repeat(np.arange(len(row)), n)
+            reach = (shortest[child] <= sizes[row[back]] + most) & (longest[child] >= sizes[row[back]] - most)
+            child, back = child[reach], back[reach]
+            if not len(child):
+                break
+            mine, c, m = row[back], sign[child], sizes[row[back]]
+            old, older, previous = band[back], before[back], last[back]
+            new = np.full(old.shape, far, np.int8)
+            for k in range(width):
+                i = depth + k - most  # signs of the word
+                here = np.minimum(i, m) + width - 1
+                x, y = signs[mine, np.maximum(here, 0)], signs[mine, np.maximum(here - 1, 0)]
+                d = old[:, k] + (x != c)
+                if k + 1 < width:
+                    d = np.minimum(d, old[:, k + 1] + 1)
+                if k:
+                    d = np.minimum(d, new[:, k - 1] + 1)
+                d = np.where((x == previous) & (y == c), np.minimum(d, older[:, k] + 1), d)
+                new[:, k] = np.where((i >= 0) & (i <= m), np.minimum(d, far), far) if i > 0 else (min(depth, far) if i == 0 else far)
+            ends = np.flatnonzero((term[child] >= 0) & (np.abs(m - depth) <= most))
+            d = new[ends, m[ends] - depth + most]
+            good = d <= most
+            found.append((mine[ends[good]], d[good].astype(np.int64), term[child[ends[good]]]))
+            alive = (new.min(1) <= most) | (old.min(1) < most)
+            row, place, band, before, last = mine[alive], child[alive], new[alive], old[alive], c[alive]
+            begin, children = next_begin, next_children
+        if not found:
+            return []
+        word, distance, which = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((which, -self.counts[which], distance, word))
+        word, distance, which = word[order], distance[order], which[order]
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else word
+        return [(words[w], self.terms[t], d) for w, t, d in zip(word[first].tolist(), which[first].tolist(), distance[first].tolist(), strict=True)]
+
+
+#: Bytes of a dictionary's terms up to which it is sent to all tasks, and words that walk its graph at once.
+GRAPH_BYTES, WALKERS = 8 << 20, 256
+
+
+def _walked(sent: Broadcast, most: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graph = None
+        for batch in batches:
+            graph = graph or WordGraph(*sent.value)
+            words = batch["word"].tolist()
+            for at in range(0, len(words), WALKERS):
+                left = words[at : at + WALKERS]
+                for reach in range(1, most + 1):  # a nearer term settles a word, and a short walk costs little
+                    found = graph.nearest(left, reach)
+                    yield pd.DataFrame(found, columns=["word", "term", "distance"]).astype({"distance": "int32"})
+                    left = sorted(set(left) - {w for w, _, _ in found})
+
+    return run
+
+
+def closest_terms(words: DataFrame, dictionary: DataFrame, most: int = P.max_edit_distance, limit: int = GRAPH_BYTES) -> DataFrame:
     """(word, term, distance): each distinct word's nearest term of (term, count), the most frequent on ties, then the first.
 
-    Words of the dictionary are their own term. Words with no term in reach have no row.
+    Words of the dictionary are their own term. Words with no term in reach have no row. A dictionary of over `limit` bytes is joined.
     """
-    letters = lambda c: F.array_join(F.sort_array(F.split(c, "")), "")
-    known = words.select("word").where("word is not null and word <> ''").distinct().join(dictionary.select("term"), F.col("word") == F.col("term"), "left")
+    dictionary = stored(dictionary.select("term", F.col("count").cast("long").alias("count")).where("term <> ''"), "terms")
+    words = words.select("word").where("word is not null and word <> ''").distinct()
+    known = stored(words.join(dictionary.select("term"), F.col("word") == F.col("term"), "left"), "words")
     exact = known.where("term is not null").select("word", "term", F.lit(0).alias("distance"))
+    size = dictionary.agg(F.coalesce(F.sum(F.octet_length("term") + 8), F.lit(0))).first()[0]
+    if size > limit:
+        return _by_join(known, dictionary, most).unionByName(exact)
+    listed = dictionary.toArrow()
+    sent = words.sparkSession.sparkContext.broadcast((listed.column("term").to_pylist(), listed.column("count").to_numpy()))
+    # Few bytes but much work: a set number of partitions keeps adaptive execution from merging them into one.
+    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = known.where("term is null").select("word").repartition(max(n, 2 * words.sparkSession.sparkContext.defaultParallelism), "word")
+    return left.mapInPandas(_walked(sent, most), "word string, term string, distance int").unionByName(exact)
+
+
+def _by_join(known: DataFrame, dictionary: DataFrame, most: int) -> DataFrame:
+    """closest_terms() of words without a term of their own, by delete neighbourhoods."""
+    letters = lambda c: F.array_join(F.sort_array(F.split(c, "")), "")
     left = known.where("term is null").select("word", F.explode(deletions(F.col("word"), most, PREFIX)).alias("key"))
     right = dictionary.select("term", F.explode(deletions(F.col("term"), most, PREFIX)).alias("key"))
     # Few bytes but much work: a set number of partitions keeps adaptive execution from merging them into one.
-    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = left.repartition(n, "key").join(right.repartition(n, "key"), "key").where(F.abs(F.length("word") - F.length("term")) <= most).select("word", "term").distinct()
     met = pairs.withColumn("d", F.levenshtein("word", "term", 2 * most)).where("d >= 0").withColumns({"letters": letters("word"), "own": letters("term")})
     # A swap is two plain edits and keeps the letters, any other edit changes two of them at most: with an even number of
@@ -84,7 +219,7 @@ def closest_terms(words: DataFrame, dictionary: DataFrame, most: int = P.max_edi
     met = met.withColumn("swapped", swapped).where((F.col("d") <= most) | F.col("swapped")).select("word", "term", "d", "swapped")
     near = met.withColumn("distance", _distance(most)("word", "term", "d", "swapped")).where(F.col("distance") <= most).join(dictionary, "term")
     best = near.groupBy("word").agg(F.min(F.struct("distance", (-F.col("count")).alias("c"), "term")).alias("b"))
-    return best.select("word", "b.term", "b.distance").unionByName(exact)
+    return best.select("word", "b.term", "b.distance")
 
 
 def corrected(lines: DataFrame, dictionary: DataFrame, whitelist: list[str] | None = None, *keys: str) -> DataFrame:

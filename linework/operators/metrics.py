@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from linework.functions.text import edit_distance, split_words, word_distance, word_overlap
 
 
-def paired(predictions: DataFrame, references: DataFrame, *keys: str) -> DataFrame:
-    """Rows of both sides with equal keys: what only one side has goes."""
-    return predictions.join(references, list(keys), "inner")
+def paired(predictions: DataFrame, references: DataFrame, *keys: str, every: bool = False) -> DataFrame:
+    """Rows of both sides with equal keys: what only one side has goes. With every, predictions stay, without a reference."""
+    return predictions.join(references, list(keys), "left" if every else "inner")
 
 
 def with_errors(pairs: DataFrame, words: bool = True) -> DataFrame:
@@ -27,8 +27,8 @@ def with_errors(pairs: DataFrame, words: bool = True) -> DataFrame:
 
 
 def rate(edits: str, length: str, where: Column | None = None) -> Column:
-    """Edits of all pairs over all reference lengths, at least 1 each; 0 without pairs."""
-    e, n = F.col(edits), F.greatest(F.lit(1), F.col(length))
+    """Edits of all pairs over all reference lengths, at least 1 each; 0 without pairs. Rows without a length are no pairs."""
+    e, n = F.col(edits), F.when(F.col(length).isNotNull(), F.greatest(F.lit(1), F.col(length)))
     if where is not None:
         e, n = F.when(where, e), F.when(where, n)
     return F.coalesce(F.sum(e) / F.sum(n), F.lit(0.0))
@@ -45,7 +45,8 @@ def word_error_rate(pairs: DataFrame) -> DataFrame:
 def evaluate(pairs: DataFrame, seconds: float = 0.0, tagged: bool = True) -> DataFrame:
     """One row: rates of all pairs, of clean and of hard ones, and how many need review.
 
-    pairs has prediction, reference, tag and needs_review; other tags count in the total alone.
+    pairs has prediction, reference, tag and needs_review; other tags count in the total alone. Predictions of a null reference
+    are samples, as all counts are of predictions, but no rate has them.
     """
     clean, hard = (F.col("tag") == t if tagged else F.lit(False) for t in ("clean", "hard"))
     wer = rate("word_edits", "words")

@@ -63,6 +63,9 @@ def test_error_rates(spark):
     assert abs(r["cer"] - sum(edits) / sum(max(1, len(q)) for _, q, _, _ in rows)) < 1e-12
     assert (r["num_samples"], r["num_clean"], r["num_hard"], r["num_needs_review"], r["cer_hard"]) == (4, 2, 1, 1, 1.0)
     assert abs(r["wer"] - (0 + 1 + 1 + 1) / (1 + 1 + 2 + 1)) < 1e-12
+    alone = pairs.limit(1).withColumn("reference", F.lit(None).cast("string"))
+    more = M.evaluate(pairs.unionByName(alone)).first()
+    assert more["num_samples"] == r["num_samples"] + 1 and (more["cer"], more["wer"]) == (r["cer"], r["wer"])
     none = M.evaluate(pairs.where("false")).first()
     assert (none["cer"], none["wer"], none["accuracy"], none["num_samples"]) == (0.0, 0.0, 1.0, 0)
     assert one(spark, T.quick_cer(F.lit("ab"), F.lit(""))) == 1.0
@@ -175,10 +178,32 @@ def test_correction_finds_every_near_term(spark):
     terms = sorted({word(rng.randrange(3, 10)) for _ in range(80)})
     words = sorted({word(rng.randrange(3, 11)) for _ in range(80)})
     dictionary = spark.createDataFrame([(t, 1 + i % 5) for i, t in enumerate(terms)], "term string, count long")
-    found = {r["word"]: (r["term"], r["distance"]) for r in fuzzy.closest_terms(spark.createDataFrame([(w,) for w in words], "word string"), dictionary).collect()}
+    want = {}
     for w in words:
         near = sorted((fuzzy.alignment_distance(w, t, 2), -(1 + i % 5), t) for i, t in enumerate(terms))
-        assert found.get(w) == ((near[0][2], near[0][0]) if near[0][0] <= 2 else None)
+        if near[0][0] <= 2:
+            want[w] = (near[0][2], near[0][0])
+    asked = spark.createDataFrame([(w,) for w in [*words, words[0], None, ""]], "word string")
+    for limit in (fuzzy.GRAPH_BYTES, 0):  # walked, and joined
+        assert {r["word"]: (r["term"], r["distance"]) for r in fuzzy.closest_terms(asked, dictionary, limit=limit).collect()} == want
+    assert fuzzy.closest_terms(asked, dictionary.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_word_graph_walk_equals_all_pairs(seed):
+    rng = random.Random(seed)
+    word = lambda n: "".join(rng.choice("ab日🤖"[: 2 + seed]) for _ in range(n))
+    terms, words = sorted({word(rng.randrange(1, 9)) for _ in range(60)}), sorted({word(rng.randrange(1, 12)) for _ in range(150)})
+    counts = np.array([1 + i % 3 for i in range(len(terms))])
+    shuffled = rng.sample(range(len(terms)), len(terms))
+    graph = fuzzy.WordGraph([terms[i] for i in shuffled], counts[shuffled])
+    for most in (0, 1, 2, 3):
+        want = []
+        for w in words:
+            near = sorted((fuzzy.alignment_distance(w, t, most), -int(counts[i]), t) for i, t in enumerate(terms))
+            want += [(w, near[0][2], near[0][0])] if near[0][0] <= most else []
+        assert sorted(graph.nearest(words, most)) == sorted(want)
+    assert fuzzy.WordGraph([], np.zeros(0, np.int64)).nearest(words, 2) == [] and graph.nearest([], 2) == []
 
 
 def test_decoding(spark):
