@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linework.config import CONFIG
+from linework.operators.folds import folded
 
 D = CONFIG.detection
 
@@ -75,28 +73,6 @@ def upper_medians(rows: DataFrame, value: Column, *group: str, name: str = "medi
     return upto.where("_upto > _all div 2").groupBy(*group).agg(F.greatest(F.lit(floor), F.min("_v").cast("double")).alias(name))
 
 
-def _streamed(rows: DataFrame, fold: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str, columns: list[str], order: list[str]) -> DataFrame:
-    """fold over the rows of each partition, which has whole pages in order; the fold holds no page."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each() -> Iterator[tuple]:
-            for batch in batches:
-                yield from zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
-
-        found = fold(each())
-        while out := list(itertools.islice(found, ROWS)):
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=names, dtype=object).astype(kinds), preserve_index=False)
-
-    fields = [x.rsplit(" ", 1) for x in schema.split(", ")]
-    names, kinds = [n for n, _ in fields], {n: PANDAS.get(k, "object") for n, k in fields}
-    return rows.select(*columns).repartition(columns[0]).sortWithinPartitions(*order).mapInArrow(run, schema)
-
-
-#: Rows that a fold hands on at once, and the types they have then.
-ROWS = 10_000
-PANDAS = {"int": "Int32", "bigint": "Int64", "long": "Int64", "double": "float64"}
-
-
 def merged(boxes: DataFrame, overlap: float = D.merge_overlap, page: str = "page_id") -> DataFrame:
     """Boxes by y1 (then seq), each joined to the last merged one where they overlap vertically by more than a share of the lower height.
 
@@ -121,7 +97,7 @@ def merged(boxes: DataFrame, overlap: float = D.merge_overlap, page: str = "page
             yield (current, seq, *last)
 
     some = boxes.dropna(subset=["x1", "y1", "x2", "y2"])
-    return _streamed(some, fold, f"{page} {boxes.schema[page].dataType.simpleString()}, seq int, x1 int, y1 int, x2 int, y2 int", [page, "seq", "x1", "y1", "x2", "y2"], [page, "y1", "seq", "x1", "x2", "y2"])
+    return folded(some, fold, f"{page} {boxes.schema[page].dataType.simpleString()}, seq int, x1 int, y1 int, x2 int, y2 int", [page, "seq", "x1", "y1", "x2", "y2"], [page, "y1", "seq", "x1", "x2", "y2"])
 
 
 def grouped_lines(words: DataFrame, ratio: float = D.group_ratio, least: int = 1, page: str = "page_id") -> DataFrame:
@@ -157,7 +133,7 @@ def grouped_lines(words: DataFrame, ratio: float = D.group_ratio, least: int = 1
     schema = f"{page} {kinds[page]}, line int, place bigint, idx {kinds['idx']}, x1 int, y1 int, x2 int, y2 int"
     limits = height.select(F.col(page).alias("_page"), (F.col("_limit") * ratio).alias("_limit"))
     rows = some.withColumn("_mid", (F.col("y1") + F.col("y2")) / 2.0).join(limits, F.col(page).eqNullSafe(F.col("_page")))
-    found = _streamed(rows, fold, schema, columns, [page, "_mid", "idx", "x1", "y1", "x2", "y2"])
+    found = folded(rows, fold, schema, columns, [page, "_mid", "idx", "x1", "y1", "x2", "y2"])
     line = Window.partitionBy(page, "line")
     found = found.withColumns({"_top": F.min("y1").over(line), "_size": F.count("*").over(line), "word_order": F.row_number().over(line.orderBy("x1", "place")) - 1})
     found = found.withColumn("line_index", F.dense_rank().over(Window.partitionBy(page).orderBy("_top", "line")) - 1)

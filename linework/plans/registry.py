@@ -17,7 +17,7 @@ from linework.operators import boxes as B
 from linework.operators import confidence as K
 from linework.operators import datasets as S
 from linework.operators import decoding as G
-from linework.operators import fuzzy, losses, pixels
+from linework.operators import fuzzy, losses, pixels, schedules
 from linework.operators import metrics as M
 from linework.operators import signal as P
 from linework.plans import canonical as C
@@ -573,6 +573,12 @@ def line_groups(spark, sf):
     return B.grouped_lines(C.boxes(spark, sf).withColumnRenamed("seq", "idx"), D.strip_group_ratio)
 
 
+@query(f"WITH RECURSIVE {_grouped(D.strip_group_ratio)} SELECT * FROM placed QUALIFY count(*) OVER (PARTITION BY page_id, line_index) >= 2")
+def full_line_groups(spark, sf):
+    """Lines of two words and more; the others keep their number."""
+    return B.grouped_lines(C.boxes(spark, sf).withColumnRenamed("seq", "idx"), D.strip_group_ratio, least=2)
+
+
 @query(
     f"""WITH RECURSIVE {_grouped(D.group_ratio)} SELECT *, coalesce(sum(x2 - x1 + {D.strip_gap}) OVER (PARTITION BY page_id, line_index ORDER BY word_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS strip_x,
     ((max(y2 - y1) OVER (PARTITION BY page_id, line_index) - (y2 - y1)) // 2)::INT AS strip_y, max(y2 - y1) OVER (PARTITION BY page_id, line_index) AS strip_height FROM placed"""
@@ -675,6 +681,25 @@ def early_stop(spark, sf):
     return losses.best_so_far(log, "value", 3, "run").select("run", "epoch", "improved", "best", "misses", "stopped")
 
 
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS epoch, value, count(*) OVER (PARTITION BY user_id) AS total FROM events),
+    f AS (SELECT run, 0::BIGINT AS epoch, 'inf'::DOUBLE AS best, 0 AS bad, 0.001::DOUBLE AS rate FROM e WHERE epoch = 1 UNION ALL
+      SELECT run, epoch, best, CASE WHEN misses > 3 THEN 0 ELSE misses END, CASE WHEN misses > 3 AND rate - rate * 0.5::DOUBLE > 1e-8 THEN rate * 0.5::DOUBLE ELSE rate END
+      FROM (SELECT e.run, e.epoch, CASE WHEN value < best * (1 - 1e-4) THEN value ELSE best END AS best, CASE WHEN value < best * (1 - 1e-4) THEN 0 ELSE bad + 1 END AS misses, rate
+            FROM f JOIN e ON e.run = f.run AND e.epoch = f.epoch + 1))
+    SELECT run, epoch, best, bad, round(rate * 1e6, 6) AS millionths, round(1e6 * CASE WHEN epoch - 1 < 10 THEN (epoch - 1) / 10 ELSE greatest(0, (total - epoch + 1) / greatest(1, total - 10)) END, 6) AS warm_millionths
+    FROM f JOIN e USING (run, epoch)"""
+)
+def rate_schedules(spark, sf):
+    """Rates that fall on a plateau, as that of the region model's training, and that rise and fall evenly, as the line model's, over each user's events."""
+    from pyspark.sql import Window
+
+    log = C.table(spark, sf, "events").select(F.col("user_id").alias("run"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long").alias("epoch"), "value", F.count("*").over(Window.partitionBy("user_id")).alias("total"))
+    rates = schedules.plateau_rates(log, "value", 0.001, "run")
+    warm = log.select("run", "epoch", F.round(1e6 * schedules.warm_up(F.col("epoch") - 1, 10, F.col("total")), 6).alias("warm_millionths"))
+    return rates.select("run", "epoch", "best", "bad", F.round(F.col("rate") * 1e6, 6).alias("millionths")).join(warm, ["run", "epoch"])
+
+
 # Corrections and pixels
 
 
