@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+import numpy as np
 from pyspark.sql import functions as F
 
 from linework import scoring, sinks
@@ -263,3 +264,55 @@ def page_ink(spark, sf):
     whole = binary.select("page_id", F.lit(0).alias("seq"), F.lit(0).alias("x1"), F.lit(0).alias("y1"), F.col("width").alias("x2"), F.col("height").alias("y2"))
     rows = pixels.ink_profile(binary).groupBy("page_id").agg(F.sum("ink").cast("long").alias("ink"), F.count_if(F.col("ink") > 0).alias("inked_rows"), F.max("ink").cast("long").alias("most"))
     return pixels.tightened_rows(binary, whole).drop("seq").join(rows, "page_id").select("page_id", "ink", "x1", "y1", "x2", "y2", "inked_rows", "most")
+
+
+def _inked(spark, sf, schema, one):
+    """one(page_id, ink mask) of each raster page."""
+
+    def run(row):
+        yield row.page_id, *one(pixels.otsu(pixels._page(row)) == pixels.INK)
+
+    return pixels._mapped(C.raster_pages(spark, sf), schema, run)
+
+
+@query(
+    f"""WITH {LEVELS}, grid AS (SELECT px.doc_id, i // 64 AS y, i % 64 AS x, v <= level AS ink FROM px JOIN best USING (doc_id)),
+    near AS (SELECT *, y - max(CASE WHEN NOT ink THEN y END) OVER (PARTITION BY doc_id, x ORDER BY y) AS up, min(CASE WHEN NOT ink THEN y END) OVER (PARTITION BY doc_id, x ORDER BY y DESC) - y AS down FROM grid),
+    g AS (SELECT doc_id, y, x, ink, CASE WHEN ink THEN least(coalesce(up, down), coalesce(down, up)) ELSE 0 END AS g FROM near),
+    d AS (SELECT a.doc_id, a.y, a.x, min(b.g * b.g + (a.x - b.x) * (a.x - b.x)) AS d FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.y = b.y AND b.g IS NOT NULL WHERE a.ink GROUP BY ALL)
+    SELECT p.doc_id::VARCHAR AS page_id, count(d) AS ink, coalesce(max(d), 0)::BIGINT AS deepest, coalesce(sum(d), 0)::BIGINT AS squares FROM bytes p LEFT JOIN d ON p.doc_id = d.doc_id GROUP BY p.doc_id"""
+)
+def ink_depths(spark, sf):
+    """How deep each page's ink is: pixels with paper on their page, the largest squared distance to it, and the sum of all."""
+
+    def one(ink):
+        d = pixels.squared_distances(ink)[ink]
+        d = d[np.isfinite(d)]
+        return len(d), int(d.max(initial=0)), int(d.sum())
+
+    return _inked(spark, sf, "page_id string, ink long, deepest long, squares long", one)
+
+
+@query()
+def stroke_skeletons(spark, sf):
+    """Pixels of each page's middle lines, and its parts before and after thinning."""
+
+    def one(ink):
+        lines = pixels.thinned(ink)
+        return int(ink.sum()), int(lines.sum()), len(pixels.components(ink)[1]), len(pixels.components(lines)[1])
+
+    return _inked(spark, sf, "page_id string, ink long, skeleton long, parts int, skeleton_parts int", one)
+
+
+@query(
+    f"""WITH {LEVELS}, s AS (SELECT *, lag(x) OVER w = x - 1 AS before, lead(x) OVER w = x + 1 AS after FROM inked WINDOW w AS (PARTITION BY doc_id, y ORDER BY x)),
+    k AS (SELECT doc_id, count(*) AS ink, count(*) FILTER (x = 0 OR coalesce(before, false) OR (x < 63 AND coalesce(after, false))) AS kept FROM s GROUP BY doc_id)
+    SELECT b.doc_id::VARCHAR AS page_id, coalesce(ink, 0) AS ink, coalesce(kept, 0) AS reconnected FROM bytes b LEFT JOIN k ON k.doc_id = b.doc_id"""
+)
+def reconnected_ink(spark, sf):
+    """Ink before and after the least closing of the light parts."""
+
+    def one(ink):
+        return int(ink.sum()), int((pixels.reconnected(np.where(ink, pixels.INK, pixels.PAPER).astype(np.uint8)) == pixels.INK).sum())
+
+    return _inked(spark, sf, "page_id string, ink long, reconnected long", one)
