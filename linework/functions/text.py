@@ -45,8 +45,8 @@ def clean_noise(text: Column | str) -> Column:
     return strip(F.regexp_replace(out, " {2,}", " "))
 
 
-#: Lines up to this length are compared cell by cell in the JVM; longer ones go to the bit-parallel kernel, whose result is the same.
-SHORT_LINE = 400
+#: Lines up to this length are compared cell by cell in the JVM; longer ones go to the Arrow kernel, whose result is the same and whose time is linear.
+SHORT_LINE = 64
 
 
 def edit_distance(a: Column | str, b: Column | str) -> Column:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linework import sinks
+from linework.functions import distance as kernel
 from linework.functions import text as T
 from linework.operators import confidence as K
 from linework.operators import decoding as G
@@ -49,6 +50,24 @@ def test_edit_distance_bands(spark):
     assert [(r["a"], r["b"], r["d"]) for r in df.select("a", "b", T.edit_distance("a", "b").alias("d")).collect()] == [(a, b, distance(a, b)) for a, b in pairs]
 
 
+def test_edit_distance_where_bounds_meet_and_where_they_do_not(monkeypatch):
+    rng = random.Random(2)
+    for n in (0, 1, 30, 90, 300, 1200):
+        for signs in ("ab", "abcdefgh", "aé😀b"):
+            a = "".join(rng.choice(signs) for _ in range(n))
+            b = "".join(c if rng.random() > 0.1 else rng.choice(["", signs[0], c + signs[1]]) for c in a)
+            d = distance(a, b)
+            assert kernel.edits(a, b) == kernel.edits(b, a) == kernel.edits(list(a), list(b)) == d
+            longer, shorter = (a, b) if len(a) >= len(b) else (b, a)
+            assert not shorter or kernel.banded(longer, shorter, d) == kernel.banded(longer, shorter, d + 5) == d
+    # Of a line of 200,000 signs no step has as many bits.
+    line = "".join(rng.choice("the quick brown dog saw there") for _ in range(200_000))
+    wide, whole = [], kernel.banded
+    monkeypatch.setattr(kernel, "banded", lambda a, b, most: wide.append(len(a)) or whole(a, b, most))
+    assert kernel.edits(line.replace("e", "a"), line) == line.count("e")
+    assert max(wide, default=0) < 2000
+
+
 def test_word_distance_with_a_large_vocabulary(spark):
     a, b = [f"w{i}" for i in range(40)], [f"w{i}" for i in range(0, 40, 2)]
     df = spark.createDataFrame([(a, b), (["the", "cat", "sat"], ["the", "dog", "sat", "down"]), ([], ["x"])], "a array<string>, b array<string>")
