@@ -11,14 +11,17 @@ from linework.functions.text import WORD_START, clean_noise, keyword_hit, let, q
 R, P = CONFIG.recognition, CONFIG.postprocessing
 
 
-def postprocess(lines: DataFrame, corrected: Column | None = None, *doc: str) -> DataFrame:
-    """Lines whose raw text is not blank, numbered anew from 0 within their document, cleaned and flagged."""
+def postprocess(lines: DataFrame, corrected: Column | None = None, *doc: str, number: str | None = None) -> DataFrame:
+    """Lines whose raw text is not blank, numbered anew from 0 within their document, cleaned and flagged.
+
+    Lines without blank ones that have their number in a column, as `number` says, are neither moved nor sorted.
+    """
     doc = doc or ("doc_id",)
-    kept = lines.where(strip("raw_text") != "")
-    number = F.row_number().over(Window.partitionBy(*doc).orderBy("line_index")) - 1
+    kept = lines if number else lines.where(strip("raw_text") != "")
+    place = F.col(number) if number else F.row_number().over(Window.partitionBy(*doc).orderBy("line_index")) - 1
     return kept.withColumns(
-        {"line_index": number, "corrected_text": clean_noise("raw_text") if corrected is None else corrected, "is_low_confidence": F.col("confidence") < P.low_confidence}
-    )
+        {"line_index": place, "corrected_text": clean_noise("raw_text") if corrected is None else corrected, "is_low_confidence": F.col("confidence") < P.low_confidence}
+    ).drop(*[number] if number else [])
 
 
 def summaries(lines: DataFrame, *doc: str, text: bool = True) -> DataFrame:

@@ -84,7 +84,7 @@ def noise_clean(spark, sf):
 
 @query(f"WITH {POST} SELECT doc_id, line_index, corrected_text, confidence, is_low_confidence, tag FROM post")
 def confidence_flags(spark, sf):
-    return K.postprocess(C.lines(spark, sf)).select("doc_id", "line_index", "corrected_text", "confidence", "is_low_confidence", "tag")
+    return K.postprocess(C.written_lines(spark, sf), number="number").select("doc_id", "line_index", "corrected_text", "confidence", "is_low_confidence", "tag")
 
 
 @query(
@@ -92,12 +92,12 @@ def confidence_flags(spark, sf):
     md5(string_agg(corrected_text, chr(10) ORDER BY line_index)) AS text_md5 FROM post GROUP BY doc_id"""
 )
 def doc_summary(spark, sf):
-    return K.summaries(K.postprocess(C.lines(spark, sf))).select("doc_id", "lines", *rounded("mean_confidence"), "low_confidence_count", F.md5("full_text").alias("text_md5"))
+    return K.summaries(K.postprocess(C.written_lines(spark, sf), number="number")).select("doc_id", "lines", *rounded("mean_confidence"), "low_confidence_count", F.md5("full_text").alias("text_md5"))
 
 
 @query(f"WITH {POST} SELECT doc_id, line_index, corrected_text AS line_text, confidence FROM post WHERE contains(lower(corrected_text), 'tion the')")
 def keyword_search(spark, sf):
-    return K.keyword_search(K.postprocess(C.lines(spark, sf)), "  Tion The ")
+    return K.keyword_search(K.postprocess(C.written_lines(spark, sf), number="number"), "  Tion The ")
 
 
 @query(
@@ -115,7 +115,7 @@ def conversation_search(spark, sf):
 )
 def batch_summary(spark, sf):
     seconds = C.table(spark, sf, "documents").select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) / 64).alias("seconds"))
-    return sinks.batch_summary(K.postprocess(C.lines(spark, sf)), seconds, digits=6)
+    return sinks.batch_summary(K.postprocess(C.written_lines(spark, sf), number="number"), seconds, digits=6)
 
 
 @query(
@@ -123,7 +123,7 @@ def batch_summary(spark, sf):
     CASE WHEN is_low_confidence THEN 'red' ELSE 'black' END AS colour FROM post"""
 )
 def page_layout(spark, sf):
-    return sinks.page_layout(K.postprocess(C.lines(spark, sf))).drop("corrected_text")
+    return sinks.page_layout(K.postprocess(C.written_lines(spark, sf), number="number")).drop("corrected_text")
 
 
 @query(
@@ -134,7 +134,7 @@ def page_layout(spark, sf):
     needs_review AS hallucination_risk, corrected_text AS line_text FROM e"""
 )
 def confidence_csv(spark, sf):
-    rows = K.postprocess(C.lines(spark, sf))
+    rows = K.postprocess(C.written_lines(spark, sf), number="number")
     words = F.transform(T.split_words("corrected_text"), lambda w: F.struct(w.alias("word"), F.col("confidence").alias("confidence"), F.col("is_low_confidence").alias("low")))
     return sinks.confidence_rows(rows.withColumn("word_confidences", words))
 
@@ -728,7 +728,7 @@ def page_files(spark, sf):
 )
 def document_files(spark, sf):
     """A text file and a PDF file for each document, read back."""
-    folder, lines = shared_path(spark, "results"), K.postprocess(C.lines(spark, sf))
+    folder, lines = shared_path(spark, "results"), K.postprocess(C.written_lines(spark, sf), number="number")
     sinks.save_text_files(lines, f"{folder}/text")
     sinks.save_pdf_files(lines, f"{folder}/pdf")
     name = F.regexp_extract("path", r"([0-9]+)\.(txt|pdf)$", 1).cast("long").alias("doc_id")

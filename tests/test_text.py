@@ -300,3 +300,15 @@ def test_losses(spark):
     found = losses.best_so_far(log, "v", 3, "run").orderBy("epoch").collect()
     assert [r["improved"] for r in found] == [True, True, False, False, False, True]
     assert [r["stopped"] for r in found] == [False] * 4 + [True] * 2
+
+
+def test_numbered_lines_are_not_sorted(spark, tmp_path):
+    from linework.plans import canonical as C
+
+    spark.createDataFrame([(1, "a\n\n \nb"), (2, None), (3, "\nc")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = K.postprocess(C.written_lines(spark, str(tmp_path)), number="number")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    assert sorted(map(tuple, rows.select(*K.postprocess(C.lines(spark, str(tmp_path))).columns).collect())) == sorted(map(tuple, K.postprocess(C.lines(spark, str(tmp_path))).collect()))
+    assert rows.count() == 3
