@@ -115,7 +115,7 @@ def numbered(rows: DataFrame, key: str) -> DataFrame:
 def surviving_boxes(original: DataFrame, changed: DataFrame) -> DataFrame:
     """Boxes of changed copies; a copy that lost all of its own has the original's."""
     kept = changed.select("path", "copy").distinct()
-    lost = original.join(kept, ["path", "copy"], "left_anti")
+    lost = original.join(kept.hint("shuffle_hash"), ["path", "copy"], "left_anti")  # boxes are met as they come, not sorted
     return changed.unionByName(lost)
 
 
