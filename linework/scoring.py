@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linework.config import CONFIG
+from linework.operators.boxes import by_page
 
 
 class Scorer(Protocol):
@@ -58,7 +59,7 @@ def highest(regions: DataFrame) -> DataFrame:
     A map is stretched to its region, each pixel taking the score at its place.
     """
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    rows = regions.where((w > 0) & (h > 0)).withColumn("y", F.explode(F.sequence(F.col("y1"), F.col("y2") - 1)))
+    rows = by_page(regions.where((w > 0) & (h > 0))).withColumn("y", F.explode(F.sequence(F.col("y1"), F.col("y2") - 1)))
     line = F.get("scores", F.floor((F.col("y") - F.col("y1")) * F.size("scores") / h).cast("int"))
     rows = rows.withColumn("line", line).withColumn("x", F.explode(F.sequence(F.col("x1"), F.col("x2") - 1)))
     value = F.get("line", F.floor((F.col("x") - F.col("x1")) * F.size("line") / w).cast("int"))

@@ -398,3 +398,12 @@ def test_medians_by_counts(spark):
         values = sorted((i * 7919) % 10007 for i in range(200_000) if i % 3 == r["g"] and i % 11)
         assert r["median"] == values[len(values) // 2]
     assert B.upper_medians(spark.createDataFrame([(1, 0), (1, 0)], "g int, v int"), F.col("v"), "g").first()["median"] == 1.0
+
+
+def test_regions_move_before_they_become_pixels(spark):
+    """Pixels outnumber regions: no exchange lies between a region's pixels and their highest value."""
+    df = spark.createDataFrame([("p", i, i, 0, i + 9, 9) for i in range(20)], "page_id string, seq int, x1 int, y1 int, x2 int, y2 int")
+    for rows in (B.gaussian_map(df), scoring.highest(df.withColumn("scores", F.array(F.array(F.lit(0.5)))))):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate explode") < plan.index("Exchange hashpartitioning")
+        assert rows.count() == 28 * 9
