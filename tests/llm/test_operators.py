@@ -499,6 +499,23 @@ def test_chat_blocks_of_any_size_read_back_alike(spark, monkeypatch, block):
             read([(*r[:4], r[4].replace("</turn>", "", 1), r[5]) for r in own])
 
 
+def test_chat_examples_are_written_each_by_itself(spark, monkeypatch):
+    rows = [(1, t, ("user", "assistant")[t % 2], f"#{t}<") for t in range(9)] + [(2, 0, "user", "alone"), (None, 0, "assistant", "x"), (None, 1, "assistant", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = chat_format.written(df).collect()
+    whole = lambda conv, upto: "".join(chat_format.render(r, x) for c, t, r, x in rows if c == conv and t <= upto)
+    want = [(c, whole(c, t)) for c, t, r, _ in rows if r == "assistant"]
+    assert sorted(((r["conv_id"], r["text"]) for r in found if r["examples"]), key=str) == sorted(want, key=str)
+    assert sorted((r["conv_id"], r["text"]) for r in found if not r["examples"]) == [(1, whole(1, 8)), (2, whole(2, 0))]  # turns after the last reply
+    assert all(chat_format.unescape(r["text"][e["loss_start"] : e["loss_end"]]) == f"#{2 * e['example'] + 1}<" for r in found if r["conv_id"] == 1 for e in r["examples"])
+    names = ["conv_id", "target", "piece", "start", "text", "examples"]
+    own = sorted(((r["conv_id"], 0, 0, 0, r["text"], [e.asDict() for e in r["examples"]]) for r in found if r["conv_id"] == 1), key=lambda r: len(r[4]))
+    read = lambda rows: list(chat_format._read(iter([chat_format.pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])])))
+    assert sum(r["n_turns"] for b in read(own) for r in b.to_pylist()) == 9
+    with pytest.raises(ValueError, match="begin"):  # a context that differs in one example alone
+        read([own[0], (*own[1][:4], own[1][4].replace("#0", "#9", 1), own[1][5]), *own[2:]])
+
+
 def test_chat_long_conversation_and_missing_ids(spark):
     rows = [(1, t, ("user", "assistant")[t % 2], f"word {t}") for t in range(20_000)]
     df = spark.range(20_000).selectExpr("1L conv_id", "id turn", "if(id % 2 = 1, 'assistant', 'user') role", "concat('word ', id) text")
