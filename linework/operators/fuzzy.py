@@ -1,7 +1,8 @@
 """Dictionary correction: each word's nearest term within two edits, swaps of neighbours among them.
 
 A dictionary of a checked size becomes a word graph that every task walks with its words, many at once: a word and a path
-stay together as long as the bounded distance of what was read may still come down to two. A larger dictionary is joined by
+stay together as long as the bounded distance of what was read may still come down to two. Of two edits at most one lies in the
+word's first half or at most one in its second, so walks begin at either end and may spend one edit on that half. A larger dictionary is joined by
 delete neighbourhoods: a word and a near term share a string that each becomes by at most two deletions in its first
 characters. Words are corrected once each, however often they occur.
 """
@@ -12,6 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,116 +69,148 @@ def _distance(most: int):
     return run
 
 
-class WordGraph:
+class Beginnings:
     """Terms as a graph of their beginnings, level by level: nodes of one depth, each with its children's places in the next.
 
     A node knows the term that ends in it and the lengths of those that pass through it.
     """
 
-    def __init__(self, terms: list[str], counts: np.ndarray):
-        order = np.argsort(np.array(terms, object), kind="stable") if terms else np.zeros(0, np.int64)
-        self.terms, self.counts = [terms[i] for i in order.tolist()], counts[order]
-        sizes = np.array([len(t) for t in self.terms], np.int64)
-        deepest = int(sizes.max(initial=0))
-        signs = np.zeros((len(sizes), deepest), np.int32)
-        signs[np.arange(deepest) < sizes[:, None]] = np.frombuffer("".join(self.terms).encode("utf-32-le"), "<i4")
-        self.levels: list[tuple[np.ndarray, ...]] = []  # sign, first child, children, term, shortest, longest
-        node = np.zeros(len(sizes), np.int64)  # each term's node of the level before
-        parents = 1
-        for depth in range(deepest):
-            some = np.flatnonzero(sizes > depth)
-            new = np.concatenate([[True], (node[some][1:] != node[some][:-1]) | (signs[some, depth][1:] != signs[some, depth][:-1])])
-            mine = np.cumsum(new) - 1
-            first = some[new]
-            nodes = len(first)
-            children = np.bincount(node[first], minlength=parents)
+    def __init__(self, terms: pa.Array):
+        order = pc.sort_indices(terms).to_numpy().astype(np.int32)
+        ordered = terms.take(pa.array(order))
+        sizes = pc.utf8_length(ordered).to_numpy().astype(np.int32)
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+        signs = np.frombuffer("".join(ordered.to_pylist()).encode("utf-32-le"), "<i4")
+        self.deepest = int(sizes.max(initial=0))
+        self.levels: list[tuple[np.ndarray, ...]] = []  # sign, term, shortest, longest, first child, children
+        some, node, parents = np.arange(len(sizes)), np.zeros(len(sizes), np.int64), 1  # terms of this depth, and their nodes of the level before
+        for depth in range(self.deepest):
+            deep = sizes[some] > depth
+            some, node = some[deep], node[deep]
+            sign = signs[starts[some] + depth]
+            new = np.concatenate([[True], (node[1:] != node[:-1]) | (sign[1:] != sign[:-1])])
+            mine, first = np.cumsum(new) - 1, np.flatnonzero(new)
+            children = np.bincount(node[first], minlength=parents).astype(np.int32)
+            below = (np.cumsum(children, dtype=np.int32) - children, children)
             if self.levels:
-                self.levels[-1] = (*self.levels[-1], np.cumsum(children) - children, children)
+                self.levels[-1] = (*self.levels[-1], *below)
             else:
-                self.root = (np.cumsum(children) - children, children)
-            term = np.full(nodes, -1, np.int64)
+                self.root = below
+            term = np.full(len(first), -1, np.int32)
             ends = sizes[some] == depth + 1
-            term[mine[ends]] = some[ends]
-            shortest, longest = np.full(nodes, 1 << 30), np.zeros(nodes, np.int64)
-            np.minimum.at(shortest, mine, sizes[some])
-            np.maximum.at(longest, mine, sizes[some])
-            self.levels.append((signs[first, depth], term, shortest, longest))
-            node = np.full(len(sizes), -1, np.int64)
-            node[some] = mine
-            parents = nodes
+            term[mine[ends]] = order[some[ends]]
+            self.levels.append((sign[first], term, np.minimum.reduceat(sizes[some], first), np.maximum.reduceat(sizes[some], first)))
+            node, parents = mine, len(first)
         if self.levels:
-            self.levels[-1] = (*self.levels[-1], np.zeros(parents, np.int64), np.zeros(parents, np.int64))
+            self.levels[-1] = (*self.levels[-1], np.zeros(parents, np.int32), np.zeros(parents, np.int32))
 
-    def nearest(self, words: list[str], most: int) -> list[tuple[str, str, int]]:
-        """(word, term, distance) of words that have a term within `most` edits: the most frequent on ties, then the first."""
-        if not words or not self.levels:
-            return []
-        sizes = np.array([len(w) for w in words], np.int64)
+    def within(self, words: list[str], most: int, heads: np.ndarray, half: int) -> list[tuple[np.ndarray, ...]]:
+        """(word, distance, term) of pairs of at most `most` edits, all those among them that spend at most `half` on the word's first `heads` signs."""
+        sizes = np.array([len(w) for w in words], np.int32)
         far, width = most + 1, 2 * most + 1
-        signs = np.full((len(words), int(sizes.max()) + 2 * width), -1, np.int32)  # padded by `width` on both sides
-        signs[:, width:][np.arange(signs.shape[1] - width) < sizes[:, None]] = np.frombuffer("".join(words).encode("utf-32-le"), "<i4")
-        row = np.arange(len(words))
-        place = np.zeros(len(words), np.int64)
+        stride = int(sizes.max()) + 2 * width
+        padded = np.full((len(words), stride), -1, np.int32)  # by `width` on both sides
+        padded[:, width:][np.arange(stride - width) < sizes[:, None]] = np.frombuffer("".join(words).encode("utf-32-le"), "<i4")
+        signs = padded.ravel()
+        row = np.arange(len(words), dtype=np.int32)
+        place = np.zeros(len(words), np.int32)
         # The distances of what was read of the word, up to `most` signs fewer or more than the path has, from the path; and those one sign before.
-        band = np.tile(np.abs(np.arange(-most, most + 1)).astype(np.int8), (len(words), 1))
-        band[:, :most] = far
-        band[np.arange(-most, most + 1)[None, :] > sizes[:, None]] = far
+        reads = np.arange(-most, most + 1)[:, None]
+        band = np.where((reads < 0) | (reads > sizes), far, reads).astype(np.int8)
         before, last = np.full(band.shape, far, np.int8), np.full(len(words), -2, np.int32)
+        least, passed = np.zeros(len(words), np.int8), heads <= half  # whether the head is behind, and cost no more
         found: list[tuple[np.ndarray, ...]] = []
         begin, children = self.root
         for depth, (sign, term, shortest, longest, next_begin, next_children) in enumerate(self.levels, 1):
-            n = children[place]
+            n = children[place].astype(np.int64)
             until = np.cumsum(n)
             child = np.repeat(begin[place] - (until - n), n) + np.arange(int(until[-1]) if len(until) else 0)
             back = np.repeat(np.arange(len(row)), n)
-            reach = (shortest[child] <= sizes[row[back]] + most) & (longest[child] >= sizes[row[back]] - most)
-            child, back = child[reach], back[reach]
-            if not len(child):
+            mine = row[back]
+            m, c = sizes[mine], sign[child]
+            at = mine.astype(np.int64) * stride + (depth - most + width - 2)
+            window = [signs[at + k] for k in range(width + 1)]  # signs of the word: the last two that k of the band has read are k and k + 1
+            same = [x == c for x in window]
+            # A path that has spent all it may goes on by an equal sign alone, or a swap, which has one at its end's neighbour.
+            go = (shortest[child] <= m + most) & (longest[child] >= m - most) & ((least[back] < np.where(passed[back], most, half)) | np.logical_or.reduce(same))
+            if not go.any():
                 break
-            mine, c, m = row[back], sign[child], sizes[row[back]]
-            old, older, previous = band[back], before[back], last[back]
+            child, back, mine, m, c = child[go], back[go], mine[go], m[go], c[go]
+            window, same = [x[go] for x in window], [x[go] for x in same]
+            old, older, previous = band[:, back], before[:, back], last[back]
             new = np.full(old.shape, far, np.int8)
             for k in range(width):
-                i = depth + k - most  # signs of the word
-                here = np.minimum(i, m) + width - 1
-                x, y = signs[mine, np.maximum(here, 0)], signs[mine, np.maximum(here - 1, 0)]
-                d = old[:, k] + (x != c)
+                i = depth + k - most
+                if i <= 0:
+                    new[k] = min(depth, far) if i == 0 else far
+                    continue
+                d = old[k] + ~same[k + 1]
                 if k + 1 < width:
-                    d = np.minimum(d, old[:, k + 1] + 1)
+                    d = np.minimum(d, old[k + 1] + 1)
                 if k:
-                    d = np.minimum(d, new[:, k - 1] + 1)
-                d = np.where((x == previous) & (y == c), np.minimum(d, older[:, k] + 1), d)
-                new[:, k] = np.where((i >= 0) & (i <= m), np.minimum(d, far), far) if i > 0 else (min(depth, far) if i == 0 else far)
+                    d = np.minimum(d, new[k - 1] + 1)
+                swap = (window[k + 1] == previous) & same[k]
+                d = np.where(swap, np.minimum(d, older[k] + 1), d)
+                new[k] = np.where(i <= m, np.minimum(d, far), far)
             ends = np.flatnonzero((term[child] >= 0) & (np.abs(m - depth) <= most))
-            d = new[ends, m[ends] - depth + most]
+            d = new[m[ends] - depth + most, ends]
             good = d <= most
-            found.append((mine[ends[good]], d[good].astype(np.int64), term[child[ends[good]]]))
-            alive = (new.min(1) <= most) | (old.min(1) < most)
-            row, place, band, before, last = mine[alive], child[alive], new[alive], old[alive], c[alive]
+            found.append((mine[ends[good]].astype(np.int64), d[good].astype(np.int64), term[child[ends[good]]].astype(np.int64)))
+            least, least_old, head = new.min(0), least[back], heads[mine]
+            k = head - depth + most
+            behind = passed[back] | ((k >= 0) & (k < width) & (new[np.clip(k, 0, width - 1), np.arange(len(k))] <= half))
+            alive = ((least <= most) | (least_old < most)) & (behind | ((depth < head + half) & ((least <= half) | (least_old < half))))
+            row, place, band, before, last, passed = mine[alive], child[alive].astype(np.int32), new[:, alive], old[:, alive], c[alive], behind[alive]
+            least = least[alive]
             begin, children = next_begin, next_children
+        return found
+
+
+class WordGraph:
+    """Terms to be walked from either end."""
+
+    def __init__(self, terms: list[str] | pa.Array, counts: np.ndarray):
+        terms = pa.array(terms, pa.string())
+        order = pc.sort_indices(terms)
+        self.terms, self.counts = terms.take(order), counts[order.to_numpy()]
+        self.forward, self.backward = Beginnings(self.terms), Beginnings(pc.utf8_reverse(self.terms))
+
+    def nearest(self, words: list[str], most: int) -> list[tuple[str, str, int]]:
+        """(word, term, distance) of words that have a term within `most` edits: the most frequent on ties, then the first."""
+        words = [w for w in words if len(w) <= self.forward.deepest + most]
+        if not words or not len(self.terms):
+            return []
+        sizes = np.array([len(w) for w in words], np.int64)
+        # A swap of the halves' neighbours is an edit of each of them.
+        half = (most + 1) // 2
+        found = self.forward.within(words, most, sizes // 2, half)
+        if half < most:
+            found += self.backward.within([w[::-1] for w in words], most, sizes - sizes // 2, half)
         if not found:
             return []
         word, distance, which = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((which, -self.counts[which], distance, word))
         word, distance, which = word[order], distance[order], which[order]
         first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else word
-        return [(words[w], self.terms[t], d) for w, t, d in zip(word[first].tolist(), which[first].tolist(), distance[first].tolist(), strict=True)]
+        terms = self.terms.take(pa.array(which[first])).to_pylist()
+        return [(words[w], t, d) for w, t, d in zip(word[first].tolist(), terms, distance[first].tolist(), strict=True)]
 
 
 #: Bytes of a dictionary's terms up to which it is sent to all tasks, and words that walk its graph at once.
-GRAPH_BYTES, WALKERS = 8 << 20, 256
+GRAPH_BYTES, WALKERS = 32 << 20, 512
 
 
 def _walked(sent: Broadcast, most: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph = None
         for batch in batches:
-            graph = graph or WordGraph(*sent.value)
+            held = sent.value  # a worker's tasks share it, and the graph that the first of them makes
+            if "graph" not in held:
+                held["graph"] = WordGraph(held.pop("terms"), held.pop("counts"))
             words = batch["word"].tolist()
             for at in range(0, len(words), WALKERS):
                 left = words[at : at + WALKERS]
                 for reach in range(1, most + 1):  # a nearer term settles a word, and a short walk costs little
-                    found = graph.nearest(left, reach)
+                    found = held["graph"].nearest(left, reach)
                     yield pd.DataFrame(found, columns=["word", "term", "distance"]).astype({"distance": "int32"})
                     left = sorted(set(left) - {w for w, _, _ in found})
 
@@ -187,28 +222,38 @@ def closest_terms(words: DataFrame, dictionary: DataFrame, most: int = P.max_edi
 
     Words of the dictionary are their own term. Words with no term in reach have no row. A dictionary of over `limit` bytes is joined.
     """
-    dictionary = stored(dictionary.select("term", F.col("count").cast("long").alias("count")).where("term <> ''"), "terms")
+    dictionary, size = _measured(dictionary)
     words = words.select("word").where("word is not null and word <> ''").distinct()
     known = stored(words.join(dictionary.select("term"), F.col("word") == F.col("term"), "left"), "words")
     exact = known.where("term is not null").select("word", "term", F.lit(0).alias("distance"))
-    size = dictionary.agg(F.coalesce(F.sum(F.octet_length("term") + 8), F.lit(0))).first()[0]
-    if size > limit:
-        return _by_join(known, dictionary, most).unionByName(exact)
+    return _nearest(known.where("term is null").select("word"), dictionary, most, size <= limit).unionByName(exact)
+
+
+def _measured(dictionary: DataFrame) -> tuple[DataFrame, int]:
+    """The dictionary, stored, and the bytes of its terms."""
+    dictionary = stored(dictionary.select("term", F.col("count").cast("long").alias("count")).where("term <> ''"), "terms")
+    return dictionary, dictionary.agg(F.coalesce(F.sum(F.octet_length("term") + 8), F.lit(0))).first()[0]
+
+
+def _nearest(words: DataFrame, dictionary: DataFrame, most: int, walk: bool) -> DataFrame:
+    """closest_terms() of distinct words without a term of their own."""
+    if not walk:
+        return _by_join(words, dictionary, most)
     listed = dictionary.toArrow()
-    sent = words.sparkSession.sparkContext.broadcast((listed.column("term").to_pylist(), listed.column("count").to_numpy()))
+    sent = words.sparkSession.sparkContext.broadcast({"terms": listed.column("term").combine_chunks(), "counts": listed.column("count").to_numpy()})
     # Few bytes but much work: a set number of partitions keeps adaptive execution from merging them into one.
     n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = known.where("term is null").select("word").repartition(max(n, 2 * words.sparkSession.sparkContext.defaultParallelism), "word")
-    return left.mapInPandas(_walked(sent, most), "word string, term string, distance int").unionByName(exact)
+    left = words.repartition(max(n, 2 * words.sparkSession.sparkContext.defaultParallelism), "word")
+    return left.mapInPandas(_walked(sent, most), "word string, term string, distance int")
 
 
-def _by_join(known: DataFrame, dictionary: DataFrame, most: int) -> DataFrame:
+def _by_join(words: DataFrame, dictionary: DataFrame, most: int) -> DataFrame:
     """closest_terms() of words without a term of their own, by delete neighbourhoods."""
     letters = lambda c: F.array_join(F.sort_array(F.split(c, "")), "")
-    left = known.where("term is null").select("word", F.explode(deletions(F.col("word"), most, PREFIX)).alias("key"))
+    left = words.select("word", F.explode(deletions(F.col("word"), most, PREFIX)).alias("key"))
     right = dictionary.select("term", F.explode(deletions(F.col("term"), most, PREFIX)).alias("key"))
     # Few bytes but much work: a set number of partitions keeps adaptive execution from merging them into one.
-    n = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = left.repartition(n, "key").join(right.repartition(n, "key"), "key").where(F.abs(F.length("word") - F.length("term")) <= most).select("word", "term").distinct()
     met = pairs.withColumn("d", F.levenshtein("word", "term", 2 * most)).where("d >= 0").withColumns({"letters": letters("word"), "own": letters("term")})
     # A swap is two plain edits and keeps the letters, any other edit changes two of them at most: with an even number of

@@ -22,7 +22,7 @@ from linework.operators import metrics as M
 from linework.operators import signal as P
 from linework.plans import canonical as C
 from linework.sources.multipage import paged_files
-from linework.storage import shared_path
+from linework.storage import shared_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -764,7 +764,7 @@ NEAREST = f"""{C.LINES}, split AS (SELECT unnest({words_of('lower(raw_text)')})
 @query(f"WITH {NEAREST} SELECT w AS word, t AS term, distance FROM ranked WHERE k = 1 UNION ALL SELECT s, s, 0 FROM terms")
 def nearest_terms(spark, sf):
     """Every word of letters and its nearest term among those that occur five times or more."""
-    words = fuzzy.word_counts(C.lines(spark, sf))
+    words = stored(fuzzy.word_counts(C.lines(spark, sf)), "counts")
     return fuzzy.closest_terms(words.select(F.col("term").alias("word")), words.where("count >= 5"))
 
 

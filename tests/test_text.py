@@ -225,6 +225,22 @@ def test_word_graph_walk_equals_all_pairs(seed):
     assert fuzzy.WordGraph([], np.zeros(0, np.int64)).nearest(words, 2) == [] and graph.nearest([], 2) == []
 
 
+def test_walks_from_both_ends_spend_one_edit_on_a_half(monkeypatch):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(10))
+    words = [word() for _ in range(60)]
+    # Near terms by two edits, in one half or in both.
+    terms = sorted({w[:i] + "x" + w[i + 1 : j] + w[j + 1 :] for w in words for i in range(9) for j in range(i + 1, 10)} | {w[:4] + w[5] + w[4] + w[6:9] + "x" for w in words})
+    graph = fuzzy.WordGraph(terms, np.ones(len(terms), np.int64))
+    sizes = np.full(len(words), 10)
+    # Without heads every pair of two edits is walked from one end; with them either end finds those of its half.
+    whole = [x for x in graph.forward.within(words, 2, sizes, 2)]
+    halves = graph.forward.within(words, 2, sizes // 2, 1), graph.backward.within([w[::-1] for w in words], 2, sizes // 2, 1)
+    pairs = lambda found: {(w, t, d) for x in found for w, d, t in zip(*(c.tolist() for c in x), strict=True)}
+    assert pairs(whole) == pairs(halves[0]) | pairs(halves[1]) and pairs(whole) > pairs(halves[0]) and pairs(whole) > pairs(halves[1])
+    assert graph.nearest(["a" * 5_000_000], 2) == []  # longer than any term: not laid out
+
+
 def test_decoding(spark):
     table = {(): [0, 0, 0.0, 0.6, 0.4], (3,): [0, 0, 0.5, 0.25, 0.25], (4,): [0, 0, 0.9, 0.05, 0.05]}
 
