@@ -270,25 +270,39 @@ def _by_join(words: DataFrame, dictionary: DataFrame, most: int) -> DataFrame:
 def corrected(lines: DataFrame, dictionary: DataFrame, whitelist: list[str] | None = None, *keys: str) -> DataFrame:
     """lines with corrected_text: noise cleaned, words corrected, placeholders as they are.
 
-    Only the words' distinct cores are looked up; a line's words come back in order.
+    A line's words stay in its row. Only those that the dictionary lacks move, each once a line, and come back as a map of the line;
+    lines of equal keys are told apart by their text.
     """
     keys = keys or ("doc_id", "line_index")
     listed = F.array(*map(F.lit, [w.lower() for w in whitelist])) if whitelist else None
+    dictionary, size = _measured(dictionary)
     # Placeholders lie between the parts that the split leaves: part 0, mark 0, part 1, ...
     parts = F.split("raw_text", PLACEHOLDER, -1)
     marks = F.regexp_extract_all("raw_text", F.lit(PLACEHOLDER), 0)
-    plain = lambda p, i: F.transform(split_words(clean_noise(p)), lambda w: F.struct(w.alias("w"), F.lit(False).alias("mark")))
-    mark = lambda i: F.when(i < F.size(marks), F.array(F.struct(F.get(marks, i).alias("w"), F.lit(True).alias("mark")))).otherwise(F.array().cast("array<struct<w:string,mark:boolean>>"))
-    items = F.flatten(F.transform(parts, lambda p, i: F.concat(plain(p, i), mark(i))))
-    rows = lines.select(*keys, F.posexplode(items).alias("pos", "item")).select(*keys, "pos", F.col("item.w").alias("w"), F.col("item.mark").alias("mark"))
-    core = F.regexp_extract("w", WORD_PARTS, 2)
-    ask = ~F.col("mark") & (core != "") & correctable(core, listed)
-    rows = rows.withColumns({"core": core, "key": F.when(ask, F.lower(core))})
-    found = closest_terms(rows.where("key is not null").select(F.col("key").alias("word")), dictionary)
-    met = rows.join(found.select(F.col("word").alias("key"), "term"), "key", "left")
-    word = F.when(F.col("key").isNull(), F.col("w")).otherwise(F.concat(F.regexp_extract("w", WORD_PARTS, 1), F.coalesce("term", "core"), F.regexp_extract("w", WORD_PARTS, 3)))
-    text = met.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", word.alias("word")))), lambda x: x["word"]), " ").alias("corrected_text"))
-    return lines.join(text, list(keys), "left").withColumn("corrected_text", F.coalesce("corrected_text", F.lit("")))
+    plain = lambda p: F.transform(split_words(clean_noise(p)), lambda w: F.struct(w.alias("w"), F.regexp_extract(w, WORD_PARTS, 2).alias("core")))
+    mark = lambda i: F.when(i < F.size(marks), F.array(F.struct(F.get(marks, i).alias("w"), F.lit("").alias("core")))).otherwise(F.array().cast("array<struct<w:string,core:string>>"))
+    items = F.flatten(F.transform(parts, lambda p, i: F.concat(plain(p), mark(i))))
+    asked = lambda x: (x["core"] != "") & correctable(x["core"], listed)
+    named = [F.col(k).alias(f"_{n}") for n, k in enumerate(keys)]
+    line = [f"_{n}" for n in range(len(keys))]
+    words = lines.select(*named, F.xxhash64("raw_text").alias("_text"), F.explode(F.array_distinct(F.transform(F.filter(items, asked), lambda x: F.lower(x["core"])))).alias("word"))
+    walk, terms = size <= GRAPH_BYTES, dictionary.select("term")
+    unknown = stored(words.join(F.broadcast(terms) if walk else terms, F.col("word") == F.col("term"), "left_anti"), "unknown")
+    found = _nearest(stored(unknown.select("word").distinct(), "words"), dictionary, P.max_edit_distance, walk)
+    given = unknown.join(found, "word", "left").groupBy(*line, "_text").agg(F.map_from_entries(F.collect_set(F.struct("word", "term"))).alias("_given"))
+    same = F.col("_key") == F.col("_text")
+    for n, k in enumerate(keys):
+        same = same & lines[k].eqNullSafe(F.col(f"_{n}"))
+    # The maps are the small side, and lines are not sorted for them.
+    met = lines.withColumn("_key", F.xxhash64("raw_text")).join(given.hint("shuffle_hash"), same, "left")
+
+    def word(x: Column) -> Column:
+        key = F.lower(x["core"])
+        new = F.when(F.coalesce(F.map_contains_key("_given", key), F.lit(False)), F.coalesce(F.element_at("_given", key), x["core"])).otherwise(key)
+        whole = F.concat(F.regexp_extract(x["w"], WORD_PARTS, 1), new, F.regexp_extract(x["w"], WORD_PARTS, 3))
+        return F.when(asked(x), F.when(new == x["core"], x["w"]).otherwise(whole)).otherwise(x["w"])
+
+    return met.select(*[lines[c] for c in lines.columns], F.coalesce(F.array_join(F.transform(items, word), " "), F.lit("")).alias("corrected_text"))
 
 
 def word_counts(lines: DataFrame, text: str = "raw_text") -> DataFrame:

@@ -191,6 +191,21 @@ def test_correction(spark):
     assert kept[0].startswith("helo,")
 
 
+def test_correction_of_lines_of_equal_and_no_keys(spark):
+    dictionary = spark.createDataFrame([("hello", 9), ("world", 5)], "term string, count long")
+    rows = spark.createDataFrame([("d", 0, "helo hello"), ("d", 0, "wrold xyzzy helo helo,"), ("d", 0, "helo hello"), (None, 0, "wrold"), (None, None, None), ("e", 1, "heLLo! [illegible] WRold qqqQ")], "doc_id string, line_index int, raw_text string")
+    want = ["", "hello hello", "hello hello", "hello! [illegible] WRold qqqQ", "world", "world xyzzy hello hello,"]
+    assert sorted(r["corrected_text"] for r in fuzzy.corrected(rows, dictionary).collect()) == want
+
+
+def test_correction_moves_unknown_words_alone(spark):
+    dictionary = spark.createDataFrame([("hello", 9)], "term string, count long")
+    rows = spark.range(0, 4000, 1, 4).select(F.lit("d").alias("doc_id"), F.col("id").cast("int").alias("line_index"), F.when(F.col("id") == 7, "helo hello").otherwise(F.repeat(F.lit("hello "), 50)).alias("raw_text"))
+    plan = fuzzy.corrected(rows, dictionary)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan  # no row for each word beside the stored unknown ones
+    assert fuzzy.corrected(rows, dictionary).where("corrected_text = 'hello hello'").count() == 1
+
+
 def test_correction_finds_every_near_term(spark):
     rng = random.Random(4)
     word = lambda n: "".join(rng.choice("abc") for _ in range(n))
