@@ -718,7 +718,7 @@ def page_files(spark, sf):
     part = F.concat(F.encode(F.format_string("P5\n%d %d\n255\n", "width", "height"), "UTF-8"), "pixels")
     files = pages.withColumn("part", part).groupBy(F.expr("number div 64").alias("file")).agg(F.expr("listagg(part) within group (order by number)").alias("content"))
     save_files(files.select(F.format_string("f%012d.pgm", "file").alias("name"), "content"), folder)
-    found = paged_files(spark, folder, mode="FAILFAST", split_bytes=1 << 17)
+    found = paged_files(spark, folder, mode="FAILFAST", split_bytes=1 << 17, task_bytes=1 << 24)
     return found.select(F.regexp_extract("page_id", r"([^/]*) \[page", 1).alias("file"), "page_no", "height", "width", "channels", F.sha2("pixels", 256).alias("pixels_sha256"))
 
 

@@ -4,7 +4,8 @@
     spark.read.format("linework_pages").option("split_bytes", 64 << 20).load(folder)
 
 A file is planned as ranges of bytes. A page belongs to the range that it begins in, so a file of any size splits over tasks; a
-task hops from header to header to its first page, reading no pixels on its way.
+task hops from header to header to its first page, reading no pixels on its way. Many small files are no task each: with
+task_bytes a task takes ranges one after the other up to so many bytes.
 """
 
 from __future__ import annotations
@@ -37,33 +38,50 @@ class PageRange(InputPartition):
     stop: int
 
 
+@dataclass
+class PageRanges(InputPartition):
+    ranges: list[PageRange]
+
+
 class PageReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.strict = options["path"], options.get("mode", "PERMISSIVE").upper() == "FAILFAST"
         self.split, self.pixels = int(options.get("split_bytes", SPLIT_BYTES)), options.get("pixels", "true").lower() == "true"
+        self.task = int(options.get("task_bytes", 0))
 
-    def partitions(self) -> list[PageRange]:
+    def partitions(self) -> list[PageRanges]:
         files, path = filesystem(self.path)
         info = files.get_file_info(path)
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(self.path)
         found = [info] if info.type == fs.FileType.File else files.get_file_info(fs.FileSelector(path))
         found = sorted((x for x in found if x.type == fs.FileType.File and not x.base_name.startswith(("_", "."))), key=lambda x: x.path)
-        return [PageRange(x.path, at, min(at + self.split, x.size)) for x in found for at in range(0, x.size, self.split)]
-
-    def read(self, partition: PageRange | None) -> Iterator[pa.RecordBatch]:
+        ranges = [PageRange(x.path, at, min(at + self.split, x.size)) for x in found for at in range(0, x.size, self.split)]
+        tasks: list[PageRanges] = []
+        room = 0
+        for part in ranges:
+            size = part.stop - part.start
+            if not tasks or size > room:
+                tasks.append(PageRanges([]))
+                room = max(self.task, size)
+            tasks[-1].ranges.append(part)
+            room -= size
+        return tasks
+
+    def read(self, partition: PageRanges | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # nothing was planned
             return
         files, _ = filesystem(self.path)
         rows: list[tuple] = []
         size = 0
-        with files.open_input_file(partition.path) as f:
-            for row in self._pages(f, partition):
-                rows.append(row)
-                size += len(row[-1] or b"")
-                if size > BATCH_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], _NAMES)
-                    rows, size = [], 0
+        for part in partition.ranges:
+            with files.open_input_file(part.path) as f:
+                for row in self._pages(f, part):
+                    rows.append(row)
+                    size += len(row[-1] or b"")
+                    if size > BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], _NAMES)
+                        rows, size = [], 0
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], _NAMES)
 
@@ -102,7 +120,7 @@ class PageReader(DataSourceReader):
 
 
 class PageSource(DataSource):
-    """Options: path; split_bytes; mode (FAILFAST raises at a page that can't be read, else it is a row of null pixels); pixels (false: sizes alone)."""
+    """Options: path; split_bytes; task_bytes (0: a task for each range); mode (FAILFAST raises at a page that can't be read, else it is a row of null pixels); pixels (false: sizes alone)."""
 
     @classmethod
     def name(cls) -> str:

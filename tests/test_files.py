@@ -40,6 +40,18 @@ def test_every_page_once_at_any_split(spark, tmp_path, pages, split):
     assert sizes.count() == 60 and sizes.where("pixels is not null").count() == 0
 
 
+def test_a_task_takes_ranges_of_many_small_files(spark, tmp_path, pages):
+    for i in range(30):
+        (tmp_path / f"{i:02d}.pgm").write_bytes(b"".join(map(pgm, pages[i : i + 2])))
+    size = sum(p.stat().st_size for p in tmp_path.glob("*.pgm"))
+    parts = M.PageReader({"path": str(tmp_path), "split_bytes": "97", "task_bytes": "5000"}).partitions()
+    bytes_of = [sum(r.stop - r.start for r in p.ranges) for p in parts]
+    assert sum(bytes_of) == size and max(bytes_of) <= 5000 and len(parts) <= size // (5000 - 97) + 1
+    rows = M.paged_files(spark, str(tmp_path), split_bytes=97, task_bytes=5000, mode="FAILFAST")
+    assert rows.rdd.getNumPartitions() == len(parts)
+    assert sorted((r["page_id"], bytes(r["pixels"])) for r in rows.collect()) == [(f"{tmp_path}/{i:02d}.pgm [page {k + 1}]", pages[i + k].tobytes()) for i in range(30) for k in range(2)]
+
+
 def test_colour_and_deep_pages_as_the_decoder_has_them(spark, tmp_path):
     rng = np.random.default_rng(4)
     colour, deep = rng.integers(0, 256, (5, 12)), rng.integers(0, 1001, (6, 4))
