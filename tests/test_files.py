@@ -95,6 +95,27 @@ def test_a_file_for_each_row(spark, tmp_path):
     assert names_in(out) == ["_SUCCESS"]
 
 
+def test_files_are_made_and_written_by_small_batches(spark, tmp_path):
+    before = {k: spark.conf.get(k) for k in filesink.BATCHES}
+
+    @F.pandas_udf("binary")
+    def sized(ids):
+        return ids.map(lambda i: str(len(ids)).encode())
+
+    filesink.save_files(spark.range(0, 3000, 1, 1).select(F.col("id").cast("string").alias("name"), sized("id").alias("content")), f"{tmp_path}/out")
+    most = filesink.BATCHES["spark.sql.execution.arrow.maxRecordsPerBatch"]
+    assert max(int((tmp_path / "out" / str(i)).read_bytes()) for i in range(3000)) <= most
+    wide = spark.range(0, 64, 1, 1).select(F.col("id").cast("string").alias("name"), F.repeat(F.lit("x"), 1 << 20).alias("text"))
+
+    @F.pandas_udf("binary")
+    def together(texts):
+        return texts.map(lambda t: str(len(texts)).encode())
+
+    filesink.save_files(wide.select("name", together("text").alias("content")), f"{tmp_path}/wide")
+    assert max(int((tmp_path / "wide" / str(i)).read_bytes()) for i in range(64)) <= 8
+    assert {k: spark.conf.get(k) for k in filesink.BATCHES} == before
+
+
 @pytest.mark.parametrize("bad", ["F.raise_error(F.lit('broken'))", "F.lit('../out')", "F.lit('')"])
 def test_a_failed_write_leaves_no_file(spark, tmp_path, bad):
     out = f"{tmp_path}/out"
