@@ -28,6 +28,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 D, R = CONFIG.detection, CONFIG.recognition
+#: Bytes of documents' text in a part whose rows repeat that text.
+PART_BYTES = 640 << 10
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -134,7 +136,9 @@ def page_layout(spark, sf):
     needs_review AS hallucination_risk, corrected_text AS line_text FROM e"""
 )
 def confidence_csv(spark, sf):
-    rows = K.postprocess(C.written_lines(spark, sf), number="number")
+    """A word's row has its whole line, so what is written repeats each line by its words. Parts of little text keep a column's distinct
+    lines under the megabyte up to which a Parquet file stores each once, in its dictionary."""
+    rows = K.postprocess(C.written_lines(spark, sf, PART_BYTES), number="number")
     words = F.transform(T.split_words("corrected_text"), lambda w: F.struct(w.alias("word"), F.col("confidence").alias("confidence"), F.col("is_low_confidence").alias("low")))
     return sinks.confidence_rows(rows.withColumn("word_confidences", words))
 

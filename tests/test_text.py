@@ -343,3 +343,17 @@ def test_numbered_lines_are_not_sorted(spark, tmp_path):
     assert "Window" not in plan
     assert sorted(map(tuple, rows.select(*K.postprocess(C.lines(spark, str(tmp_path))).columns).collect())) == sorted(map(tuple, K.postprocess(C.lines(spark, str(tmp_path))).collect()))
     assert rows.count() == 3
+
+
+def test_confidence_csv_deals_text_thinly(spark, tmp_path):
+    """A part's distinct lines stay under what a Parquet file keeps in a dictionary, so that a line is written once and not by its words."""
+    from linework.plans import registry
+
+    n = 1500 * spark.sparkContext.defaultParallelism
+    word = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: F.sha2(F.concat_ws("-", "id", k.cast("string")), 512))
+    spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", word).alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(1).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    rows = registry.QUERIES["confidence_csv"](spark, str(tmp_path))
+    parts = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("rows"), F.sum(F.when(F.col("word_id") == "1", F.octet_length("line_text"))).alias("bytes")).collect()
+    assert sum(x["rows"] for x in parts) == 8 * n
+    assert max(x["bytes"] for x in parts) < 1 << 20
