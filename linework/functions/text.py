@@ -10,6 +10,11 @@ from linework.functions.distance import text_edits, word_edits
 
 #: White space, quote marks and signs that patterns name.
 WHITE = r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: One sign of WHITE, or one of WHITE and the dot, for Java's patterns: signs of one byte are told by a table of bits, others are tried one by one.
+_LOW, _HIGH = r"\t\n\x0B\f\r\x1C\x1D\x1E\x1F \x85\xA0", r"[[^\x00-\xFF]&&[\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]]"
+BLANK, BLANK_OR_DOT = f"[{_LOW}{_HIGH}]", f"[{_LOW}.{_HIGH}]"
+#: WHITE's signs themselves.
+BLANKS = "".join(chr(c) for c in (*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 NOISE_PREFIX = rf'^["#\x{{201C}}\x{{201D}}\x{{2018}}\x{{2019}}{WHITE}]*(?:Ell[{WHITE}]+)?'
 NOISE_SUFFIX = rf"[{WHITE}.]{{2,}}$"
 PLACEHOLDER = r"\[illegible[^\]]*\]"
@@ -30,19 +35,20 @@ def let(value: Column, use) -> Column:
 
 def strip(text: Column | str) -> Column:
     """text without white space at either end, of all of Unicode."""
-    return F.regexp_replace(col(text), rf"^[{WHITE}]+|[{WHITE}]+\z", "")
+    return F.btrim(col(text), F.lit(BLANKS))
 
 
 def split_words(text: Column | str) -> Column:
     """Words between white space; none for blank text."""
-    return F.filter(F.split(col(text), rf"[{WHITE}]+"), lambda x: x != "")
+    return F.filter(F.split(col(text), rf"{BLANK}+"), lambda x: x != "")
 
 
 def clean_noise(text: Column | str) -> Column:
     """text without leading marks, trailing runs of dots and repeated spaces. One trailing dot stays."""
     out = F.regexp_replace(col(text), NOISE_PREFIX, "")
-    out = F.regexp_replace(out, NOISE_SUFFIX.replace("$", r"\z"), "")
-    return strip(F.regexp_replace(out, " {2,}", " "))
+    # The last two signs tell whether the text ends in such a run, so that no pattern walks it.
+    out = F.when(F.substring(out, -2, 2).rlike(rf"^{BLANK_OR_DOT}{{2}}\z"), F.rtrim(out, F.lit(BLANKS + "."))).otherwise(out)
+    return strip(F.regexp_replace(out, "  +", " "))
 
 
 #: Lines up to this length are compared cell by cell in the JVM; longer ones go to the Arrow kernel, whose result is the same and whose time is linear.

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linework.config import CONFIG
-from linework.functions.text import PLACEHOLDER, WHITE, WORD_PARTS, clean_noise, correctable, split_words
+from linework.functions.text import BLANK, PLACEHOLDER, WORD_PARTS, clean_noise, split_words
 from linework.storage import stored
 
 P = CONFIG.postprocessing
@@ -282,7 +282,9 @@ def corrected(lines: DataFrame, dictionary: DataFrame, whitelist: list[str] | No
     plain = lambda p: F.transform(split_words(clean_noise(p)), lambda w: F.struct(w.alias("w"), F.regexp_extract(w, WORD_PARTS, 2).alias("core")))
     mark = lambda i: F.when(i < F.size(marks), F.array(F.struct(F.get(marks, i).alias("w"), F.lit("").alias("core")))).otherwise(F.array().cast("array<struct<w:string,core:string>>"))
     items = F.flatten(F.transform(parts, lambda p, i: F.concat(plain(p), mark(i))))
-    asked = lambda x: (x["core"] != "") & correctable(x["core"], listed)
+    # A core is of ASCII's letters and apostrophes, so its first byte tells whether it is capitalised.
+    plainly = lambda c: (F.octet_length(c) >= 3) & ~((c >= "A") & (c < "["))
+    asked = lambda x: plainly(x["core"]) if listed is None else plainly(x["core"]) & ~F.array_contains(listed, F.lower(x["core"]))
     named = [F.col(k).alias(f"_{n}") for n, k in enumerate(keys)]
     line = [f"_{n}" for n in range(len(keys))]
     words = lines.select(*named, F.xxhash64("raw_text").alias("_text"), F.explode(F.array_distinct(F.transform(F.filter(items, asked), lambda x: F.lower(x["core"])))).alias("word"))
@@ -307,5 +309,5 @@ def corrected(lines: DataFrame, dictionary: DataFrame, whitelist: list[str] | No
 
 def word_counts(lines: DataFrame, text: str = "raw_text") -> DataFrame:
     """(term, count) of the lower-case words of letters in lines: a dictionary of one's own."""
-    words = lines.select(F.explode(F.split(F.lower(text), rf"[{WHITE}]+")).alias("term"))
+    words = lines.select(F.explode(F.split(F.lower(text), rf"{BLANK}+")).alias("term"))
     return words.where(F.col("term").rlike("^[a-z']+$")).groupBy("term").agg(F.count("*").alias("count"))

@@ -357,3 +357,21 @@ def test_confidence_csv_deals_text_thinly(spark, tmp_path):
     parts = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("rows"), F.sum(F.when(F.col("word_id") == "1", F.octet_length("line_text"))).alias("bytes")).collect()
     assert sum(x["rows"] for x in parts) == 8 * n
     assert max(x["bytes"] for x in parts) < 1 << 20
+
+
+def test_blanks_are_walked_once(spark):
+    """Cleaning takes time by the length of a text, also where it has a long run of blanks, and finds them as the SQL's patterns do."""
+    import time
+
+    n = 300_000
+    rows = spark.range(1).select(F.concat(F.lit("a"), F.repeat(F.lit(" "), n), F.lit("b"), F.repeat(F.lit("."), n), F.lit("c..")).alias("t"))
+    began = time.time()
+    assert rows.select(F.length(T.strip("t")).alias("s"), F.length(T.clean_noise("t")).alias("c"), F.size(T.split_words("t")).alias("w")).first()[:] == (2 * n + 5, n + 4, 2)
+    assert time.time() - began < 20
+    signs = ["\t", "\x0b", "\x1b", "\x1c", " ", ".", "\x84", "\x85", "\xa0", "\u1680", "\u200a", "\u200b", "\u3000", "\u201c", "a", "Ell", "\U0001f600"]
+    draw = random.Random(3)
+    texts = spark.createDataFrame([("".join(draw.choices(signs, k=draw.randint(0, 9))),) for _ in range(4000)], "t string")
+    plain = lambda c: F.regexp_replace(c, rf"^[{T.WHITE}]+|[{T.WHITE}]+\z", "")
+    cleaned = plain(F.regexp_replace(F.regexp_replace(F.regexp_replace("t", T.NOISE_PREFIX, ""), rf"[{T.WHITE}.]{{2,}}\z", ""), " {2,}", " "))
+    words = F.filter(F.split("t", f"[{T.WHITE}]+"), lambda w: w != "")
+    assert texts.where((plain("t") != T.strip("t")) | (cleaned != T.clean_noise("t")) | (words != T.split_words("t"))).count() == 0
