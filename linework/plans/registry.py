@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from linework import sinks
 from linework.config import CONFIG
-from linework.filesink import save_files
+from linework.filesink import listed_files, save_files
 from linework.functions import text as T
 from linework.operators import boxes as B
 from linework.operators import confidence as K
@@ -733,13 +733,13 @@ def page_files(spark, sf):
 def document_files(spark, sf):
     """A text file and a PDF file for each document, read back."""
     folder, lines = shared_path(spark, "results"), K.postprocess(C.written_lines(spark, sf), number="number")
-    sinks.save_text_files(lines, f"{folder}/text")
-    sinks.save_pdf_files(lines, f"{folder}/pdf")
-    name = F.regexp_extract("path", r"([0-9]+)\.(txt|pdf)$", 1).cast("long").alias("doc_id")
-    texts = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(f"{folder}/text").select(name, F.md5("content").alias("text_md5"), F.col("length").alias("text_bytes"))
+    sinks.save_text_files(lines, f"{folder}/text", lists=f"{folder}/text-lists")
+    sinks.save_pdf_files(lines, f"{folder}/pdf", lists=f"{folder}/pdf-lists")
+    name = F.regexp_extract("name", r"([0-9]+)\.(txt|pdf)$", 1).cast("long").alias("doc_id")
+    texts = listed_files(spark, f"{folder}/text", f"{folder}/text-lists").select(name, F.md5("content").alias("text_md5"), F.octet_length("content").cast("long").alias("text_bytes"))
     raw = F.decode("content", "ISO-8859-1")
     counts = [F.regexp_count(raw, F.lit(x)).cast("long").alias(c) for c, x in (("pdf_pages", "/Type /Page /"), ("pdf_lines", r"(?m)^(0 0 0|1 0 0) rg BT"), ("pdf_red", r"(?m)^1 0 0 rg BT"))]
-    pdfs = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(f"{folder}/pdf").select(name, *counts)
+    pdfs = listed_files(spark, f"{folder}/pdf", f"{folder}/pdf-lists").select(name, *counts)
     return texts.join(pdfs, "doc_id")
 
 

@@ -34,14 +34,14 @@ def document_name(doc: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(doc.cast("string"), "([^/]*)$", 1), r"\.[A-Za-z0-9]+(?=( \[page \d+\])?$)", "")
 
 
-def save_text_files(lines: DataFrame, path: str, doc: str = "doc_id") -> None:
+def save_text_files(lines: DataFrame, path: str, doc: str = "doc_id", lists: str | None = None) -> None:
     """A text file for each document: its lines joined by line breaks, with none at the end."""
-    save_files(full_texts(lines, doc).select(F.concat(document_name(F.col(doc)), F.lit(".txt")).alias("name"), F.encode("value", "UTF-8").alias("content")), path)
+    save_files(full_texts(lines, doc).select(F.concat(document_name(F.col(doc)), F.lit(".txt")).alias("name"), F.encode("value", "UTF-8").alias("content")), path, lists=lists)
 
 
-def save_pdf_files(lines: DataFrame, path: str, doc: str = "doc_id") -> None:
+def save_pdf_files(lines: DataFrame, path: str, doc: str = "doc_id", lists: str | None = None) -> None:
     """A PDF file for each document."""
-    save_files(pdf_documents(lines, doc).select(F.concat(document_name(F.col(doc)), F.lit(".pdf")).alias("name"), F.col("pdf").alias("content")), path)
+    save_files(pdf_documents(lines, doc).select(F.concat(document_name(F.col(doc)), F.lit(".pdf")).alias("name"), F.col("pdf").alias("content")), path, lists=lists)
 
 
 def save_stages(stages: dict[str, DataFrame], folder: str | None) -> None:

@@ -116,6 +116,33 @@ def test_files_are_made_and_written_by_small_batches(spark, tmp_path):
     assert {k: spark.conf.get(k) for k in filesink.BATCHES} == before
 
 
+def test_files_are_read_by_their_lists(spark, tmp_path):
+    out, lists = f"{tmp_path}/out", f"{tmp_path}/lists"
+    rows = spark.range(3000).select(F.concat("id", F.lit("/é "), "id").alias("name"), F.encode(F.repeat(F.lit("x"), F.col("id").cast("int")), "UTF-8").alias("content"))
+    filesink.save_files(rows.repartition(5), out, lists=lists)
+    assert len(os.listdir(lists)) == 5 and "_SUCCESS" in os.listdir(out)
+    filesink.save_files(rows.limit(2).withColumn("content", F.encode(F.lit("new"), "UTF-8")), out, "append", lists)
+    found = filesink.listed_files(spark, out, lists)
+    assert found.rdd.getNumPartitions() < 100
+    got = {r["name"]: bytes(r["content"]) for r in found.collect()}
+    new = {n for n, c in got.items() if c == b"new"}
+    assert len(new) == 2 and got == {f"{i}/é {i}": b"new" if f"{i}/é {i}" in new else b"x" * i for i in range(3000)}
+    filesink.save_files(rows.where("id = 9"), out, lists=lists)
+    assert [r["name"] for r in filesink.listed_files(spark, out, lists).collect()] == ["9/é 9"]
+    filesink.save_files(rows.where("false"), out, lists=lists)
+    assert filesink.listed_files(spark, out, lists).count() == 0
+
+
+def test_document_files_read_in_few_tasks(spark, tmp_path):
+    """Reading back takes tasks by cores, not by files, and the driver lists none."""
+    from linework.plans import registry
+
+    spark.range(600).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("word"), "id").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(1).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    found = registry.QUERIES["document_files"](spark, str(tmp_path))
+    assert not found.inputFiles() and found.count() == 600
+
+
 @pytest.mark.parametrize("bad", ["F.raise_error(F.lit('broken'))", "F.lit('../out')", "F.lit('')"])
 def test_a_failed_write_leaves_no_file(spark, tmp_path, bad):
     out = f"{tmp_path}/out"
