@@ -407,3 +407,31 @@ def test_regions_move_before_they_become_pixels(spark):
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate explode") < plan.index("Exchange hashpartitioning")
         assert rows.count() == 28 * 9
+
+
+def test_components_of_a_large_page_are_joined_at_once():
+    """Areas and labels as a plain flood fill has them, and a page of many runs in little time."""
+    import time
+
+    draw = np.random.default_rng(4)
+    for _ in range(40):
+        masks = [draw.random((draw.integers(1, 12), 9)) < draw.random() for _ in range(3)]
+        for mask, areas in zip(masks, pixels.component_areas(masks), strict=True):
+            labels, n = np.zeros(mask.shape, int), 0
+            for y, x in zip(*np.nonzero(mask), strict=True):
+                if labels[y, x]:
+                    continue
+                n, open_ = n + 1, [(y, x)]
+                labels[y, x] = n
+                while open_:
+                    i, j = open_.pop()
+                    for k, m in ((k, m) for k in range(i - 1, i + 2) for m in range(j - 1, j + 2)):
+                        if 0 <= k < mask.shape[0] and 0 <= m < mask.shape[1] and mask[k, m] and not labels[k, m]:
+                            labels[k, m] = n
+                            open_.append((k, m))
+            got, stats = pixels.components(mask)
+            assert (got == labels).all() and stats[:, 4].tolist() == areas.tolist() == np.bincount(labels[mask], minlength=n + 1)[1:].tolist()
+    page = draw.random((3000, 1000)) < 0.4
+    began = time.process_time()
+    got, stats = pixels.components(page)
+    assert got.max() == len(stats) and stats[:, 4].sum() == page.sum() and time.process_time() - began < 1.5
